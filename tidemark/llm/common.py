@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch that is handed to Python. Texts are long, so few rows make a batch.
 BATCH_ROWS = 1024
+#: Bytes from which a batch takes no more rows.
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,8 +34,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of a bounded number of rows, so that a Python worker's memory does not follow the text sizes."""
+    """Arrow batches of bounded rows and bytes, so that a Python worker's memory does not follow the text sizes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
