@@ -15,7 +15,7 @@ def gram(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     whole = df.dropna(subset=[*x, y]).groupBy(*by).agg(*(F.sum(col(a) * col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
     rows = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("value")) for i, (a, b) in enumerate(pairs))))
-    return whole.select(*by, rows.alias("g")).select(*by, "g.a", "g.b", "g.value")
+    return whole.select(*by, rows.alias("_gram")).select(*by, "_gram.a", "_gram.b", "_gram.value")
 
 
 def solve_ridge(sums: dict[tuple[str, str], float], x: list[str], y: str, penalty: float) -> np.ndarray:
