@@ -95,7 +95,7 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     rows = materialize(rows, "sizes") if not keep else rows
     n = rows.count() if not keep else docs.count()
-    slots = max(16, 1 << math.ceil(math.log2(max(n, 1) / SLOT)))
+    slots = 1 << max(4, math.ceil(math.log2(max(n, 1) / SLOT)))
     # the slot is the digest's beginning: slots are in the order of digests
     bits = int(math.log2(slots))
     slotted = rows.withColumn("slot", F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - bits))
