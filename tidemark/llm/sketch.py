@@ -24,16 +24,20 @@ def shingles(text: Column) -> Column:
     """A text's shingles in order: words (runs of non-space bytes, A-Z lower-cased) joined by a space; fewer than five words make one, none make none."""
     low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.filter(F.split(low, SEPARATOR), lambda w: w != "")
-    several = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (WIDTH - 1)), lambda i: F.array_join(F.slice(w, i, WIDTH), " "))
-    made = lambda w: F.when(F.size(w) >= WIDTH, several(w)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    def made(w):
+        # a word and the four after it; what stands beyond the end is null and left out
+        joined = F.transform(w, lambda x, i: F.concat_ws(" ", x, *(F.get(w, i + k) for k in range(1, WIDTH))))
+        return F.slice(joined, F.lit(1), F.greatest(F.size(w) - (WIDTH - 1), F.lit(1)))
+
     # one transform over a single list binds the words, which else would be split anew for each shingle
     return F.flatten(F.transform(F.array(words), made))
 
 
 def kept_hashes(text: Column) -> Column:
     """The sorted distinct hashes below the threshold."""
-    hashes = F.transform(shingles(text), lambda s: F.substring(F.md5(s.cast("binary")), 1, DIGITS))
-    return F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < BELOW)))
+    kept = F.filter(F.transform(shingles(text), lambda s: F.md5(s.cast("binary"))), lambda h: h < BELOW)
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda h: F.substring(h, 1, DIGITS))))
 
 
 def likeness(a: Column, b: Column) -> Column:
