@@ -134,3 +134,13 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         last[-1] = inside[-1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     return start, end, np.searchsorted(start, offsets)
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The numbers' bytes, all first ones, then all second ones and so on: Spark's compression finds more in them."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def unpacked(blob: pa.Scalar, kind: type) -> np.ndarray:
+    """The numbers of one packed value."""
+    return np.ascontiguousarray(np.frombuffer(blob.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import LOWER, Rolling, materialize, mix, pieces, powers, shuffle_partitions, small_batches, text_bytes, words_of
+from tidemark.llm.common import LOWER, Rolling, materialize, mix, pack, pieces, powers, shuffle_partitions, small_batches, text_bytes, unpacked, words_of
 from tidemark.llm.components import connected_components
 
 #: Likeness from which two documents link, as a fraction.
@@ -26,12 +26,16 @@ LIKE, OF = 75, 100
 WIDTH = 5
 #: Documents up to which a list gives all its pairs at once.
 SMALL_LIST = 8
-#: Partners that are verified against one document in one group.
-BLOCK = 48
+#: Partners that are verified against one document in one group; documents in a block of a search.
+BLOCK, SHARD = 48, 128
+#: Documents outside their crowd's main component that are searched for at once; tries of each before.
+FEW, TRIES = 256, 3
 #: Shingles that a task holds before it deals them out.
 CHUNK = 1_000_000
 #: Largest number of counters (bytes) of the sketch, and counters for each shingle.
 SKETCH_MOST, SKETCH_LOAD = 1 << 26, 8
+#: Largest number of bits of the filter that lets only documents with candidates send their sets.
+FILTER_MOST = 1 << 25
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH) -> list[np.ndarray]:
@@ -92,30 +96,41 @@ def _counter(width: int, slices: int):
                 np.add.at(seen, (np.concatenate(held) & np.uint64(width - 1)).astype(np.int64), 1)
         part = np.minimum(seen, 255).astype(np.uint8).reshape(slices, -1)
         used = [k for k in range(slices) if part[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([part[k].tobytes() for k in used], pa.binary())], ["slice", "counts"])
+        rows = [_sparse(part[k]) for k in used]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "gaps", "counts"])
 
     return count
 
 
+_COUNTS = "slice int, gaps binary, counts binary"
+
+
+def _sparse(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """The steps between used counters (of up to 65536) and what they hold: what a task sends follows its shingles, not the sketch's width."""
+    at = np.flatnonzero(counts)
+    return pack(np.diff(at, prepend=0).astype(np.uint16)), counts[at].tobytes()
+
+
 def _add_counts(table: pa.Table) -> pa.Table:
-    total = None
-    for blob in table.column("counts"):
-        part = np.frombuffer(blob.as_buffer(), np.uint8)
-        total = part.astype(np.uint16) if total is None else np.minimum(total + part, 255).astype(np.uint16)
-    return pa.table({"slice": table.column("slice")[:1], "counts": pa.array([total.astype(np.uint8).tobytes()], pa.binary())})
+    total = np.zeros(1 << 16, np.int64)
+    for gaps, counts in zip(table.column("gaps"), table.column("counts"), strict=True):
+        total[np.cumsum(unpacked(gaps, np.uint16), dtype=np.int64)] += np.frombuffer(counts.as_buffer(), np.uint8)
+    gaps, counts = _sparse(np.minimum(total, 255).astype(np.uint8))
+    return pa.table({"slice": table.column("slice")[:1], "gaps": pa.array([gaps], pa.binary()), "counts": pa.array([counts], pa.binary())})
 
 
 def _sketch(docs: DataFrame, shingles: int) -> np.ndarray:
     """About how many documents hold the shingles of each hash bucket, at most 255; SKETCH_MOST bytes at most."""
-    width = 1 << min(int(math.log2(SKETCH_MOST)), max(12, math.ceil(math.log2(max(shingles, 1) / SKETCH_LOAD))))
+    width = 1 << min(int(math.log2(SKETCH_MOST)), max(16, math.ceil(math.log2(max(shingles, 1) / SKETCH_LOAD))))
     slices = max(1, width >> 16)
     out = np.zeros((slices, width // slices), np.uint8)
-    parts = docs.mapInArrow(_counter(width, slices), "slice int, counts binary")
+    parts = docs.mapInArrow(_counter(width, slices), _COUNTS)
     fold = max(1, int(docs.rdd.getNumPartitions() ** 0.5))
     parts = parts.withColumn("fold", F.pmod(F.spark_partition_id(), F.lit(fold)))
-    once = parts.groupBy("slice", "fold").applyInArrow(_add_counts, "slice int, counts binary")
-    for row in once.groupBy("slice").applyInArrow(_add_counts, "slice int, counts binary").toLocalIterator():
-        out[row["slice"]] = np.frombuffer(row["counts"], np.uint8)
+    once = parts.groupBy("slice", "fold").applyInArrow(_add_counts, _COUNTS)
+    for row in once.groupBy("slice").applyInArrow(_add_counts, _COUNTS).toLocalIterator():
+        gaps = np.ascontiguousarray(np.frombuffer(row["gaps"], np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+        out[row["slice"], np.cumsum(gaps, dtype=np.int64)] = np.frombuffer(row["counts"], np.uint8)
     return out.ravel()
 
 
@@ -173,7 +188,7 @@ def _columns(table: pa.Table, *names: tuple[str, type]) -> list[np.ndarray]:
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Candidates of one bucket: all pairs of a list of up to SMALL_LIST documents; of longer ones its entries, by list."""
+    """Candidates of one bucket: all pairs of a list of up to SMALL_LIST documents; of longer ones a star."""
     h, doc, n = _columns(table, ("h", np.uint64), ("doc", np.int64), ("n", np.int32))
     order = np.lexsort((doc, n, h))
     h, doc, n = h[order], doc[order], n[order]
@@ -189,18 +204,44 @@ def _merge(table: pa.Table) -> pa.Table:
         i = i[n[i] >= least_shared(n[i + step].astype(np.int64))]
         pairs.append(np.stack([np.minimum(doc[i], doc[i + step]), np.maximum(doc[i], doc[i + step])]))
     pairs = np.unique(np.concatenate(pairs, axis=1), axis=1)
+    # a long list's members each with its least one; members that many lists share give few such pairs
     big = size > SMALL_LIST
-    a, b = np.concatenate([pairs[0], doc[big]]), np.concatenate([pairs[1], doc[big]])
-    listed = np.concatenate([np.zeros(pairs.shape[1], np.int64), h[big].view(np.int64)])
-    return pa.table({"a": a, "b": b, "list": listed, "n": np.concatenate([np.zeros(pairs.shape[1], np.int32), n[big]])})
+    least = np.minimum.reduceat(doc, first)[np.cumsum(np.concatenate(([0], (h[1:] != h[:-1]).astype(np.int64))))]
+    star = np.unique(np.stack([least[big], doc[big]]), axis=1)
+    both = np.concatenate([pairs, star], axis=1)
+    return pa.table({"a": both[0], "b": both[1], "star": np.arange(both.shape[1]) >= pairs.shape[1]})
 
 
-def _emit_sets(batches):
-    for batch in batches:
-        sets: list[bytes] = [b""] * batch.num_rows
-        for i, h in _sets_of(batch):
-            sets[i] = h.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("block"), batch.column("doc_id"), pa.array(sets, pa.binary())], ["a", "block", "doc_id", "held"])
+def _filter_of(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit map of hashed ids, 16 bits an id and FILTER_MOST bits at most, and its size: it lets few others pass."""
+    bits = 1 << min(int(math.log2(FILTER_MOST)), max(16, math.ceil(math.log2(16 * max(ids.count(), 1)))))
+
+    def mark(table: pa.Table) -> pa.Table:
+        part = np.zeros(1 << 16, bool)
+        part[np.array(table.column("at")) & 0xFFFF] = True
+        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(part).tobytes()], pa.binary())})
+
+    at = ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("at")).distinct().withColumn("slice", F.shiftright("at", 16))
+    out = np.zeros((bits >> 16, 1 << 13), np.uint8)
+    for row in at.groupBy("slice").applyInArrow(mark, "slice long, bits binary").toLocalIterator():
+        out[row["slice"]] = np.frombuffer(row["bits"], np.uint8)
+    return out.ravel(), bits
+
+
+def _emit_sets(shared):
+    """The sets of documents that the bit map lets pass."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.array(batch.column("at").fill_null(0))
+            keep = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            batch = batch.filter(pa.array(keep.astype(bool)))
+            sets: list[bytes] = [b""] * batch.num_rows
+            for i, h in _sets_of(batch):
+                sets[i] = h.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "held"])
+
+    return run
 
 
 def _verify(table: pa.Table) -> pa.Table:
@@ -221,14 +262,22 @@ def _verify(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([a] * len(out), pa.int64()), "b": pa.array(sorted(out), pa.int64())})
 
 
+def _sets(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id and set of the asked documents and a few others. Texts aren't shuffled. Joins with it merge at every size, so that small tables show what large ones cost."""
+    bits, size = _filter_of(asked.select("doc_id").distinct())
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    rows = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(size)).alias("at"))
+    return rows.mapInArrow(_emit_sets(shared), "doc_id long, held binary")
+
+
 def _linked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of the candidate pairs (a, b) that link; a's partners are dealt into blocks of about BLOCK."""
     many = pairs.groupBy("a").agg(F.count("*").alias("many"))
     blocked = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("many") / BLOCK)).alias("block"))
     blocked = materialize(blocked, "pairs")
     asked = blocked.select("a", "block", F.col("b").alias("doc_id")).unionByName(blocked.select("a", "block", F.col("a").alias("doc_id")).distinct())
-    texts = docs.select("doc_id", "text").join(asked, "doc_id").select("a", "block", "doc_id", "text")
-    held = texts.mapInArrow(_emit_sets, "a long, block long, doc_id long, held binary")
+    asked = materialize(asked, "asked")
+    held = _sets(docs, asked).join(asked.hint("shuffle_merge"), "doc_id").select("a", "block", "doc_id", "held")
     return materialize(held.groupBy("a", "block").applyInArrow(_verify, "a long, b long"), "links")
 
 
@@ -241,8 +290,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     different texts count as one node. An empty table gives no rows.
 
     Documents of equal sets are one class, found by digest. A list of more than SMALL_LIST documents does not give all
-    pairs: it links its members to its first one, then to their neighbours in the list, and only members that are still
-    in different components are compared pair by pair. A pair within one component can't change the result.
+    pairs: its members are held against its first one, then some times against drawn ones of their main component, and
+    what is still outside is searched for in all of the others' blocks. A pair within one component can't change the
+    result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -269,35 +319,96 @@ def _near(docs: DataFrame, member: DataFrame, shingles: int) -> DataFrame:
     sketch = spark.sparkContext.broadcast(_sketch(docs, shingles))
     buckets = 4 * max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     dealt = docs.mapInArrow(_lister(sketch, buckets), "bucket int, h binary, doc binary, n binary")
-    merged = materialize(dealt.groupBy("bucket").applyInArrow(_merge, "a long, b long, list long, n int"), "merged")
+    merged = dealt.groupBy("bucket").applyInArrow(_merge, "a long, b long, star boolean").distinct()
     rep = member.groupBy("doc_id").agg(F.min("rep").alias("rep"))
     as_a, as_b = (rep.select(F.col("doc_id").alias(x), F.col("rep").alias(f"{x}_rep")) for x in "ab")
-    pairs = merged.where("list = 0").select("a", "b").distinct()
-    pairs = pairs.join(as_a, "a").join(as_b, "b").select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"))
-    lists = merged.where("list <> 0").select("a", "list", "n").join(as_a, "a").select("list", "n", F.col("a_rep").alias("doc")).distinct()
-    lists = materialize(lists, "lists")
-    star = lists.join(lists.groupBy("list").agg(F.min("doc").alias("low")), "list").select(F.col("low").alias("a"), F.col("doc").alias("b"))
-    tried = materialize(pairs.unionByName(star).where("a <> b").distinct(), "tried")
-    links = _linked(docs, tried)
+    pairs = merged.join(as_a, "a").join(as_b, "b").select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b"), "star").where("a <> b")
+    pairs = materialize(pairs.groupBy("a", "b").agg(F.max("star").alias("star")), "pairs")
+    star = pairs.where("star")
+    links = _linked(docs, pairs.select("a", "b"))
+    if star.limit(1).count() == 0:
+        return links
+    # documents of long lists that lists connect are one crowd: links between its components are all that is left to find
+    crowd = connected_components(star.select("a", "b")).select(F.col("node").alias("doc"), F.col("component").alias("crowd"))
+    crowd, before = materialize(crowd, "crowd"), None
     while True:
-        found = connected_components(links)
-        open_ = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("list", "n", "doc", F.coalesce("component", "doc").alias("component"))
-        mixed = open_.groupBy("list").agg(F.min("component").alias("one"), F.max("component").alias("other")).where("one <> other")
-        open_ = materialize(open_.join(mixed.select("list"), "list"), "open")
-        # one document of each size and component stands for the others of a list at first
-        sides = open_.groupBy("list", "component", "n").agg(F.min_by("doc", F.xxhash64("doc", "list")).alias("doc"))
-        sides = materialize(sides, "sides")
-        more = _crossing(sides, tried)
-        if more.limit(1).count() == 0:
-            more = _crossing(open_.select("list", "component", "n", "doc"), tried)
-            if more.limit(1).count() == 0:
-                return links
-        tried, links = materialize(tried.unionByName(more), "tried"), materialize(links.unionByName(_linked(docs, more)), "links")
-
-
-def _crossing(entries: DataFrame, tried: DataFrame) -> DataFrame:
-    """Pairs of entries of one list that lie in different components, can link by their sizes and weren't tried."""
-    left = entries.select("list", F.col("component").alias("ca"), F.col("n").alias("na"), F.col("doc").alias("a"))
-    right = entries.select("list", F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("doc").alias("b"))
-    both = left.join(right, "list").where(f"a < b and ca <> cb and {OF} * least(na, nb) >= {LIKE} * greatest(na, nb)")
-    return materialize(both.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "crossing")
+        found = connected_components(links).withColumnRenamed("node", "doc")
+        parts = materialize(crowd.join(found, "doc", "left").select("crowd", "doc", F.coalesce("component", "doc").alias("component")), "parts")
+        sizes = parts.groupBy("crowd", "component").agg(F.count("*").alias("n"))
+        main = sizes.groupBy("crowd").agg(F.max_by("component", F.struct("n", -F.col("component"))).alias("main"), F.sum("n").alias("many"), F.max("n").alias("held"), F.count("*").alias("components"))
+        main = materialize(main.where("components > 1"), "main")
+        open_ = main.agg(F.sum(F.col("many") - F.col("held"))).first()[0] or 0
+        if not open_:
+            return links
+        if open_ < FEW or (before is not None and 4 * open_ > 3 * before):
+            return materialize(links.unionByName(_searched(docs, parts, main)), "links")
+        before = open_
+        # those outside the main component try some of its documents, drawn by hash
+        inside = parts.join(main, "crowd")
+        drawn = inside.where("component <> main").select("crowd", "held", F.col("doc").alias("x"), F.explode(F.sequence(F.lit(1), F.lit(TRIES))).alias("k"))
+        drawn = drawn.select("crowd", "x", F.pmod(F.xxhash64("x", "k", F.lit(open_)), "held").alias("slot"))
+        core = inside.where("component = main").select("crowd", F.col("doc").alias("y"), F.pmod(F.xxhash64("doc"), "held").alias("slot"))
+        more = drawn.join(core, ["crowd", "slot"]).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        links = materialize(links.unionByName(_linked(docs, more)), "links")
+
+
+def _searched(docs: DataFrame, parts: DataFrame, main: DataFrame) -> DataFrame:
+    """Links of each crowd's documents outside its main component with any document of another component, block by block."""
+    inside = parts.join(main.select("crowd", "main", "many", "held"), "crowd")
+    blocks, asking = F.ceil(F.col("many") / SHARD).cast("int"), F.ceil((F.col("many") - F.col("held")) / SHARD).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    listed = inside.select("crowd", F.pmod(F.xxhash64("doc"), blocks).cast("int").alias("block"), every(asking).alias("query_block"), F.col("doc").alias("doc_id"), "component", F.lit(False).alias("asks"))
+    asks = inside.where("component <> main").select("crowd", every(blocks).alias("block"), F.pmod(F.xxhash64("doc", F.lit(1)), asking).cast("int").alias("query_block"), F.col("doc").alias("doc_id"), "component", F.lit(True).alias("asks"))
+    asked = materialize(listed.unionByName(asks), "asked")
+    held = _sets(docs, asked).join(asked.hint("shuffle_merge"), "doc_id").select("crowd", "block", "query_block", "doc_id", "component", "asks", "held")
+    return held.groupBy("crowd", "block", "query_block").applyInArrow(_search, "a long, b long")
+
+
+def divide_skip(query: np.ndarray, hashes: np.ndarray, owners: np.ndarray, sets: list[np.ndarray], candidates: np.ndarray) -> list[int]:
+    """Places of the sets that link with query. hashes and owners are the sets' inverted lists, sorted by hash; only candidates count.
+
+    The L longest lists are kept out of the merge; what reaches T - L in the others is looked up in the long ones by
+    binary search.
+    """
+    low, high = np.searchsorted(hashes, query, side="left"), np.searchsorted(hashes, query, side="right")
+    size = high - low
+    t = int(least_shared(len(query)))
+    skip = min(t - 1, int(t / (0.1 * math.log2(max(int(size.max(initial=1)), 2)) + 1)))
+    order = np.argsort(size, kind="stable")
+    short, long = order[: len(order) - skip], query[order[len(order) - skip :]]
+    short = short[size[short] > 0]
+    # the short lists end to end
+    many = size[short]
+    at = np.repeat(low[short] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+    met = np.bincount(owners[at], minlength=len(sets))
+    out = []
+    for k in np.flatnonzero((met >= t - skip) & candidates).tolist():
+        own = sets[k]
+        if not LIKE * max(len(own), len(query)) <= OF * min(len(own), len(query)):
+            continue
+        place = np.searchsorted(own, long)
+        shared = int(met[k]) + int((own[np.minimum(place, len(own) - 1)] == long).sum())
+        if OF * shared >= LIKE * (len(own) + len(query) - shared):
+            out.append(k)
+    return out
+
+
+def _search(table: pa.Table) -> pa.Table:
+    """Links between the asking and the listed documents of one pair of blocks; one for each other component that a document meets."""
+    ids, component = np.array(table.column("doc_id")), np.array(table.column("component"))
+    asks = np.array(table.column("asks"))
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("held")]
+    listed = np.flatnonzero(~asks)
+    if not len(listed) or not asks.any():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    own = [sets[k] for k in listed.tolist()]
+    hashes, owners = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+    order = np.argsort(hashes, kind="stable")
+    hashes, owners = hashes[order], owners[order]
+    out = set()
+    for q in np.flatnonzero(asks).tolist():
+        met = {}
+        for k in divide_skip(sets[q], hashes, owners, own, component[listed] != component[q]):
+            met[int(component[listed[k]])] = int(ids[listed[k]])
+        out |= {(int(ids[q]), k) for k in met.values()}
+    return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
