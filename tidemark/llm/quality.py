@@ -172,8 +172,8 @@ def learned(docs: DataFrame, labels: DataFrame) -> Network:
     return fit([r["text"].encode() for r in rows], np.array([float(r["quality"] > 0) for r in rows], np.float32))
 
 
-def with_scores(docs: DataFrame, network: Network, column: str = "score") -> DataFrame:
-    """docs with one more column: the probability that text is good. Null and empty texts get that of an empty text."""
+def with_scores(docs: DataFrame, network: Network, column: str = "score", text: bool = True) -> DataFrame:
+    """docs, with or without its text, with one more column: the probability that text is good. Null and empty texts get that of an empty text."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(network)
@@ -181,9 +181,11 @@ def with_scores(docs: DataFrame, network: Network, column: str = "score") -> Dat
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score(data, offsets, shared.value))], [*batch.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(score(data, offsets, shared.value))], [*kept, column])
 
-    return docs.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in docs.dtypes) + f", `{column}` double")
+    kept = [c for c in docs.columns if text or c != "text"]
+    kinds = dict(docs.dtypes)
+    return docs.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in kept) + f", `{column}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,7 +196,7 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     network = learned(docs, labels)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_crc() % 5 == 0).alias("held_out"), "text")
-    return with_scores(rows, network).select("doc_id", "held_out", "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+    return with_scores(rows, network, text=False).select("doc_id", "held_out", "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
