@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Rolling, materialize, mix, shuffle_partitions, small_batches, text_bytes
+from tidemark.llm.common import Rolling, materialize, mix, pack, shuffle_partitions, small_batches, text_bytes, unpacked
 from tidemark.llm.induced import suffix_order
 
 #: Length of a repeat; of an anchor; the anchors among which one is chosen, which is also how far a context goes left, and one more.
@@ -33,6 +33,8 @@ CHOICE = LENGTH - ANCHOR + 1
 HOT_LOCAL, HOT = 32, 512
 #: Anchors that a task holds before it deals them out; bytes that it works on at once (under 2**22).
 CHUNK, PIECE = 1_000_000, 1 << 21
+#: Bytes of contexts that are sorted at once.
+PART = 1 << 21
 
 _PLACE = np.uint64((1 << 22) - 1)
 _NO_ID = -(1 << 63)
@@ -41,15 +43,9 @@ FULL, EDGE, HOT_EDGE, MARK = 0, 1, 2, 3
 Columns = dict[str, np.ndarray]
 
 
-def pack(values: np.ndarray) -> bytes:
-    """The numbers' bytes, all first ones, then all second ones and so on: Spark's compression finds more in them."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
 def unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
     """The numbers of all rows of a packed column, end to end."""
-    size = np.dtype(kind).itemsize
-    parts = [np.ascontiguousarray(np.frombuffer(x.as_buffer(), np.uint8).reshape(size, -1).T).view(kind).ravel() for x in table.column(name)]
+    parts = [unpacked(x, kind) for x in table.column(name)]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
@@ -127,8 +123,8 @@ def segments(data: np.ndarray, offsets: np.ndarray):
         at = to
 
 
-def _ask(buckets: int):
-    """Deals anchors out; what a task's own chunk settles goes with kind FULL or HOT_EDGE in the columns of ASKED, bucket -1 - home."""
+def _ask(buckets: int, homes: int):
+    """Deals anchors out; told: what a task's own chunk settles, of kind FULL or HOT_EDGE, by home."""
 
     def flush(parts):
         h, context, id_, tie, at = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -144,12 +140,11 @@ def _ask(buckets: int):
         again = np.concatenate(([False], ~new[1:] & ((id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] != at[:-1]))))
         kind = np.where(new, np.where(hot, HOT_EDGE, EDGE), FULL).astype(np.uint8)
         keep = new | again
-        bucket = np.where(kind == EDGE, (h >> np.uint64(16)).astype(np.int64) % buckets, -1 - _home(id_, tie, buckets))
         mark = new_h & hot
         every = {"h": h, "context": context, "id": id_, "tie": tie, "at": at, "kind": kind}
         told = keep & (kind != EDGE)
         if told.any():
-            yield dealt(bucket[told] + buckets, {k: v[told] for k, v in every.items()}), True
+            yield dealt(_home(id_[told], tie[told], homes), {k: v[told] for k, v in every.items()}), True
         asked = keep & (kind == EDGE)
         every = {k: np.concatenate([v[asked], v[mark]]) for k, v in every.items()}
         every["kind"][asked.sum() :] = MARK
@@ -178,11 +173,11 @@ def _ask(buckets: int):
     return ask
 
 
-def _told(buckets: int, id_, tie, start, end, kind) -> pa.Table:
-    return pa.Table.from_batches([dealt(_home(id_, tie, buckets), {"id": id_, "tie": tie, "start": start, "end": end, "kind": kind})]) if len(id_) else pa.table({"bucket": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in TOLD}})
+def _told(homes: int, id_, tie, start, end, kind) -> pa.Table:
+    return pa.Table.from_batches([dealt(_home(id_, tie, homes), {"id": id_, "tie": tie, "start": start, "end": end, "kind": kind})]) if len(id_) else pa.table({"bucket": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in TOLD}})
 
 
-def _answer(buckets: int):
+def _answer(homes: int):
     """What a bucket's anchors turn out to be: repeats, edges, or nothing (no row)."""
 
     def answer(table: pa.Table) -> pa.Table:
@@ -199,7 +194,7 @@ def _answer(buckets: int):
         out = np.where(new, np.where(hot, HOT_EDGE, EDGE), FULL).astype(np.uint8)
         keep = real & ~same & (~new | hot | (many > 1))
         id_, tie, at, out = id_[keep], tie[keep], at[keep], out[keep]
-        return _told(buckets, id_, tie, *_reach(at), out)
+        return _told(homes, id_, tie, *_reach(at), out)
 
     return answer
 
@@ -208,13 +203,13 @@ def _reach(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at - (CHOICE - 1), at + LENGTH
 
 
-def _settled(buckets: int):
+def _settled(homes: int):
     def settled(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             id_, tie, at, kind = (unpack(table, k, ASKED[k]) for k in ("id", "tie", "at", "kind"))
             if len(id_):
-                yield from _told(buckets, id_, tie, *_reach(at), kind).to_batches()
+                yield from _told(homes, id_, tie, *_reach(at), kind).to_batches()
 
     return settled
 
@@ -245,7 +240,7 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"id": id_[cut], "tie": pa.array(tie[cut].astype(np.int64)), "spans": pa.array(spans, pa.binary()), "edges": pa.array(edges, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
 
-def _gather(buckets: int):
+def _gather(buckets: int, homes: int):
     """Edges' contexts for the shards, and the hot ones' strings; the columns that a row doesn't have are null."""
     names = ["bucket", "h", "id", "tie", "at", "left", "size", "bytes", "kind"]
 
@@ -261,7 +256,7 @@ def _gather(buckets: int):
         yield row(dealt((h[new] >> np.uint64(16)).astype(np.int64) % buckets, {"h": h[new], "id": id_[new], "tie": tie[new], "at": at[new]}), 1)
         later = ~new & np.concatenate(([False], (id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] != at[:-1])))
         if later.any():
-            yield row(dealt(_home(id_[later], tie[later], buckets), {"id": id_[later], "tie": tie[later], "at": at[later]}), 2)
+            yield row(dealt(_home(id_[later], tie[later], homes), {"id": id_[later], "tie": tie[later], "at": at[later]}), 2)
 
     def gather(batches):
         strings, held = [], 0
@@ -317,19 +312,31 @@ def mixed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(h) & np.uint64((1 << 48) - 1)
 
 
-def _sort_shard(buckets: int):
+def _sort_shard(homes: int):
     """Suffix-sorts the contexts of a shard and tells each string that an earlier one equals."""
 
     def sort(table: pa.Table) -> pa.Table:
-        id_, tie, at, left, size = (unpack(table, k, SHARD[k]) for k in ("id", "tie", "at", "left", "size"))
+        h, id_, tie, at, left, size = (unpack(table, k, SHARD[k]) for k in ("h", "id", "tie", "at", "left", "size"))
         text = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bytes")])
+        begin = np.cumsum(size, dtype=np.int64) - size
+        # anchors don't meet each other: a large shard is sorted in parts of some anchors each
+        parts = -(-len(text) // PART)
+        part = (mix(h) % np.uint64(parts)).astype(np.int64)
+        out = []
+        for k in range(parts):
+            own = np.flatnonzero(part == k)
+            spots = np.repeat(begin[own] - (np.cumsum(size[own], dtype=np.int64) - size[own]), size[own]) + np.arange(int(size[own].sum(dtype=np.int64)))
+            out.append(sorted_part(text[spots], id_[own], tie[own], at[own], left[own], size[own]))
+        return _told(homes, *(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    def sorted_part(text, id_, tie, at, left, size):
         begin = np.cumsum(size, dtype=np.int64) - size
         order = suffix_order(text)
         owner = np.repeat(np.arange(len(size)), size)
         room = (begin + size)[owner] - np.arange(len(text))
         order = order[room[order] >= LENGTH]
         if len(order) < 2:
-            return _told(buckets, *(np.zeros(0, TOLD[k]) for k in TOLD))
+            return [np.zeros(0, TOLD[k]) for k in TOLD]
         h = Rolling(text).of(order, order + LENGTH)
         equal = np.flatnonzero(h[1:] == h[:-1])
         view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
@@ -348,12 +355,12 @@ def _sort_shard(buckets: int):
         later &= (id_[own[x]] != id_[own[y]]) | (tie[own[x]] != tie[own[y]]) | (place[x] != place[y])
         x = x[later]
         who, start = own[x], place[x]
-        return _told(buckets, id_[who], tie[who], start, start + LENGTH, np.zeros(len(x), np.uint8))
+        return [id_[who], tie[who], start, start + LENGTH, np.zeros(len(x), np.uint8)]
 
     return sort
 
 
-def _first_strings(buckets: int):
+def _first_strings(homes: int):
     def first(table: pa.Table) -> pa.Table:
         h, id_, tie, at = (unpack(table, k, kind) for k, kind in STRINGS.items())
         order = np.lexsort((at, tie, id_, h))
@@ -361,18 +368,18 @@ def _first_strings(buckets: int):
         later = np.concatenate(([False], (h[1:] == h[:-1])))
         lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
         later &= (id_ != id_[lead]) | (tie != tie[lead]) | (at != at[lead])
-        return _told(buckets, id_[later], tie[later], at[later], at[later] + LENGTH, np.zeros(int(later.sum()), np.uint8))
+        return _told(homes, id_[later], tie[later], at[later], at[later] + LENGTH, np.zeros(int(later.sum()), np.uint8))
 
     return first
 
 
-def _strings_settled(buckets: int):
+def _strings_settled(homes: int):
     def settled(batches):
         for batch in batches:
             table = pa.Table.from_batches([batch])
             id_, tie, at = (unpack(table, k, STRINGS[k]) for k in ("id", "tie", "at"))
             if len(id_):
-                yield from _told(buckets, id_, tie, at, at + LENGTH, np.zeros(len(id_), np.uint8)).to_batches()
+                yield from _told(homes, id_, tie, at, at + LENGTH, np.zeros(len(id_), np.uint8)).to_batches()
 
     return settled
 
@@ -386,18 +393,20 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     small_batches(spark)
     docs = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "tie": F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 8), 16, 10).cast("long")})
     long_enough = docs.where(F.octet_length("text") >= LENGTH).select("id", "tie", "text")
-    buckets = 4 * max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
-    asked = materialize(long_enough.mapInArrow(_ask(buckets), schema(ASKED) + ", told boolean"), "anchors")
-    told = asked.where("told").drop("told").mapInArrow(_settled(buckets), schema(TOLD))
-    answered = asked.where("not told").drop("told").groupBy("bucket").applyInArrow(_answer(buckets), schema(TOLD))
+    # a bucket's answers go to the homes of their documents: at most a row for each pair, or for each answer
+    homes = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
+    buckets = 4 * homes
+    asked = materialize(long_enough.mapInArrow(_ask(buckets, homes), schema(ASKED) + ", told boolean"), "anchors")
+    told = asked.where("told").drop("told").mapInArrow(_settled(homes), schema(TOLD))
+    answered = asked.where("not told").drop("told").groupBy("bucket").applyInArrow(_answer(homes), schema(TOLD))
     per_doc = "id long, tie long, spans binary, edges binary, hot binary"
     marks = materialize(told.unionByName(answered).groupBy("bucket").applyInArrow(_by_document, per_doc), "marks")
     edged = long_enough.join(marks.where("edges is not null or hot is not null").select("id", "tie", "edges", "hot"), ["id", "tie"]).select("id", "tie", "text", "edges", "hot")
-    gathered = materialize(edged.mapInArrow(_gather(buckets), schema(SHARD) + ", kind int"), "contexts")
-    sorted_ = gathered.where("kind = 0").drop("kind").groupBy("bucket").applyInArrow(_sort_shard(buckets), schema(TOLD))
+    gathered = materialize(edged.mapInArrow(_gather(homes, homes), schema(SHARD) + ", kind int"), "contexts")
+    sorted_ = gathered.where("kind = 0").drop("kind").groupBy("bucket").applyInArrow(_sort_shard(homes), schema(TOLD))
     strings = gathered.select("bucket", *STRINGS, "kind")
-    firsts = strings.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(_first_strings(buckets), schema(TOLD))
-    locals_ = strings.where("kind = 2").select("bucket", "id", "tie", "at").mapInArrow(_strings_settled(buckets), schema(TOLD))
+    firsts = strings.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(_first_strings(homes), schema(TOLD))
+    locals_ = strings.where("kind = 2").select("bucket", "id", "tie", "at").mapInArrow(_strings_settled(homes), schema(TOLD))
     found = sorted_.unionByName(firsts).unionByName(locals_).groupBy("bucket").applyInArrow(_by_document, per_doc)
     return docs, marks.where("spans is not null").select("id", "tie", "spans"), materialize(found.select("id", "tie", "spans"), "found")
 
@@ -470,7 +479,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     come once. Texts that were null or empty stay as they are.
     """
     names = docs.columns
-    cut = _removed(docs)
+    cut = _removed(docs).dropDuplicates(["id", "tie"])
     held = [c for c in names if c not in ("text", "n_chars")]
 
     def shorten(batches):
@@ -480,5 +489,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     kinds = dict(docs.dtypes)
     left = cut.select(*held, "id", "tie", "text", "spans", "more").mapInArrow(shorten, ", ".join(f"`{c}` {kinds[c]}" for c in held) + ", kept_text string, n_removed long, id long, tie long")
-    left = left.where("n_removed = 0 or length(kept_text) > 0").dropDuplicates(["id", "tie"]).withColumnRenamed("kept_text", "text")
+    left = left.where("n_removed = 0 or length(kept_text) > 0").withColumnRenamed("kept_text", "text")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*names) if "n_chars" in names else left.select(*names)
