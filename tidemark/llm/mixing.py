@@ -92,31 +92,27 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     ids and a source of their own; null and empty texts have size 0 and are never taken. Repeated rows are documents of
     their own, and equal ones are alike. An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    # a null source is a key of its own, so that plain keys serve the window and the joins alike
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     rows = materialize(rows, "sizes") if not keep else rows
     n = rows.count() if not keep else docs.count()
-    slots = 1 << max(4, math.ceil(math.log2(max(n, 1) / SLOT)))
+    bits = max(4, math.ceil(math.log2(max(n, 1) / SLOT)))
     # the slot is the digest's beginning: slots are in the order of digests
-    bits = int(math.log2(slots))
     slotted = rows.withColumn("slot", F.shiftright(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), 32 - bits))
-    sums = materialize(slotted.groupBy("source", "slot").agg(F.sum("size").alias("n")), "slots")
-    total = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")))
+    sums = materialize(slotted.groupBy("key", "none", "slot").agg(F.sum("size").alias("n")), "slots")
+    named = F.when(~F.col("none"), F.col("key")).alias("source")
+    total = targets(sums.groupBy("key", "none").agg(F.sum("n").alias("source_size")).select("key", "none", named, "source_size"))
     # sums over slots, in two levels: a source has many slots
-    high = bits // 2
-    upper = sums.groupBy("source", F.shiftright("slot", high).alias("upper")).agg(F.sum("n").alias("n"))
-    over = Window.partitionBy("source").orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
-    upper = upper.select("source", "upper", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("above"))
-    over = Window.partitionBy("source", "upper").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    own, high = ["key", "none"], bits // 2
+    upper = sums.groupBy(*own, F.shiftright("slot", high).alias("upper")).agg(F.sum("n").alias("n"))
+    over = Window.partitionBy(*own).orderBy("upper").rowsBetween(Window.unboundedPreceding, -1)
+    upper = upper.select(*own, "upper", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("above"))
+    over = Window.partitionBy(*own, "upper").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     lower = sums.withColumn("upper", F.shiftright("slot", high)).withColumn("below", F.coalesce(F.sum("n").over(over), F.lit(0)))
-    same = F.col("l.source").eqNullSafe(F.col("u.source"))
-    starts = lower.alias("l").join(upper.alias("u"), same & (F.col("l.upper") == F.col("u.upper"))).select("l.source", "l.slot", (F.col("above") + F.col("below")).alias("start"))
-    same = F.col("s.source").eqNullSafe(F.col("t.source"))
-    starts = starts.alias("s").join(total.alias("t"), same).select("s.source", "s.slot", "start", "source_size", "target", "place")
-    starts = materialize(starts, "starts")
-    over = Window.partitionBy("source", "slot").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
-    inside = slotted.withColumn("inside", F.coalesce(F.sum("size").over(over), F.lit(0)))
-    same = F.col("d.source").eqNullSafe(F.col("s.source"))
-    placed = inside.alias("d").join(starts.alias("s"), same & (F.col("d.slot") == F.col("s.slot")))
+    starts = lower.join(upper, [*own, "upper"]).select(*own, "slot", (F.col("above") + F.col("below")).alias("start"))
+    starts = materialize(starts.join(total.drop("source"), own).select(*own, "slot", "start", "source_size", "target", "place"), "starts")
+    over = Window.partitionBy(*own, "slot").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = slotted.withColumn("inside", F.coalesce(F.sum("size").over(over), F.lit(0))).join(starts, [*own, "slot"])
     at = F.col("start") + F.col("inside")
     wanted = F.floor(F.col("target")).cast("long")
     taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), wanted - k * F.col("source_size") - at)) for k in range(1, REPEATS)), F.greatest(F.lit(0), F.least(F.col("size"), wanted - at)))
