@@ -105,6 +105,28 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     assert [x.kept_sha256 for x in suffix.repeats_removed(df).orderBy("doc_id").collect()] == brute_force_removed(texts)
 
 
+def test_pieces_of_a_long_text_give_the_anchors_of_the_whole(monkeypatch):
+    data = np.random.default_rng(11).integers(97, 105, 5000).astype(np.uint8)
+    offsets = np.array([0, 150, 4700, 5000])
+    at, text, h, context = suffix.anchors_of(data, offsets)
+    whole = set(zip(text.tolist(), (at - offsets[text]).tolist(), h.tolist(), context.tolist(), strict=True))
+    monkeypatch.setattr(suffix, "PIECE", 400)
+    found = set()
+    for piece, cut, first, base, *around in suffix.segments(data, offsets):
+        at, text, h, context = suffix.anchors_of(piece, cut, *around)
+        found |= set(zip((first + text).tolist(), (at - cut[text] + base).tolist(), h.tolist(), context.tolist(), strict=True))
+    assert found == whole
+
+
+def test_an_edit_beside_a_piece_edge_stays(spark):
+    base = bytes(np.random.default_rng(11).integers(97, 123, 5 << 19).astype(np.uint8)).decode()
+    edge = [suffix.PIECE - suffix.LENGTH + 1 - 10, suffix.PIECE + 10]  # before the second piece, after the first
+    texts = [base, *(base[:k] + "X" + base[k + 1 :] for k in edge)]
+    out = suffix.repeats_removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    x = hashlib.sha256(b"X").hexdigest()
+    assert [(r.n_removed, r.kept_sha256) for r in out[1:]] == [(len(base) - 1, x)] * 2 and out[0].n_removed == 0
+
+
 def test_jaccard_against_brute_force(spark):
     r = np.random.default_rng(5)
     base = [[f"w{x}" for x in r.integers(0, 5000, 120)] for _ in range(6)]

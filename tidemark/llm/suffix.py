@@ -76,8 +76,11 @@ def _home(id_: np.ndarray, tie: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(id_.view(np.uint64) ^ (tie.astype(np.uint64) << np.uint64(20))) % np.uint64(buckets)).astype(np.int64)
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts that lie end to end (under 2**22 bytes): place, text, hash and hash of the context."""
+def anchors_of(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of texts that lie end to end (under 2**22 bytes): place, text, hash and hash of the context.
+
+    Strings that reach into the first before or the last after bytes choose none: these only complete the contexts.
+    """
     n = len(data)
     empty = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
@@ -99,8 +102,11 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     whole = sizes >= LENGTH
     np.add.at(valid, offsets[:-1][whole], 1)
     np.add.at(valid, offsets[1:][whole] - LENGTH + 1, -1)
+    inside = np.cumsum(valid)[: len(least)] > 0
+    inside[:before] = False
+    inside[max(n - after - LENGTH + 1, 0) :] = False
     chosen = np.zeros(n, bool)
-    chosen[(least[np.cumsum(valid)[: len(least)] > 0] & _PLACE).astype(np.int64)] = True
+    chosen[(least[inside] & _PLACE).astype(np.int64)] = True
     at = np.flatnonzero(chosen)
     text = np.searchsorted(offsets, at, side="right") - 1
     left = np.minimum(at - offsets[text], CHOICE - 1)
@@ -109,17 +115,22 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
-    """(bytes, offsets, first text, place of the bytes in that text): whole texts of about PIECE bytes, or parts of a longer one that overlap by one string less a byte."""
+    """(bytes, offsets, first text, place of the bytes in that text, bytes before and after that only complete contexts).
+
+    Whole texts of about PIECE bytes, or parts of a longer one that overlap by one string less a byte, each with as much of what lies around it as contexts reach.
+    """
     at, n = 0, len(offsets) - 1
     while at < n:
         if offsets[at + 1] - offsets[at] > PIECE:
-            for lo in range(int(offsets[at]), int(offsets[at + 1]) - LENGTH + 1, PIECE - LENGTH + 1):
-                hi = min(lo + PIECE, int(offsets[at + 1]))
-                yield data[lo:hi], np.array([0, hi - lo]), at, lo - int(offsets[at])
+            begin, end = int(offsets[at]), int(offsets[at + 1])
+            for lo in range(begin, end - LENGTH + 1, PIECE - LENGTH + 1):
+                hi = min(lo + PIECE, end)
+                a, b = max(lo - (CHOICE - 1), begin), min(hi + LENGTH, end)
+                yield data[a:b], np.array([0, b - a]), at, a - begin, lo - a, b - hi
             at += 1
             continue
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
-        yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, 0
+        yield data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], at, 0, 0, 0
         at = to
 
 
@@ -156,8 +167,8 @@ def _ask(buckets: int, homes: int):
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids, ties = np.array(batch.column("id")), np.array(batch.column("tie")).astype(np.uint32)
-            for piece, cut, first, base in segments(data, offsets):
-                at, text, h, context = anchors_of(piece, cut)
+            for piece, cut, first, base, before, after in segments(data, offsets):
+                at, text, h, context = anchors_of(piece, cut, before, after)
                 parts.append((h & np.uint64((1 << 48) - 1), context, ids[first + text], ties[first + text], at - cut[text] + base))
                 held += len(at)
                 if held >= CHUNK:
