@@ -127,6 +127,22 @@ def test_an_edit_beside_a_piece_edge_stays(spark):
     assert [(r.n_removed, r.kept_sha256) for r in out[1:]] == [(len(base) - 1, x)] * 2 and out[0].n_removed == 0
 
 
+def test_texts_without_ids_whose_digests_begin_alike_stay_apart(spark):
+    seen, k = {}, 0
+    while True:
+        # even ones repeat their first half
+        halves = [hashlib.sha512(f"{x}".encode()).hexdigest() for x in (k, k if k % 2 == 0 else -k)]
+        text = "".join(halves)
+        other = seen.setdefault(hashlib.sha256(text.encode()).hexdigest()[:8], text)
+        if other != text and (text[:128] == text[128:]) != (other[:128] == other[128:]):
+            break
+        k += 1
+    texts = sorted((text, other), key=lambda x: hashlib.sha256(x.encode()).hexdigest())
+    df = spark.createDataFrame([(None, x) for x in texts], "doc_id long, text string")
+    assert sorted(r.kept_sha256 for r in suffix.repeats_removed(df).collect()) == sorted(brute_force_removed(texts))
+    assert sorted(r.text for r in suffix.without_repeats(df).collect()) == sorted(x[:128] if x[:128] == x[128:] else x for x in texts)
+
+
 def test_jaccard_against_brute_force(spark):
     r = np.random.default_rng(5)
     base = [[f"w{x}" for x in r.integers(0, 5000, 120)] for _ in range(6)]

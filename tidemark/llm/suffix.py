@@ -66,14 +66,14 @@ def schema(columns: dict[str, type]) -> str:
     return "bucket int" + "".join(f", {name} binary" for name in columns)
 
 
-ASKED = {"h": np.uint64, "context": np.uint64, "id": np.int64, "tie": np.uint32, "at": np.int64, "kind": np.uint8}
-TOLD = {"id": np.int64, "tie": np.uint32, "start": np.int64, "end": np.int64, "kind": np.uint8}
-SHARD = {"h": np.uint64, "id": np.int64, "tie": np.uint32, "at": np.int64, "left": np.uint8, "size": np.uint8, "bytes": np.uint8}
-STRINGS = {"h": np.uint64, "id": np.int64, "tie": np.uint32, "at": np.int64}
+ASKED = {"h": np.uint64, "context": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64, "kind": np.uint8}
+TOLD = {"id": np.int64, "tie": np.int64, "start": np.int64, "end": np.int64, "kind": np.uint8}
+SHARD = {"h": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64, "left": np.uint8, "size": np.uint8, "bytes": np.uint8}
+STRINGS = {"h": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64}
 
 
 def _home(id_: np.ndarray, tie: np.ndarray, buckets: int) -> np.ndarray:
-    return (mix(id_.view(np.uint64) ^ (tie.astype(np.uint64) << np.uint64(20))) % np.uint64(buckets)).astype(np.int64)
+    return (mix(id_.view(np.uint64) ^ tie.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -166,7 +166,7 @@ def _ask(buckets: int, homes: int):
         parts, held = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids, ties = np.array(batch.column("id")), np.array(batch.column("tie")).astype(np.uint32)
+            ids, ties = np.array(batch.column("id")), np.array(batch.column("tie"))
             for piece, cut, first, base, before, after in segments(data, offsets):
                 at, text, h, context = anchors_of(piece, cut, before, after)
                 parts.append((h & np.uint64((1 << 48) - 1), context, ids[first + text], ties[first + text], at - cut[text] + base))
@@ -248,7 +248,7 @@ def _by_document(table: pa.Table) -> pa.Table:
         spans.append(np.stack(merged(start[i:j][full], end[i:j][full])).tobytes() if full.any() else None)
         for into, which in ((edges, EDGE), (hot, HOT_EDGE)):
             into.append((np.unique(end[i:j][k == which]) - LENGTH).tobytes() if (k == which).any() else None)
-    return pa.table({"id": id_[cut], "tie": pa.array(tie[cut].astype(np.int64)), "spans": pa.array(spans, pa.binary()), "edges": pa.array(edges, pa.binary()), "hot": pa.array(hot, pa.binary())})
+    return pa.table({"id": id_[cut], "tie": tie[cut], "spans": pa.array(spans, pa.binary()), "edges": pa.array(edges, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
 
 def _gather(buckets: int, homes: int):
@@ -273,7 +273,7 @@ def _gather(buckets: int, homes: int):
         strings, held = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids, ties = np.array(batch.column("id")), np.array(batch.column("tie")).astype(np.uint32)
+            ids, ties = np.array(batch.column("id")), np.array(batch.column("tie"))
             places = {k: batch.column(k) for k in ("edges", "hot")}
             parts: list[tuple] = []
             for i in range(batch.num_rows):
@@ -398,11 +398,13 @@ def _strings_settled(homes: int):
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs with the columns id and tie that name a text, and two tables (id, tie, spans): what to remove, as packed starts and ends.
 
-    Order is that of doc_id (null first), then of the text's SHA-256. A span may reach beyond the text's ends.
+    Order is that of doc_id (null first), then of the first 64 bits of the text's SHA-256. A span may reach beyond the text's ends.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "tie": F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 8), 16, 10).cast("long")})
+    # the digest's first 64 bits; with the highest one turned, signed numbers have its order
+    tie = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(_NO_ID))
+    docs = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "tie": tie})
     long_enough = docs.where(F.octet_length("text") >= LENGTH).select("id", "tie", "text")
     # a bucket's answers go to the homes of their documents: at most a row for each pair, or for each answer
     homes = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
