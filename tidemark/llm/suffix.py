@@ -137,45 +137,60 @@ def segments(data: np.ndarray, offsets: np.ndarray):
 def _ask(buckets: int, homes: int):
     """Deals anchors out; told: what a task's own chunk settles, of kind FULL or HOT_EDGE, by home."""
 
-    def flush(parts):
-        h, context, id_, tie, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, tie, id_))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        order = np.lexsort((place, context, h))
-        h, context, id_, tie, at = h[order], context[order], id_[order], tie[order], at[order]
+    def flush(parts, names):
+        h, context, name, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        # an anchor's text is a number in the order of ids and ties, which takes less memory than both of them
+        ids, ties = (np.concatenate(x) for x in zip(*names, strict=True))
+        order = np.lexsort((ties, ids))
+        ids, ties = ids[order], ties[order]
+        number = np.empty(len(order), np.int32)
+        number[order] = np.cumsum(np.concatenate(([False], (ids[1:] != ids[:-1]) | (ties[1:] != ties[:-1]))))
+        first = np.searchsorted(number[order], np.arange(number.max() + 1))
+        ids, ties = ids[first], ties[first]
+        name = number[name]
+        order = np.lexsort((at, name, context, h))
+        h, context, name, at = h[order], context[order], name[order], at[order]
+        del order
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new = new_h | np.concatenate(([True], context[1:] != context[:-1]))
         group = np.cumsum(new_h) - 1
         hot = np.bincount(group, new)[group] > HOT_LOCAL
-        again = np.concatenate(([False], ~new[1:] & ((id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] != at[:-1]))))
+        del group
+        again = np.concatenate(([False], ~new[1:] & ((name[1:] != name[:-1]) | (at[1:] != at[:-1]))))
         kind = np.where(new, np.where(hot, HOT_EDGE, EDGE), FULL).astype(np.uint8)
         keep = new | again
         mark = new_h & hot
-        every = {"h": h, "context": context, "id": id_, "tie": tie, "at": at, "kind": kind}
+
+        def of(which):
+            return {"h": h[which], "context": context[which], "id": ids[name[which]], "tie": ties[name[which]], "at": at[which], "kind": kind[which]}
+
         told = keep & (kind != EDGE)
         if told.any():
-            yield dealt(_home(id_[told], tie[told], homes), {k: v[told] for k, v in every.items()}), True
+            every = of(told)
+            yield dealt(_home(every["id"], every["tie"], homes), every), True
         asked = keep & (kind == EDGE)
-        every = {k: np.concatenate([v[asked], v[mark]]) for k, v in every.items()}
+        every = of(np.concatenate((np.flatnonzero(asked), np.flatnonzero(mark))))
         every["kind"][asked.sum() :] = MARK
         if len(every["h"]):
             yield dealt((every["h"] >> np.uint64(16)).astype(np.int64) % buckets, every), False
 
     def ask(batches):
-        parts, held = [], 0
+        parts, names, rows, held = [], [], 0, 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
-            ids, ties = np.array(batch.column("id")), np.array(batch.column("tie"))
+            own = np.array(batch.column("id")), np.array(batch.column("tie"))
+            names.append(own)
             for piece, cut, first, base, before, after in segments(data, offsets):
                 at, text, h, context = anchors_of(piece, cut, before, after)
-                parts.append((h & np.uint64((1 << 48) - 1), context, ids[first + text], ties[first + text], at - cut[text] + base))
+                parts.append((h & np.uint64((1 << 48) - 1), context, (rows + first + text).astype(np.int32), at - cut[text] + base))
                 held += len(at)
                 if held >= CHUNK:
-                    yield from named(flush(parts))
-                    parts, held = [], 0
+                    yield from named(flush(parts, names))
+                    parts, names, rows, held = [], [own], 0, 0
+            rows += batch.num_rows
         if held:
-            yield from named(flush(parts))
+            yield from named(flush(parts, names))
 
     def named(batches):
         for batch, told in batches:
