@@ -83,17 +83,11 @@ def position(part: Column, place: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, size, source_size, target, taken and position for each row of docs, besides the columns in keep, sorted by position.
-
-    docs needs doc_id, text and source; other columns are ignored. taken is the number of a document's words in the
-    mix: once or twice its size, but for the one document of a source where the target ends, which is taken in part,
-    from its start. The order within a source is that of a digest of the id, so reruns agree. Null ids and sources are
-    ids and a source of their own; null and empty texts have size 0 and are never taken. Repeated rows are documents of
-    their own, and equal ones are alike. An empty table gives no rows.
-    """
-    # a null source is a key of its own, so that plain keys serve the window and the joins alike
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), words().alias("size"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")).alias("digest"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+def _placed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, kept columns, size, source_size, target, place and at for each row of docs: at is the number of its source's words before it."""
+    # a null source is a key of its own, so that plain keys serve the window and the joins alike; a null id's place comes from its text
+    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), words().alias("size"), digest.alias("digest"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     rows = materialize(rows, "sizes") if not keep else rows
     n = rows.count() if not keep else docs.count()
     bits = max(4, math.ceil(math.log2(max(n, 1) / SLOT)))
@@ -113,24 +107,58 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     starts = materialize(starts.join(total.drop("source"), own).select(*own, "slot", "start", "source_size", "target", "place"), "starts")
     over = Window.partitionBy(*own, "slot").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = slotted.withColumn("inside", F.coalesce(F.sum("size").over(over), F.lit(0))).join(starts, [*own, "slot"])
-    at = F.col("start") + F.col("inside")
-    wanted = F.floor(F.col("target")).cast("long")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), wanted - k * F.col("source_size") - at)) for k in range(1, REPEATS)), F.greatest(F.lit(0), F.least(F.col("size"), wanted - at)))
-    part = F.when(F.col("target") > 0, F.least(at / F.col("target"), F.lit(1.0))).otherwise(F.lit(1.0))
-    out = placed.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "size", "source_size", F.col("target"), taken.cast("long").alias("taken"), position(part, F.col("place")).alias("position"))
-    return out.repartitionByRange(shuffle_partitions(docs.sparkSession), "position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return placed.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "size", "source_size", "target", "place", (F.col("start") + F.col("inside")).alias("at"))
+
+
+def _pass(k: Column | int) -> tuple[Column, Column]:
+    """Words that the k-th pass over a source takes of a document, and the training position at which it does."""
+    at = F.lit(k) * F.col("source_size") + F.col("at")
+    took = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - at)).cast("long")
+    return took, F.when(took > 0, position(F.least(at / F.col("target"), F.lit(1.0)), F.col("place")))
+
+
+def _sorted(rows: DataFrame, *by: str) -> DataFrame:
+    """rows in the order of by over ranges, nulls last."""
+    keys = [F.col(c).asc_nulls_last() for c in by]
+    return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
+def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and positions for each row of docs, besides the columns in keep, sorted by first position.
+
+    docs needs doc_id, text and source; other columns are ignored. taken is the number of a document's words in the
+    mix: once or twice its size, but for the one document of a source where the target ends, which is taken in part,
+    from its start. positions has one entry for each time the document is read: a source that is read more than once
+    runs through all of training, its second pass after its first. The order within a source is that of a digest of the
+    id, so reruns agree; null ids, which count as one id, are ordered by a digest of the text. A null source is one of
+    its own; null and empty texts have size 0 and are never taken. Repeated rows are documents of their own, and equal
+    ones are alike. An empty table gives no rows. Sums are computed while the plan is built.
+    """
+    passes = [_pass(k) for k in range(REPEATS)]
+    taken = passes[0][0]
+    for took, _ in passes[1:]:
+        taken = taken + took
+    out = _placed(docs, keep).select("doc_id", *keep, "size", "source_size", "target", taken.alias("taken"), F.array_compact(F.array(*(p for _, p in passes))).alias("positions"))
+    return _sorted(out.withColumn("position", F.get("positions", F.lit(0))), "position", "doc_id").drop("position")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them, columns as they came: in full once or twice, cut after some words, or not at all; sorted by position."""
+    """docs as the mix takes them, columns as they came: in full once or twice, cut after some words, or not at all.
+
+    Each time that a document is read is a row of its own, at the position of that pass; rows are sorted by position.
+    """
     names = docs.columns
     rest = tuple(c for c in names if c != "doc_id")
-    out = mixed(docs, rest).where("taken > 0")
-    copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    out = out.withColumn("copy", F.explode(copies)).withColumn("left", F.col("taken") - (F.col("copy") - 1) * F.col("size"))
-    head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    cut = F.when(F.col("left") < F.col("size"), F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("left").cast("int")), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", F.when(F.col("left") < F.col("size"), F.concat(head, cut)).otherwise(F.col("text")))
+    # clashing names: the operator's own columns and the kept ones never share a frame but here, under other names
+    kept = {c: f"own_{k}" for k, c in enumerate(rest)}
+    rows = _placed(docs.withColumns({v: F.col(c) for c, v in kept.items()}), tuple(kept.values()))
+    passes = F.array(*(F.struct(took.alias("took"), p.alias("position")) for took, p in map(_pass, range(REPEATS))))
+    out = rows.withColumn("passes", F.explode(F.filter(passes, lambda p: p["took"] > 0))).select("doc_id", *(F.col(v) for v in kept.values()), "size", "passes.took", "passes.position")
+    text = F.col(kept["text"])
+    head = F.regexp_extract(text, r"^[\x20\x09-\x0D]*", 0)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), F.col("took").cast("int")), "")
+    out = _sorted(out.withColumn(kept["text"], F.when(F.col("took") < F.col("size"), F.concat(head, cut)).otherwise(text)), "position", "doc_id")
+    own = {**{c: F.col(v) for c, v in kept.items()}, "doc_id": F.col("doc_id")}
     if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(*names)
+        own["n_chars"] = F.length(text).cast("long")
+    return out.select(*(own[c].alias(c) for c in names))

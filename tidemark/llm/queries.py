@@ -38,7 +38,9 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(_table(spark, sf_dir, "documents")).withColumns({"target": F.round("target", 6), "position": F.round("position", 9)})
+    out = mixing.mixed(_table(spark, sf_dir, "documents"))
+    passes = {name: F.round(F.get("positions", F.lit(k)), 6) for k, name in enumerate(("position", "second_position"))}
+    return out.withColumns({"target": F.round("target", 6), **passes}).drop("positions")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,22 +76,20 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 """
 
 MIXING = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '')) as digest from documents),
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, text, '')) as digest from documents),
 s as (select source, sum(size)::bigint as source_size from d group by source),
 p as (select *, (row_number() over (order by source is null, source) - 1) as place from s),
 w as (select *, [5.0, 2.0, 1.0][place % 3 + 1]::double as weight, 2.0::double * source_size as most from p),
 r as (select *, row_number() over (order by most / weight, place) as k from w),
 l as (select k, most / weight as ratio, (1.5::double * (select sum(source_size) from w)::double - coalesce(sum(most) over (order by k rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (order by k rows between current row and unbounded following) as share from r),
 t as (select r.*, least(most, weight * (select share from l where ratio >= share order by k limit 1)) as target from r),
-c as (select d.doc_id, d.size, t.source_size, t.target, t.place, coalesce(sum(d.size) over (partition by d.source order by digest, size rows between unbounded preceding and 1 preceding), 0)::bigint as begins
+c as (select row_number() over () as id, d.doc_id, d.size, t.source_size, t.target, t.place, coalesce(sum(d.size) over (partition by d.source order by digest, size rows between unbounded preceding and 1 preceding), 0)::bigint as begins
       from d join t on d.source is not distinct from t.source),
-u as (select *, case when target > 0 then least(begins / target, 1.0) else 1.0 end as part from c)
-select doc_id, size, source_size, round(target, 6) as target,
-       (greatest(0, least(size, floor(target)::bigint - begins)) + greatest(0, least(size, floor(target)::bigint - source_size - begins)))::bigint as taken,
-       round(case place % 3 when 0 then least(2 * part / greatest(sqrt(greatest(2.25 - 2 * part, 0)) + 1.5, 1e-300), 1.0)
-            when 1 then least(2 * part / (1.0 + 1.0), 1.0)
-            else least(2 * part / (sqrt(0.25 + 2 * part) + 0.5), 1.0) end, 9) as position
-from u
+e as (select id, pass, size, target, place, begins + pass * source_size as begins, greatest(0, least(size, floor(target)::bigint - begins - pass * source_size)) as took from c, (select unnest([0, 1]) as pass)),
+u as (select id, pass, took, case place % 3 when 0 then 1.5 - sqrt(2.25 - 2 * begins / target) when 1 then begins / target else sqrt(0.25 + 2 * begins / target) - 0.5 end as read_at from e where took > 0),
+g as (select id, sum(took) as taken, min(read_at) filter (pass = 0) as position, min(read_at) filter (pass = 1) as second_position from u group by id)
+select doc_id, size, source_size, round(target, 6) as target, coalesce(g.taken, 0)::bigint as taken, round(position, 6) as position, round(second_position, 6) as second_position
+from c left join g on g.id = c.id
 """
 
 JACCARD = r"""
