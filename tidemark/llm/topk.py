@@ -1,8 +1,8 @@
 """Exact top-k search: tiled integer matrix products, partial selection in each tile, tree merging of the lists.
 
 Candidates are cut into tiles of up to TILE vectors, queries into blocks of up to BLOCK. Every tile meets every block
-once: both sides are copied over the other side's blocks and joined on the pair, so no task holds more than one tile
-and one block at a time, and nothing is broadcast. A pair gives each query's k best of the tile; lists are then merged
+once: both sides are copied over the other side's blocks and joined by shuffle on the pair, so that a task meets one
+cell at a time, and nothing is broadcast. A pair gives each query's k best of the tile; lists are then merged
 in rounds of FAN tiles a group.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,22 +20,22 @@ TILE, BLOCK, FAN, K = 1024, 1024, 16, 5
 
 
 def quantized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """floor(256 * x) of each usable vector as a matrix row, and which rows are usable: no nulls and only finite components."""
+    """floor(256 * x) of each usable vector as a matrix row (32-bit), and which rows are usable: no nulls and only finite components."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = column.to_pylist() if column.flatten().null_count or len({len(x) for x in column.to_pylist() if x is not None}) > 1 else None
-    if rows is None:
-        usable = np.array(column.is_valid())
-        flat = np.asarray(column.flatten(), np.float64)
-        matrix = flat.reshape(int(usable.sum()), -1) if usable.any() else np.zeros((0, 0))
-    else:
-        usable = np.array([x is not None and None not in x for x in rows])
-        sizes = {len(x) for x, u in zip(rows, usable, strict=True) if u}
-        if len(sizes) > 1:
-            raise ValueError(f"vectors of different lengths: {sorted(sizes)[:5]}")
-        matrix = np.array([x for x, u in zip(rows, usable, strict=True) if u], np.float64).reshape(int(usable.sum()), -1)
-    finite = np.isfinite(matrix).all(axis=1)
-    usable[np.flatnonzero(usable)[~finite]] = False
-    return np.floor(256 * matrix[finite]).astype(np.int64), usable
+    usable = np.array(column.is_valid())
+    # a null list holds nothing; components of the others lie end to end
+    sizes = np.array(pc.fill_null(pc.list_value_length(column), 0), np.int64)
+    flat = column.flatten()
+    values = np.array(pc.fill_null(flat.cast(pa.float64()), float("nan")))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    usable &= np.bincount(owner, ~np.isfinite(values), len(sizes)) == 0
+    lengths = np.unique(sizes[usable])
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {lengths[:5].tolist()}")
+    scaled = np.floor(256 * values[usable[owner]])
+    if np.abs(scaled).max(initial=0) >= 1 << 31:
+        raise ValueError("a component of 2**23 or more")
+    return scaled.astype(np.int32).reshape(int(usable.sum()), -1), usable
 
 
 def _tiles(size: int):
@@ -64,10 +65,12 @@ def _tiles(size: int):
 
 def products(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Integer inner products; by floating-point matrix product where all partial sums are exact in it."""
-    most = int(np.abs(queries).max(initial=0)) * int(np.abs(candidates).max(initial=0)) * max(queries.shape[1], 1)
+    most = int(np.abs(queries.astype(np.int64)).max(initial=0)) * int(np.abs(candidates.astype(np.int64)).max(initial=0)) * max(queries.shape[1], 1)
     if most < 1 << 53:
         return (queries.astype(np.float64) @ candidates.astype(np.float64).T).astype(np.int64)
-    return queries @ candidates.T
+    if most >= 1 << 63:
+        raise ValueError("inner products of 2**63 or more")
+    return queries.astype(np.int64) @ candidates.astype(np.int64).T
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,7 +92,7 @@ def _meet(k: int):
             out: list[list] = [[], [], [], []]
             for part, q_ids, q_rows, ids, rows in zip(*(batch.column(c).to_pylist() for c in ("part", "q_ids", "q_rows", "ids", "rows")), strict=True):
                 q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                scores = products(np.frombuffer(q_rows, np.int64).reshape(len(q_ids), -1), np.frombuffer(rows, np.int64).reshape(len(ids), -1))
+                scores = products(np.frombuffer(q_rows, np.int32).reshape(len(q_ids), -1), np.frombuffer(rows, np.int32).reshape(len(ids), -1))
                 for i, query in enumerate(q_ids.tolist()):
                     other = ids != query
                     top = best(ids[other], scores[i][other], k)
@@ -101,26 +104,37 @@ def _meet(k: int):
     return lists
 
 
+def _numbered(parts: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """parts written down with number, from 0 without gaps, and how many there are (at least 1). A number for each task reaches the driver."""
+    kept = materialize(parts.select(F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("place"), "*"), name)
+    counts = {r["task"]: r["n"] for r in kept.groupBy("task").agg(F.count("*").alias("n")).collect()}
+    before, total = {}, 0
+    for task in sorted(counts):
+        before[task], total = total, total + counts[task]
+    start = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("task")) if before else F.lit(0)
+    # ids rise by one within a task and begin at its number, shifted
+    return kept.withColumn("number", (start + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("task", "place"), max(total, 1)
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best candidates, its own id excepted.
 
     Both tables need vec_id (integer) and embedding (array of numbers); other columns are ignored. Rows with a null
     id or vector, and vectors with null or non-finite components, take no part; an empty table gives no rows. A
     query_id that repeats with the same vector counts once; a vec_id that repeats among the candidates is as many
-    candidates. Ties go to the smaller vec_id. All vectors must have one length.
+    candidates. Ties go to the smaller vec_id. Vectors of different lengths, components of 2**23 and more, and inner
+    products of 2**63 and more raise an error. Tiles are written down while the plan is built.
     """
     small_batches(vectors.sparkSession)
     usable = "vec_id is not null and embedding is not null"
     rows = vectors.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     asked = queries.where(usable).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").dropDuplicates(["vec_id", "embedding"])
-    number = F.xxhash64(F.monotonically_increasing_id())
-    tiles = materialize(rows.mapInArrow(_tiles(TILE), "ids binary, rows binary").withColumn("number", number), "tiles")
-    blocks = materialize(asked.mapInArrow(_tiles(BLOCK), "ids binary, rows binary").withColumn("number", number), "blocks")
-    high, wide = max(blocks.count(), 1), max(tiles.count(), 1)
-    # cell (r, s) of a grid: the blocks of slot r and the tiles of slot s
-    left = blocks.select(F.pmod("number", F.lit(high)).alias("r"), F.explode(F.expr(f"sequence(0L, {wide - 1}L)")).alias("s"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
-    right = tiles.select(F.explode(F.expr(f"sequence(0L, {high - 1}L)")).alias("r"), F.pmod("number", F.lit(wide)).alias("s"), "ids", "rows")
-    met = left.join(right, ["r", "s"]).select(F.col("s").alias("part"), "q_ids", "q_rows", "ids", "rows")
+    tiles, wide = _numbered(rows.mapInArrow(_tiles(TILE), "ids binary, rows binary"), "tiles")
+    blocks, high = _numbered(asked.mapInArrow(_tiles(BLOCK), "ids binary, rows binary"), "blocks")
+    # cell (r, s) of a grid: block r and tile s, one of each; the grid is far larger than its sides, so it is never broadcast
+    left = blocks.select(F.col("number").alias("r"), F.explode(F.expr(f"sequence(0L, {wide - 1}L)")).alias("s"), F.col("ids").alias("q_ids"), F.col("rows").alias("q_rows"))
+    right = tiles.select(F.explode(F.expr(f"sequence(0L, {high - 1}L)")).alias("r"), F.col("number").alias("s"), "ids", "rows")
+    met = left.hint("merge").join(right, ["r", "s"]).select(F.col("s").alias("part"), "q_ids", "q_rows", "ids", "rows")
     lists = met.mapInArrow(_meet(k), _LISTS).select("query_id", "part", F.expr("transform(arrays_zip(scores, ids), x -> struct(-x.scores as less, x.ids as id))").alias("top"))
     while True:
         wide = -(-wide // FAN)
