@@ -2,10 +2,8 @@
 
 A text is laid out in blocks of 16 bytes; a chunk is two neighbouring blocks, so chunks overlap by half and cover the
 whole text. Each byte becomes a learned vector, learned filters respond to a chunk's 32 vectors, and each filter's
-largest response over all chunks is kept. Beside them stands one fixed response: the largest share of bytes, over four
-blocks and lags of 2 to 32, that equal the byte one lag before (text that repeats itself), as far as it is over a half. A logistic unit combines
-the pooled responses into one probability. Memory follows the size of a piece of text, and results don't depend on
-how texts are batched.
+largest response over all chunks is kept. A logistic unit combines the pooled responses into one probability. Memory
+follows the size of a piece of text, and results don't depend on how texts are batched.
 """
 
 from __future__ import annotations
@@ -18,7 +16,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import id_crc, pieces, small_batches, text_bytes
 
 BLOCK, CHUNK, VECTOR, FILTERS = 16, 32, 8, 32
-LAGS = range(2, 33)
 #: The model is fitted on so many labelled texts at most, of so many bytes at most each; texts to score have no bound.
 FIT_ROWS, FIT_BYTES = 3000, 1 << 16
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.004, 1e-4
@@ -35,7 +32,7 @@ class Network:
         self.vectors[0] = 0
         self.filters = (r.standard_normal((CHUNK * VECTOR, FILTERS)) * 0.08).astype(np.float32)
         self.bias = np.zeros(FILTERS, np.float32)
-        self.out = np.zeros(FILTERS + 1, np.float32)
+        self.out = np.zeros(FILTERS, np.float32)
         self.out_bias = np.zeros(1, np.float32)
 
     def parameters(self) -> list[np.ndarray]:
@@ -43,10 +40,10 @@ class Network:
 
 
 def laid_out(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Blocks of all texts with four empty blocks after each text, each text's first block, and its number of blocks."""
+    """Blocks of all texts with an empty block after each text, each text's first block, and its number of blocks."""
     sizes = np.diff(offsets)
     many = -(-sizes // BLOCK)
-    first = np.concatenate(([0], np.cumsum(many + 4)))
+    first = np.concatenate(([0], np.cumsum(many + 1)))
     out = np.zeros(int(first[-1]) * BLOCK, np.uint8)
     out[np.arange(len(data)) + np.repeat(first[:-1] * BLOCK - offsets[:-1], sizes)] = data
     return out.reshape(-1, BLOCK), first[:-1], many
@@ -62,21 +59,6 @@ def _pool(values: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray
     return out
 
 
-def repetition(blocks: np.ndarray, first: np.ndarray, many: np.ndarray) -> np.ndarray:
-    flat = blocks.ravel()
-    best = np.zeros(len(blocks), np.uint8)
-    for lag in LAGS:
-        equal = np.zeros(len(flat), bool)
-        np.equal(flat[lag:], flat[:-lag], out=equal[lag:])
-        equal &= flat != 0
-        count = np.bitwise_count(equal.view(np.uint64)).reshape(-1, 2).sum(axis=1, dtype=np.uint8)
-        four = count.copy()
-        for k in (1, 2, 3):
-            four[:-k] += count[k:]
-        np.maximum(best, four, out=best)
-    return np.maximum(_pool(best, first, many).astype(np.float32) / (2 * BLOCK) - 1, 0) * 10
-
-
 def responses(blocks: np.ndarray, network: Network) -> np.ndarray:
     """The filters' responses to the chunk that begins at each block."""
     half = BLOCK * VECTOR
@@ -92,21 +74,20 @@ def responses(blocks: np.ndarray, network: Network) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray, network: Network) -> np.ndarray:
     blocks, first, many = laid_out(data, offsets)
     if not len(blocks):
-        return np.zeros((len(first), FILTERS + 1), np.float32)
+        return np.zeros((len(first), FILTERS), np.float32)
     # a text's last block is the second half of a chunk, unless it is the only one
-    pooled = np.maximum(_pool(responses(blocks, network), first, np.where(many > 1, many - 1, many)), 0)
-    return np.concatenate([pooled, repetition(blocks, first, many)[:, None]], axis=1)
+    return np.maximum(_pool(responses(blocks, network), first, np.where(many > 1, many - 1, many)), 0)
 
 
 def score(data: np.ndarray, offsets: np.ndarray, network: Network) -> np.ndarray:
-    """Probability that each text is good. Longer texts than a piece are worked on in parts that overlap by four blocks."""
+    """Probability that each text is good. Longer texts than two pieces are worked on in parts that overlap, so that every chunk of the whole is in one."""
     out = np.zeros(len(offsets) - 1)
     for at, to in pieces(offsets, PIECE):
         if offsets[to] - offsets[at] > 2 * PIECE:
             lo, hi = int(offsets[at]), int(offsets[to])
-            x = np.zeros((1, FILTERS + 1), np.float32)
+            x = np.zeros((1, FILTERS), np.float32)
             for i in range(lo, hi, PIECE):
-                j = min(i + PIECE + 4 * BLOCK, hi)
+                j = min(i + PIECE + BLOCK, hi)
                 x = np.maximum(x, features(data[i:j], np.array([0, j - i]), network))
         else:
             x = features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], network)
@@ -114,8 +95,31 @@ def score(data: np.ndarray, offsets: np.ndarray, network: Network) -> np.ndarray
     return out
 
 
+def gradients(texts: list[bytes], good: np.ndarray, network: Network) -> list[np.ndarray]:
+    """The mean log loss's gradient by each of the network's parameters; that of a pooled response goes to the chunk that won."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    blocks, first, many = laid_out(data, np.concatenate(([0], np.cumsum([len(x) for x in texts]))))
+    z = responses(blocks, network)
+    chunks = np.where(many > 1, many - 1, many)
+    won = np.stack([z[a : a + m].argmax(axis=0) + a if m else np.zeros(FILTERS, np.int64) for a, m in zip(first.tolist(), chunks.tolist(), strict=True)])
+    pooled = np.where(chunks[:, None] > 0, z[won, np.arange(FILTERS)], 0)
+    x = np.maximum(pooled, 0)
+    p = 1 / (1 + np.exp(-(x @ network.out + network.out_bias[0])))
+    error = ((p - good) / len(texts)).astype(np.float32)
+    back = error[:, None] * network.out[None] * (pooled > 0)
+    seen = np.concatenate([blocks[won], blocks[np.minimum(won + 1, len(blocks) - 1)]], axis=2).reshape(len(texts) * FILTERS, CHUNK)
+    inputs = network.vectors[seen].reshape(len(texts), FILTERS, CHUNK * VECTOR)
+    to_filters = np.einsum("bf,bfk->kf", back, inputs)
+    to_inputs = back.ravel()[:, None] * np.tile(network.filters.T, (len(texts), 1))
+    to_vectors = np.zeros_like(network.vectors)
+    for v in range(VECTOR):
+        to_vectors[:, v] = np.bincount(seen.ravel(), to_inputs[:, v::VECTOR].ravel(), 256)
+    to_vectors[0] = 0
+    return [to_vectors, to_filters, back.sum(axis=0), x.T @ error, error.sum(keepdims=True)]
+
+
 def fit(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
-    """A network fitted to labelled texts by Adam; the gradient of a pooled response goes to the chunk that won."""
+    """A network fitted to labelled texts by Adam, with decaying steps and weight decay on the filters."""
     network = Network(seed)
     if not len(texts):
         return network
@@ -123,34 +127,17 @@ def fit(texts: list[bytes], good: np.ndarray, seed: int = 7) -> Network:
     rate = np.clip(good.mean(), 0.01, 0.99)
     network.out_bias[0] = np.log(rate / (1 - rate))
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in network.parameters()]
-    step, half = 0, BLOCK * VECTOR
+    step = 0
     for epoch in range(EPOCHS):
         order = r.permutation(len(texts))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
-            data = np.frombuffer(b"".join(texts[k] for k in own), np.uint8)
-            offsets = np.concatenate(([0], np.cumsum([len(texts[k]) for k in own])))
-            blocks, first, many = laid_out(data, offsets)
-            if not len(blocks):
+            if not any(len(texts[k]) for k in own):
                 continue
-            z = responses(blocks, network)
-            chunks = np.where(many > 1, many - 1, many)
-            won = np.stack([z[a : a + m].argmax(axis=0) + a if m else np.zeros(FILTERS, np.int64) for a, m in zip(first.tolist(), chunks.tolist(), strict=True)])
-            pooled = np.where(chunks[:, None] > 0, z[won, np.arange(FILTERS)], 0)
-            x = np.concatenate([np.maximum(pooled, 0), repetition(blocks, first, many)[:, None]], axis=1)
-            p = 1 / (1 + np.exp(-(x @ network.out + network.out_bias[0])))
-            error = ((p - good[own]) / len(own)).astype(np.float32)
-            back = error[:, None] * network.out[None, :FILTERS] * (pooled > 0)
-            seen = np.concatenate([blocks[won], blocks[np.minimum(won + 1, len(blocks) - 1)]], axis=2).reshape(len(own) * FILTERS, CHUNK)
-            inputs = network.vectors[seen].reshape(len(own), FILTERS, CHUNK * VECTOR)
-            to_filters = np.einsum("bf,bfk->kf", back, inputs)
-            to_inputs = back.ravel()[:, None] * np.tile(network.filters.T, (len(own), 1))
-            to_vectors = np.zeros_like(network.vectors)
-            for v in range(VECTOR):
-                to_vectors[:, v] = np.bincount(seen.ravel(), to_inputs[:, v::VECTOR].ravel(), 256)
-            to_vectors[0] = 0
+            grads = gradients([texts[k] for k in own], good[own], network)
+            grads[1] = grads[1] + DECAY * network.filters
             step += 1
-            for value, (m, s), g in zip(network.parameters(), moments, (to_vectors, to_filters + DECAY * network.filters, back.sum(axis=0), x.T @ error, error.sum(keepdims=True)), strict=True):
+            for value, (m, s), g in zip(network.parameters(), moments, grads, strict=True):
                 m += 0.1 * (g - m)
                 s += 0.01 * (g * g - s)
                 value -= RATE * (1 - epoch / EPOCHS) * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.99**step)) + 1e-6)
