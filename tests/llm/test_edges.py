@@ -193,32 +193,49 @@ def test_language_model_is_a_distribution_and_base_is_exact(spark):
 
 
 def test_one_token_probabilities_sum_to_one():
-    head = [(w.encode(), 5) for w in ("the", "a", "cat")] + [(maxent.END, 7)]
+    head = [(w.encode(), 5) for w in ("the", "a", "cat")] + [(maxent.END, 7)] + [(f"w{k}".encode(), 1) for k in range(1100)]
     tail = np.zeros(maxent.TAILS)
-    words = np.zeros(maxent.TAILS)
-    vocabulary = maxent.Vocabulary(head, 22, 4, tail, words)
+    vocabulary = maxent.Vocabulary(head, 1122, 1104, tail, tail)
     model = maxent.Model(vocabulary, tail)
     r = np.random.default_rng(0)
-    model.classes[:] = r.standard_normal(model.classes.shape)
-    model.words[:] = r.standard_normal(model.words.shape)
-    total = 0.0
-    for w in [b"the", b"a", b"cat"]:
-        data = np.frombuffer(b"cat the " + w, np.uint8)
-        total += 10 ** maxent.log_probabilities(maxent.Stream(data, np.array([0, len(data)]), vocabulary), model)[2]
-    total += 10 ** maxent.log_probabilities(maxent.Stream(np.frombuffer(b"cat the", np.uint8), np.array([0, 7]), vocabulary), model)[2]
+    for table in model.tables:
+        table[:] = r.standard_normal(table.shape)
+
+    def last(text):
+        data = np.frombuffer(text, np.uint8)
+        return 10 ** maxent.log_probabilities(maxent.Stream(data, np.array([0, len(data)]), vocabulary, len(model.tables[0])), model)[2]
+
+    total = sum(last(b"cat the " + w) for w, _ in head if w != maxent.END) + last(b"cat the")
     seen = set()
     for k in range(1 << 14):
         w = bytes([97 + k % 26, 97 + k // 26 % 26])
         t = maxent.tail_class(w)
-        if t in seen or w in (b"a",):
-            continue
-        seen.add(t)
-        data = np.frombuffer(b"cat the " + w, np.uint8)
-        s = maxent.Stream(data, np.array([0, len(data)]), vocabulary)
-        total += 10 ** maxent.log_probabilities(s, model)[2]
+        if t not in seen and w != b"w1":
+            seen.add(t)
+            total += last(b"cat the " + w)
     assert len(seen) == maxent.TAILS and abs(total - 1) < 1e-4
 
 
+def test_language_model_does_not_depend_on_partitions_and_learns(spark, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 60)
+    monkeypatch.setattr(maxent, "PIECE", 1000)
+    r = np.random.default_rng(7)
+    words = [f"w{k}" for k in range(100)]
+    texts = []
+    for i in range(800):
+        own, k = [], int(r.integers(100))
+        for _ in range(30):
+            own.append(words[k])
+            k = (k * 7 + 3) % 100 if r.random() < 0.8 else int(r.integers(100))
+        texts.append((i, " ".join(own) + (f" only{i}" if i % 5 == 0 else "")))
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    one, other = (sorted(map(tuple, maxent.scored(x).collect())) for x in (df.repartition(1), df.repartition(6)))
+    assert [x[:5] for x in one] == [x[:5] for x in other]
+    assert np.allclose([x[5:] for x in one], [x[5:] for x in other], rtol=1e-6)
+    held = [x for x in one if x[1]]
+    assert len(held) > 100 and sum(x[6] for x in held) > 0.9 * sum(x[5] for x in held)  # log10, below 0: the base does not see what stands before
+
+
 def test_top_k_edges(spark):
     rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.5]), (2, [1.0, 0.5]), (3, None), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (None, [1.0, 1.0]), (6, [-1.0, 0.1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x"))
