@@ -92,8 +92,10 @@ def brute_force_removed(texts):
     return out
 
 
-def test_suffix_dedup_against_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", 3)
+@pytest.mark.parametrize("hot", [3, 4096])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix, "HOT", hot)
+    monkeypatch.setattr(suffix, "MEMORY", 1 << 14)
     r = np.random.default_rng(3)
     word = lambda: "".join(r.choice(list("abcdé"), r.integers(1, 6)))
     passages = [" ".join(word() for _ in range(40)) for _ in range(4)]
@@ -108,13 +110,13 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
 def test_pieces_of_a_long_text_give_the_anchors_of_the_whole(monkeypatch):
     data = np.random.default_rng(11).integers(97, 105, 5000).astype(np.uint8)
     offsets = np.array([0, 150, 4700, 5000])
-    at, text, h, context = suffix.anchors_of(data, offsets)
-    whole = set(zip(text.tolist(), (at - offsets[text]).tolist(), h.tolist(), context.tolist(), strict=True))
+    at, text, *named = suffix.anchors_of(data, offsets)
+    whole = set(zip(text.tolist(), (at - offsets[text]).tolist(), *(x.tolist() for x in named), strict=True))
     monkeypatch.setattr(suffix, "PIECE", 400)
     found = set()
     for piece, cut, first, base, *around in suffix.segments(data, offsets):
-        at, text, h, context = suffix.anchors_of(piece, cut, *around)
-        found |= set(zip((first + text).tolist(), (at - cut[text] + base).tolist(), h.tolist(), context.tolist(), strict=True))
+        at, text, *named = suffix.anchors_of(piece, cut, *around)
+        found |= set(zip((first + text).tolist(), (at - cut[text] + base).tolist(), *(x.tolist() for x in named), strict=True))
     assert found == whole
 
 

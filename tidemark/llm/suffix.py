@@ -5,18 +5,22 @@ shards are cut by content. Of every 81 neighbouring 20-byte strings the one with
 100-byte string holds the anchor of its own 81, and equal strings hold equal ones. What surrounds an anchor (80 bytes
 to the left, 100 from its start on) is its context and holds all strings that belong to it.
 
-1. Each task deals its anchors into buckets: hash, hash of the context, document and place, a few bytes each.
-2. A bucket's anchors that occur once fall away. Where a context was seen earlier, all of it is a repeat. The rest are
-   edges: an anchor with other contexts elsewhere, of which some strings may repeat.
+1. Each task deals its anchors into buckets: hash, digest of the context, document and place, a few bytes each.
+2. A bucket's anchors that occur once fall away. Where a context was seen earlier, all of it is a repeat. A string
+   with an anchor holds 40 bytes more on one side of it, so what shares neither those 60 bytes with another context of
+   the anchor falls away as well. The rest are edges: contexts of which some strings may repeat.
 3. Only edges' contexts are gathered by anchor. Each such shard is suffix-sorted by external induction (induced.py),
-   and neighbours that share 100 bytes or more are repeats of the earliest of their run.
-4. Anchors with very many contexts would make one large shard. Their strings are dealt out one by one, by hash,
-   after each task has kept the earliest of its own.
+   and neighbours that share 100 bytes are repeats of the earliest of their run.
+4. An anchor with very many contexts would make one shard of many documents. Its contexts are split into their strings,
+   which is as long a context as there is: each batch keeps its first of equal ones, hashes tell which of these occur
+   in more than one batch, and only such strings are gathered, by hash, and suffix-sorted as well.
 """
 
 from __future__ import annotations
 
 import hashlib
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,18 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Rolling, materialize, mix, pack, shuffle_partitions, small_batches, text_bytes, unpacked
-from tidemark.llm.induced import suffix_order
+from tidemark.llm.induced import MEMORY, suffixes
 
 #: Length of a repeat; of an anchor; the anchors among which one is chosen, which is also how far a context goes left, and one more.
 LENGTH, ANCHOR = 100, 20
 CHOICE = LENGTH - ANCHOR + 1
-#: Contexts of one anchor in a task's chunk, or in a bucket, from which its strings are dealt out one by one.
-HOT_LOCAL, HOT = 32, 512
+#: Bytes beside an anchor of which every string with it holds those of one side.
+SIDE = (LENGTH - ANCHOR) // 2
+#: Contexts of one anchor in a task's chunk, or in a bucket, from which they are split into strings.
+HOT_LOCAL, HOT = 32, 4096
 #: Anchors that a task holds before it deals them out; bytes that it works on at once (under 2**22).
 CHUNK, PIECE = 1_000_000, 1 << 21
-#: Bytes of contexts that are sorted at once.
-PART = 1 << 21
-
 _PLACE = np.uint64((1 << 22) - 1)
 _NO_ID = -(1 << 63)
 
@@ -66,18 +69,18 @@ def schema(columns: dict[str, type]) -> str:
     return "bucket int" + "".join(f", {name} binary" for name in columns)
 
 
-ASKED = {"h": np.uint64, "context": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64, "kind": np.uint8}
+ASKED = {"h": np.uint64, "context": np.uint64, "before": np.uint16, "after": np.uint16, "id": np.int64, "tie": np.int64, "at": np.int64, "kind": np.uint8}
 TOLD = {"id": np.int64, "tie": np.int64, "start": np.int64, "end": np.int64, "kind": np.uint8}
 SHARD = {"h": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64, "left": np.uint8, "size": np.uint8, "bytes": np.uint8}
-STRINGS = {"h": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64}
+STRINGS = {"h": np.uint64, "id": np.int64, "tie": np.int64, "at": np.int64, "again": np.uint8}
 
 
 def _home(id_: np.ndarray, tie: np.ndarray, buckets: int) -> np.ndarray:
     return (mix(id_.view(np.uint64) ^ tie.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
 
 
-def anchors_of(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors of texts that lie end to end (under 2**22 bytes): place, text, hash and hash of the context.
+def anchors_of(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: int = 0) -> tuple[np.ndarray, ...]:
+    """Anchors of texts that lie end to end (under 2**22 bytes): place, text, hash, digest of the context, and hashes with 40 bytes to the left and to the right (0 where there are fewer).
 
     Strings that reach into the first before or the last after bytes choose none: these only complete the contexts.
     """
@@ -85,7 +88,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: in
     empty = np.zeros(0, np.int64)
     sizes = np.diff(offsets)
     if n < LENGTH or sizes.max(initial=0) < LENGTH:
-        return empty, empty, empty.view(np.uint64), empty.view(np.uint64)
+        return empty, empty, empty.view(np.uint64), empty.view(np.uint64), empty.astype(np.uint16), empty.astype(np.uint16)
     rolling = Rolling(data)
     start = np.arange(n - ANCHOR + 1)
     h = rolling.of(start, start + ANCHOR)
@@ -111,7 +114,14 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, before: int = 0, after: in
     text = np.searchsorted(offsets, at, side="right") - 1
     left = np.minimum(at - offsets[text], CHOICE - 1)
     right = np.minimum(at + LENGTH, offsets[text + 1])
-    return at, text, h[at], mix(rolling.of(at - left, right) + left.astype(np.uint64)) & np.uint64((1 << 48) - 1)
+    # 64 bits of a cryptographic digest name a context; how far it goes to the left is part of it
+    raw = data.tobytes()
+    digest = np.frombuffer(b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip((at - left).tolist(), right.tolist(), strict=True)]), np.uint64)
+    sides = []
+    for a, b in ((at - SIDE, at + ANCHOR), (at, at + ANCHOR + SIDE)):
+        inside = (a >= offsets[text]) & (b <= offsets[text + 1])
+        sides.append(np.where(inside, rolling.of(np.where(inside, a, 0), np.where(inside, b, 0)) & np.uint64(0xFFFF) | np.uint64(1), 0).astype(np.uint16))
+    return at, text, h[at], digest ^ mix(left.astype(np.uint64)), *sides
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
@@ -138,7 +148,7 @@ def _ask(buckets: int, homes: int):
     """Deals anchors out; told: what a task's own chunk settles, of kind FULL or HOT_EDGE, by home."""
 
     def flush(parts, names):
-        h, context, name, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+        h, context, before, after, name, at = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()
         # an anchor's text is a number in the order of ids and ties, which takes less memory than both of them
         ids, ties = (np.concatenate(x) for x in zip(*names, strict=True))
@@ -150,7 +160,7 @@ def _ask(buckets: int, homes: int):
         ids, ties = ids[first], ties[first]
         name = number[name]
         order = np.lexsort((at, name, context, h))
-        h, context, name, at = h[order], context[order], name[order], at[order]
+        h, context, before, after, name, at = (x[order] for x in (h, context, before, after, name, at))
         del order
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new = new_h | np.concatenate(([True], context[1:] != context[:-1]))
@@ -163,7 +173,7 @@ def _ask(buckets: int, homes: int):
         mark = new_h & hot
 
         def of(which):
-            return {"h": h[which], "context": context[which], "id": ids[name[which]], "tie": ties[name[which]], "at": at[which], "kind": kind[which]}
+            return {"h": h[which], "context": context[which], "before": before[which], "after": after[which], "id": ids[name[which]], "tie": ties[name[which]], "at": at[which], "kind": kind[which]}
 
         told = keep & (kind != EDGE)
         if told.any():
@@ -182,8 +192,8 @@ def _ask(buckets: int, homes: int):
             own = np.array(batch.column("id")), np.array(batch.column("tie"))
             names.append(own)
             for piece, cut, first, base, before, after in segments(data, offsets):
-                at, text, h, context = anchors_of(piece, cut, before, after)
-                parts.append((h & np.uint64((1 << 48) - 1), context, (rows + first + text).astype(np.int32), at - cut[text] + base))
+                at, text, h, context, *sides = anchors_of(piece, cut, before, after)
+                parts.append((h & np.uint64((1 << 48) - 1), context, *sides, (rows + first + text).astype(np.int32), at - cut[text] + base))
                 held += len(at)
                 if held >= CHUNK:
                     yield from named(flush(parts, names))
@@ -209,16 +219,23 @@ def _answer(homes: int):
     def answer(table: pa.Table) -> pa.Table:
         c = {k: unpack(table, k, kind) for k, kind in ASKED.items()}
         order = np.lexsort((c["at"], c["tie"], c["id"], c["context"], c["kind"] == MARK, c["h"]))
-        h, context, id_, tie, at, kind = (c[k][order] for k in ASKED)
+        h, context, before, after, id_, tie, at, kind = (c[k][order] for k in ASKED)
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         group = np.cumsum(new_h) - 1
         real = kind != MARK
         new = (new_h | np.concatenate(([True], context[1:] != context[:-1]))) & real
-        many = np.bincount(group, new)[group]
-        hot = (np.bincount(group, ~real)[group] > 0) | (many > HOT)
+        # contexts that share a side with another context of their anchor
+        shares = np.zeros(len(h), bool)
+        for side in (before, after):
+            own = np.flatnonzero(new & (side > 0))
+            own = own[np.lexsort((side[own], group[own]))]
+            same = (group[own][1:] == group[own][:-1]) & (side[own][1:] == side[own][:-1])
+            shares[own[1:][same]] = shares[own[:-1][same]] = True
+        marked = np.bincount(group, ~real)[group] > 0
+        hot = marked | (np.bincount(group, shares)[group] > HOT)
         same = np.concatenate(([False], (id_[1:] == id_[:-1]) & (tie[1:] == tie[:-1]) & (at[1:] == at[:-1]) & ~new[1:]))
         out = np.where(new, np.where(hot, HOT_EDGE, EDGE), FULL).astype(np.uint8)
-        keep = real & ~same & (~new | hot | (many > 1))
+        keep = real & ~same & (~new | marked | shares)
         id_, tie, at, out = id_[keep], tie[keep], at[keep], out[keep]
         return _told(homes, id_, tie, *_reach(at), out)
 
@@ -266,39 +283,66 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"id": id_[cut], "tie": tie[cut], "spans": pa.array(spans, pa.binary()), "edges": pa.array(edges, pa.binary()), "hot": pa.array(hot, pa.binary())})
 
 
+def _contexts(data: np.ndarray, parts: list[tuple], buckets: int) -> pa.RecordBatch:
+    """Contexts for the shards, a row for each bucket: hash, document, place, bytes to the left, size, and where its bytes begin."""
+    h, id_, tie, at, left, size, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
+    bucket = (h >> np.uint64(16)).astype(np.int64) % buckets
+    order = np.argsort(bucket, kind="stable")
+    h, id_, tie, at, left, size, begin, bucket = (x[order] for x in (h, id_, tie, at, left, size, begin, bucket))
+    cut = np.flatnonzero(np.diff(bucket, prepend=-1))
+    rows = []
+    for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
+        shard = b"".join([data[b : b + s].tobytes() for b, s in zip(begin[i:j].tolist(), size[i:j].tolist(), strict=True)])
+        rows.append([*(pack(x[i:j]) for x in (h, id_, tie, at, left.astype(np.uint8), size.astype(np.uint8))), shard])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(7))], ["bucket", *SHARD])
+
+
+_GATHERED = schema(SHARD) + ", again binary, kind int"
+
+
 def _gather(buckets: int, homes: int):
-    """Edges' contexts for the shards, and the hot ones' strings; the columns that a row doesn't have are null."""
-    names = ["bucket", "h", "id", "tie", "at", "left", "size", "bytes", "kind"]
+    """Of kind 0 edges' contexts for the shards; 1 the batch's strings of hot ones, the first of equal ones; 2 the others, which are repeats. The columns that a row doesn't have are null."""
+    names = ["bucket", *SHARD, "again"]
 
     def row(batch, kind):
         have = {n: batch.column(n) for n in batch.schema.names}
-        return pa.RecordBatch.from_arrays([have.get(n, pa.nulls(batch.num_rows, pa.binary())) for n in names[:-1]] + [pa.array([kind] * batch.num_rows, pa.int32())], names)
+        return pa.RecordBatch.from_arrays([have.get(n, pa.nulls(batch.num_rows, pa.binary())) for n in names] + [pa.array([kind] * batch.num_rows, pa.int32())], [*names, "kind"])
 
-    def flush(strings):
-        h, id_, tie, at = (np.concatenate(x) for x in zip(*strings, strict=True))
+    def split(data, strings):
+        h, id_, tie, at, begin = (np.concatenate(x) for x in zip(*strings, strict=True))
         order = np.lexsort((at, tie, id_, h))
-        h, id_, tie, at = h[order], id_[order], tie[order], at[order]
+        h, id_, tie, at, begin = (x[order] for x in (h, id_, tie, at, begin))
         new = np.concatenate(([True], h[1:] != h[:-1]))
-        yield row(dealt((h[new] >> np.uint64(16)).astype(np.int64) % buckets, {"h": h[new], "id": id_[new], "tie": tie[new], "at": at[new]}), 1)
-        later = ~new & np.concatenate(([False], (id_[1:] != id_[:-1]) | (tie[1:] != tie[:-1]) | (at[1:] != at[:-1])))
-        if later.any():
+        first = np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
+        later = np.flatnonzero(~new & ((id_ != id_[first]) | (tie != tie[first]) | (at != at[first])))
+        # equal hashes are repeats if the bytes are; a string that only has another's hash stands for itself
+        view, equal = np.lib.stride_tricks.sliding_window_view(data, LENGTH), np.ones(len(later), bool)
+        for i in range(0, len(later), 1 << 15):
+            part = later[i : i + (1 << 15)]
+            equal[i : i + len(part)] = (view[begin[part]] == view[begin[first[part]]]).all(axis=1)
+        alone = later[~equal]
+        later = later[equal]
+        again = np.zeros(len(h), np.uint8)
+        again[first[alone]] = again[alone] = 1
+        sent = np.sort(np.concatenate((np.flatnonzero(new), alone)))
+        yield row(dealt((h[sent] >> np.uint64(16)).astype(np.int64) % buckets, {"h": h[sent], "id": id_[sent], "tie": tie[sent], "at": at[sent], "again": again[sent]}), 1)
+        if len(later):
             yield row(dealt(_home(id_[later], tie[later], homes), {"id": id_[later], "tie": tie[later], "at": at[later]}), 2)
 
     def gather(batches):
-        strings, held = [], 0
         for batch in batches:
             data, offsets = text_bytes(batch.column("text"))
             ids, ties = np.array(batch.column("id")), np.array(batch.column("tie"))
             places = {k: batch.column(k) for k in ("edges", "hot")}
             parts: list[tuple] = []
+            strings: list[tuple] = []
             for i in range(batch.num_rows):
                 lo, hi = int(offsets[i]), int(offsets[i + 1])
                 if (blob := places["edges"][i].as_buffer()) is not None:
                     at = np.frombuffer(blob, np.int64) + lo
                     left = np.minimum(at - lo, CHOICE - 1)
                     right = np.minimum(at + LENGTH, hi)
-                    h = mixed(data, at)
-                    parts.append((h, np.full(len(at), ids[i]), np.full(len(at), ties[i]), at - lo, left, right - at + left, at - left))
+                    parts.append((mixed(data, at), np.full(len(at), ids[i]), np.full(len(at), ties[i]), at - lo, left, right - at + left, at - left))
                 if (blob := places["hot"][i].as_buffer()) is not None:
                     at = np.frombuffer(blob, np.int64)
                     first, last = merged(np.maximum(at - (CHOICE - 1), 0), np.minimum(at, hi - lo - LENGTH) + 1)
@@ -307,24 +351,29 @@ def _gather(buckets: int, homes: int):
                     if len(starts):
                         base = int(starts[0])
                         rolling = Rolling(data[lo + base : lo + int(starts[-1]) + LENGTH])
-                        strings.append((rolling.of(starts - base, starts - base + LENGTH), np.full(len(starts), ids[i]), np.full(len(starts), ties[i]), starts))
-                        held += len(starts)
-                        if held >= CHUNK:
-                            yield from flush(strings)
-                            strings, held = [], 0
+                        strings.append((rolling.of(starts - base, starts - base + LENGTH), np.full(len(starts), ids[i]), np.full(len(starts), ties[i]), starts, lo + starts))
             if parts:
-                h, id_, tie, at, left, size, begin = (np.concatenate(x) for x in zip(*parts, strict=True))
-                bucket = (h >> np.uint64(16)).astype(np.int64) % buckets
-                order = np.argsort(bucket, kind="stable")
-                h, id_, tie, at, left, size, begin, bucket = (x[order] for x in (h, id_, tie, at, left, size, begin, bucket))
-                cut = np.flatnonzero(np.diff(bucket, prepend=-1))
-                rows = []
-                for i, j in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)], strict=True):
-                    shard = b"".join([data[b : b + s].tobytes() for b, s in zip(begin[i:j].tolist(), size[i:j].tolist(), strict=True)])
-                    rows.append([*(pack(x[i:j]) for x in (h, id_, tie, at, left.astype(np.uint8), size.astype(np.uint8))), shard])
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(7)), pa.array([0] * len(rows), pa.int32())], names)
-        if held:
-            yield from flush(strings)
+                yield row(_contexts(data, parts, buckets), 0)
+            if strings:
+                yield from split(data, strings)
+
+    return gather
+
+
+def _gather_strings(buckets: int):
+    """The strings at given places of texts (edges), as contexts without anything to the left."""
+
+    def gather(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            parts = []
+            for i in range(batch.num_rows):
+                at = np.frombuffer(batch.column("edges")[i].as_buffer(), np.int64)
+                lo, n = int(offsets[i]), len(at)
+                h = Rolling(data[lo : int(offsets[i + 1])]).of(at, at + LENGTH)
+                parts.append((h, np.full(n, batch.column("id")[i].as_py()), np.full(n, batch.column("tie")[i].as_py()), at, np.zeros(n, np.int64), np.full(n, LENGTH), at + lo))
+            if parts:
+                yield _contexts(data, parts, buckets)
 
     return gather
 
@@ -338,65 +387,75 @@ def mixed(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(h) & np.uint64((1 << 48) - 1)
 
 
-def _sort_shard(homes: int):
+def _sort_shard(homes: int, memory: int):
     """Suffix-sorts the contexts of a shard and tells each string that an earlier one equals."""
 
-    def sort(table: pa.Table) -> pa.Table:
-        h, id_, tie, at, left, size = (unpack(table, k, SHARD[k]) for k in ("h", "id", "tie", "at", "left", "size"))
-        text = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bytes")])
-        begin = np.cumsum(size, dtype=np.int64) - size
-        # anchors don't meet each other: a large shard is sorted in parts of some anchors each
-        parts = -(-len(text) // PART)
-        part = (mix(h) % np.uint64(parts)).astype(np.int64)
-        out = []
-        for k in range(parts):
-            own = np.flatnonzero(part == k)
-            spots = np.repeat(begin[own] - (np.cumsum(size[own], dtype=np.int64) - size[own]), size[own]) + np.arange(int(size[own].sum(dtype=np.int64)))
-            out.append(sorted_part(text[spots], id_[own], tie[own], at[own], left[own], size[own]))
-        return _told(homes, *(np.concatenate(x) for x in zip(*out, strict=True)))
-
-    def sorted_part(text, id_, tie, at, left, size):
-        begin = np.cumsum(size, dtype=np.int64) - size
-        order = suffix_order(text)
-        owner = np.repeat(np.arange(len(size)), size)
-        room = (begin + size)[owner] - np.arange(len(text))
-        order = order[room[order] >= LENGTH]
-        if len(order) < 2:
-            return [np.zeros(0, TOLD[k]) for k in TOLD]
-        h = Rolling(text).of(order, order + LENGTH)
-        equal = np.flatnonzero(h[1:] == h[:-1])
-        view = np.lib.stride_tricks.sliding_window_view(text, LENGTH)
-        for i in range(0, len(equal), 1 << 15):
-            part = equal[i : i + (1 << 15)]
-            equal[i : i + len(part)] = np.where((view[order[part]] == view[order[part + 1]]).all(axis=1), part, -1)
-        same = np.zeros(len(order), bool)
-        same[equal[equal >= 0] + 1] = True
-        run = np.cumsum(~same)
-        own = owner[order]
-        place = at[own] - left[own] + order - begin[own]
-        rank = np.lexsort((place, tie[own], id_[own], run))
-        later = ~np.concatenate(([True], run[rank][1:] != run[rank][:-1]))
-        first = np.maximum.accumulate(np.where(later, 0, np.arange(len(rank))))
-        x, y = rank, rank[first]
-        later &= (id_[own[x]] != id_[own[y]]) | (tie[own[x]] != tie[own[y]]) | (place[x] != place[y])
-        x = x[later]
-        who, start = own[x], place[x]
-        return [id_[who], tie[who], start, start + LENGTH, np.zeros(len(x), np.uint8)]
+    def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        about, n = [], 0
+        with tempfile.TemporaryFile() as file:
+            for batch in batches:
+                table = pa.Table.from_batches([batch])
+                about.append([unpack(table, k, SHARD[k]) for k in ("id", "tie", "at", "left", "size")])
+                # each context and a zero after it; bytes are one more than they were, and none is 255 in UTF-8
+                size, owned = about[-1][4].astype(np.int64), [np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bytes")]
+                whole = np.zeros(int(size.sum()) + len(size), np.uint8)
+                whole[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = np.concatenate(owned) + 1 if owned else 0
+                whole.tofile(file)
+                n += len(whole)
+            if not n:
+                return
+            text = np.memmap(file, np.uint8, "r", shape=(n,))
+            id_, tie, at, left, size = (np.concatenate(x) for x in zip(*about, strict=True))
+            begin = np.cumsum(size, dtype=np.int64) + np.arange(len(size)) - size
+            runs = Runs(id_, tie)
+            for start, shared in suffixes(text, 256, LENGTH, memory):
+                own = np.searchsorted(begin, start, side="right") - 1
+                # what goes beyond a context's end is no string, though the contexts that follow may go on alike
+                whole = begin[own] + size[own] - start >= LENGTH
+                who, place = runs.later(own, at[own] - left[own] + start - begin[own], whole & (shared >= LENGTH))
+                if len(who):
+                    yield from _told(homes, id_[who], tie[who], place, place + LENGTH, np.zeros(len(who), np.uint8)).to_batches()
 
     return sort
 
 
-def _first_strings(homes: int):
-    def first(table: pa.Table) -> pa.Table:
-        h, id_, tie, at = (unpack(table, k, kind) for k, kind in STRINGS.items())
-        order = np.lexsort((at, tie, id_, h))
-        h, id_, tie, at = h[order], id_[order], tie[order], at[order]
-        later = np.concatenate(([False], (h[1:] == h[:-1])))
-        lead = np.maximum.accumulate(np.where(later, 0, np.arange(len(h))))
-        later &= (id_ != id_[lead]) | (tie != tie[lead]) | (at != at[lead])
-        return _told(homes, id_[later], tie[later], at[later], at[later] + LENGTH, np.zeros(int(later.sum()), np.uint8))
+class Runs:
+    """Of runs of equal strings all but the earliest, as they come in chunks; what is left of the last run is its earliest."""
+
+    def __init__(self, id_: np.ndarray, tie: np.ndarray):
+        self.id, self.tie = id_, tie
+        self.best = None
+
+    def later(self, own: np.ndarray, place: np.ndarray, goes_on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of repeats. goes_on: whether a string equals the one before it."""
+        if goes_on[0] and self.best is not None:
+            own, place, goes_on = np.append(self.best[0], own), np.append(self.best[1], place), np.append(False, goes_on)
+        run = np.cumsum(~goes_on)
+        last = np.flatnonzero(run == run[-1])
+        rank = last[np.lexsort((place[last], self.tie[own[last]], self.id[own[last]]))[0]]
+        self.best = own[rank], place[rank]
+        some = np.flatnonzero(goes_on | np.append(goes_on[1:], False))
+        own, place, run = own[some], place[some], run[some]
+        rank = np.lexsort((place, self.tie[own], self.id[own], run))
+        own, place, run = own[rank], place[rank], run[rank]
+        first = np.concatenate(([True], run[1:] != run[:-1])) if len(run) else np.zeros(0, bool)
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
+        # contexts overlap: the same place of the same text is no repeat
+        x = np.flatnonzero((self.id[own] != self.id[own[lead]]) | (self.tie[own] != self.tie[own[lead]]) | (place != place[lead]))
+        return own[x], place[x]
+
+
+def _repeated(homes: int):
+    """Strings whose hash another batch has too: to be compared byte by byte."""
+
+    def repeated(table: pa.Table) -> pa.Table:
+        h, id_, tie, at, again = (unpack(table, k, kind) for k, kind in STRINGS.items())
+        _, which, many = np.unique(h, return_inverse=True, return_counts=True)
+        keep = (many[which] > 1) | (again > 0)
+        id_, tie, at = id_[keep], tie[keep], at[keep]
+        return _told(homes, id_, tie, at, at + LENGTH, np.full(len(at), EDGE, np.uint8))
 
-    return first
+    return repeated
 
 
 def _strings_settled(homes: int):
@@ -430,12 +489,14 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     per_doc = "id long, tie long, spans binary, edges binary, hot binary"
     marks = materialize(told.unionByName(answered).groupBy("bucket").applyInArrow(_by_document, per_doc), "marks")
     edged = long_enough.join(marks.where("edges is not null or hot is not null").select("id", "tie", "edges", "hot"), ["id", "tie"]).select("id", "tie", "text", "edges", "hot")
-    gathered = materialize(edged.mapInArrow(_gather(homes, homes), schema(SHARD) + ", kind int"), "contexts")
-    sorted_ = gathered.where("kind = 0").drop("kind").groupBy("bucket").applyInArrow(_sort_shard(homes), schema(TOLD))
-    strings = gathered.select("bucket", *STRINGS, "kind")
-    firsts = strings.where("kind = 1").drop("kind").groupBy("bucket").applyInArrow(_first_strings(homes), schema(TOLD))
-    locals_ = strings.where("kind = 2").select("bucket", "id", "tie", "at").mapInArrow(_strings_settled(homes), schema(TOLD))
-    found = sorted_.unionByName(firsts).unionByName(locals_).groupBy("bucket").applyInArrow(_by_document, per_doc)
+    gathered = materialize(edged.mapInArrow(_gather(buckets, homes), _GATHERED), "contexts")
+    strings = gathered.where("kind = 1").select("bucket", *STRINGS).groupBy("bucket").applyInArrow(_repeated(homes), schema(TOLD))
+    doubted = materialize(strings.groupBy("bucket").applyInArrow(_by_document, per_doc), "strings").select("id", "tie", "edges")
+    contexts = gathered.where("kind = 0").select("bucket", *SHARD)
+    contexts = contexts.unionByName(long_enough.join(doubted, ["id", "tie"]).select("id", "tie", "text", "edges").mapInArrow(_gather_strings(buckets), schema(SHARD)))
+    sorted_ = contexts.groupBy("bucket").applyInArrow(_sort_shard(homes, MEMORY), schema(TOLD))
+    locals_ = gathered.where("kind = 2").select("bucket", "id", "tie", "at").mapInArrow(_strings_settled(homes), schema(TOLD))
+    found = sorted_.unionByName(locals_).groupBy("bucket").applyInArrow(_by_document, per_doc)
     return docs, marks.where("spans is not null").select("id", "tie", "spans"), materialize(found.select("id", "tie", "spans"), "found")
 
 
