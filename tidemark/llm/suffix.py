@@ -35,8 +35,10 @@ LENGTH, ANCHOR = 100, 20
 CHOICE = LENGTH - ANCHOR + 1
 #: Bytes beside an anchor of which every string with it holds those of one side.
 SIDE = (LENGTH - ANCHOR) // 2
-#: Contexts of one anchor in a task's chunk, or in a bucket, from which they are split into strings.
-HOT_LOCAL, HOT = 32, 4096
+#: Contexts of one anchor in a bucket from which they are split into strings; contexts of one anchor that a bucket may get from all tasks, and the most and least from a task's chunk.
+HOT, MANY, HOT_LOCAL = 4096, 1 << 22, (32, 1024)
+#: Repeats that a task holds before it deals them out.
+DEALT = 1 << 20
 #: Anchors that a task holds before it deals them out; bytes that it works on at once (under 2**22).
 CHUNK, PIECE = 1_000_000, 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
@@ -144,7 +146,7 @@ def segments(data: np.ndarray, offsets: np.ndarray):
         at = to
 
 
-def _ask(buckets: int, homes: int):
+def _ask(buckets: int, homes: int, hot_local: int):
     """Deals anchors out; told: what a task's own chunk settles, of kind FULL or HOT_EDGE, by home."""
 
     def flush(parts, names):
@@ -165,7 +167,7 @@ def _ask(buckets: int, homes: int):
         new_h = np.concatenate(([True], h[1:] != h[:-1]))
         new = new_h | np.concatenate(([True], context[1:] != context[:-1]))
         group = np.cumsum(new_h) - 1
-        hot = np.bincount(group, new)[group] > HOT_LOCAL
+        hot = np.bincount(group, new)[group] > hot_local
         del group
         again = np.concatenate(([False], ~new[1:] & ((name[1:] != name[:-1]) | (at[1:] != at[:-1]))))
         kind = np.where(new, np.where(hot, HOT_EDGE, EDGE), FULL).astype(np.uint8)
@@ -407,14 +409,29 @@ def _sort_shard(homes: int, memory: int):
             text = np.memmap(file, np.uint8, "r", shape=(n,))
             id_, tie, at, left, size = (np.concatenate(x) for x in zip(*about, strict=True))
             begin = np.cumsum(size, dtype=np.int64) + np.arange(len(size)) - size
-            runs = Runs(id_, tie)
+            runs, found, held = Runs(id_, tie), [], 0
             for start, shared in suffixes(text, 256, LENGTH, memory):
                 own = np.searchsorted(begin, start, side="right") - 1
                 # what goes beyond a context's end is no string, though the contexts that follow may go on alike
                 whole = begin[own] + size[own] - start >= LENGTH
                 who, place = runs.later(own, at[own] - left[own] + start - begin[own], whole & (shared >= LENGTH))
-                if len(who):
-                    yield from _told(homes, id_[who], tie[who], place, place + LENGTH, np.zeros(len(who), np.uint8)).to_batches()
+                found.append((who, place))
+                held += len(who)
+                if held > DEALT:
+                    yield from dealt_out(id_, tie, found)
+                    found, held = [], 0
+            if held:
+                yield from dealt_out(id_, tie, found)
+
+    def dealt_out(id_, tie, found):
+        who, place = (np.concatenate(x) for x in zip(*found, strict=True))
+        # neighbouring strings of a text become one span
+        order = np.lexsort((place, who))
+        who, place = who[order], place[order]
+        new = np.concatenate(([True], (who[1:] != who[:-1]) | (place[1:] > place[:-1] + LENGTH)))
+        start, end = place[new], place[np.append(np.flatnonzero(new)[1:] - 1, len(place) - 1)] + LENGTH
+        who = who[new]
+        return _told(homes, id_[who], tie[who], start, end, np.zeros(len(who), np.uint8)).to_batches()
 
     return sort
 
@@ -472,18 +489,21 @@ def _strings_settled(homes: int):
 def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs with the columns id and tie that name a text, and two tables (id, tie, spans): what to remove, as packed starts and ends.
 
-    Order is that of doc_id (null first), then of the first 64 bits of the text's SHA-256. A span may reach beyond the text's ends.
+    Order is that of doc_id (null first), then of the first 64 bits of the text's SHA-256; where no id is null or comes
+    twice, it names a text alone. A span may reach beyond the text's ends.
     """
     spark = docs.sparkSession
     small_batches(spark)
     # the digest's first 64 bits; with the highest one turned, signed numbers have its order
     tie = F.conv(F.substring(F.sha2(F.col("text").cast("binary"), 256), 1, 16), 16, -10).cast("long").bitwiseXOR(F.lit(_NO_ID))
+    alike = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    tie = tie if alike.limit(1).count() else F.lit(0).cast("long")
     docs = docs.withColumns({"id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "tie": tie})
     long_enough = docs.where(F.octet_length("text") >= LENGTH).select("id", "tie", "text")
     # a bucket's answers go to the homes of their documents: at most a row for each pair, or for each answer
     homes = max(shuffle_partitions(spark), docs.rdd.getNumPartitions())
     buckets = 4 * homes
-    asked = materialize(long_enough.mapInArrow(_ask(buckets, homes), schema(ASKED) + ", told boolean"), "anchors")
+    asked = materialize(long_enough.mapInArrow(_ask(buckets, homes, min(max(MANY // homes, HOT_LOCAL[0]), HOT_LOCAL[1])), schema(ASKED) + ", told boolean"), "anchors")
     told = asked.where("told").drop("told").mapInArrow(_settled(homes), schema(TOLD))
     answered = asked.where("not told").drop("told").groupBy("bucket").applyInArrow(_answer(homes), schema(TOLD))
     per_doc = "id long, tie long, spans binary, edges binary, hot binary"
