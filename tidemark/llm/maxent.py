@@ -10,7 +10,7 @@ group's counts, with one place for all unseen words, so that the probabilities o
 Training runs in rounds, each over its own part of the texts. In a round every shard of texts takes adaptive gradient
 steps from the same start; the shards' rows are then averaged by how often each shard met a row, and the average is
 the start of the next round. Shards, and the order of texts in one, come from hashes of the texts: how the input is
-partitioned has no part in the result. Shards and table rows grow with the square root of the tokens. Counts come from
+partitioned has no part in the result. Shards grow with the tokens, table rows with their fourth root. Counts come from
 a Spark aggregation; the table of counts stays distributed: a bounded head of it is broadcast, the rest is joined.
 """
 
@@ -34,8 +34,8 @@ END = b"\n"
 HEAD, LONGEST, WIDE, GROUPS, TAILS = 1 << 17, 64, 32, 16, 16
 #: Words with a number of their own in the model.
 MODELLED = GROUPS * WIDE * WIDE
-#: Rounds of training; shards and table rows for so many tokens, from which both grow with the square root; the most rows of a table.
-ROUNDS, SHARDS, ROWS, TOKENS, MOST_ROWS = 3, 12, 1 << 14, 1 << 26, 1 << 17
+#: Rounds of training; shards and table rows for so many tokens; the fewest shards and the most rows of a table.
+ROUNDS, SHARDS, ROWS, TOKENS, LEAST_SHARDS, MOST_ROWS = 3, 12, 1 << 14, 1 << 26, 6, 1 << 18
 #: Tokens of one update; its first step; the added weight in the adaptive step.
 STEP_TOKENS, STEP, EPS = 1 << 14, 0.15, 1e-3
 #: Bytes of text that are counted, or worked on, at once.
@@ -43,12 +43,12 @@ COUNTED, PIECE = 1 << 24, 1 << 20
 
 
 def shards_of(tokens: int) -> int:
-    return max(2, round(SHARDS * (tokens / TOKENS) ** 0.5))
+    return max(LEAST_SHARDS, round(SHARDS * tokens / TOKENS))
 
 
 def rows_of(tokens: int) -> int:
-    """Rows of each table: a power of two."""
-    return int(min(max(1 << round(np.log2(max(ROWS * (tokens / TOKENS) ** 0.5, 1))), 1 << 10), MOST_ROWS))
+    """Rows of each table, in parts of 64."""
+    return min(max(int(ROWS / 64 * (tokens / TOKENS) ** 0.25), 16) * 64, MOST_ROWS)
 
 
 #: The tail class of every pair of last bytes; a word of one byte counts as if a zero byte stood before it.
@@ -135,7 +135,7 @@ class Vocabulary:
 
 
 class Model:
-    """Weights and biases of the three levels: groups, classes in a group, words in a class. A table's last column is what its rows' steps have added up to."""
+    """Weights and biases of the three levels: groups, classes in a group, words in a class; and what the squared steps of each table's rows have added up to."""
 
     def __init__(self, vocabulary: Vocabulary, tail_tokens: np.ndarray):
         counts = np.zeros(MODELLED)
@@ -148,7 +148,9 @@ class Model:
             self.bias = [np.log(np.where(np.arange(len(groups)) < GROUPS, groups, groups + 0.5))[None].astype(np.float32), np.log(classes).astype(np.float32), np.log(words).astype(np.float32)]
         for bias in self.bias[1:]:
             bias[np.isneginf(bias).all(axis=1)] = 0
-        self.tables = [np.zeros((rows_of(vocabulary.tokens), WIDE + 1), np.float32) for _ in self.bias]
+        rows = rows_of(vocabulary.tokens)
+        self.tables = [np.zeros((rows, WIDE), np.float32) for _ in self.bias]
+        self.past = [np.zeros(rows, np.float32) for _ in self.bias]
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -213,9 +215,10 @@ class Stream:
 
 
 def _energy(table: np.ndarray, bias: np.ndarray, rows: np.ndarray, where: np.ndarray) -> np.ndarray:
-    x = bias[where]
-    for own in rows:
-        x += table[own, :WIDE]
+    x = np.take(table, rows[0], axis=0)
+    for own in rows[1:]:
+        x += np.take(table, own, axis=0)
+    x += bias if len(bias) == 1 else np.take(bias, where, axis=0)
     return x
 
 
@@ -232,7 +235,7 @@ def log_probabilities(stream: Stream, model: Model) -> np.ndarray:
     return out / np.log(10)
 
 
-def _update(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
+def _update(table: np.ndarray, past: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
     """One adaptive step on the rows that features name; error is the gradient of each token's loss."""
     kind = np.uint16 if len(table) <= 1 << 16 else np.uint32
     for own in rows:
@@ -240,10 +243,10 @@ def _update(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, error: np.nda
         key = own[order]
         cut = np.flatnonzero(np.diff(key, prepend=-1))
         key = key[cut]
-        gradient = np.add.reduceat(error[order], cut, axis=0)
-        past = table[key, WIDE] + np.einsum("ij,ij->i", gradient, gradient) / WIDE
-        table[key, :WIDE] -= gradient * (STEP / (np.sqrt(past) + EPS))[:, None]
-        table[key, WIDE] = past
+        gradient = np.add.reduceat(np.take(error, order, axis=0), cut, axis=0)
+        past[key] += np.einsum("ij,ij->i", gradient, gradient) / WIDE
+        gradient *= (STEP / (np.sqrt(past[key]) + EPS))[:, None]
+        table[key] -= gradient
         seen[key] += np.diff(cut, append=len(order))
 
 
@@ -253,12 +256,12 @@ def train(texts, vocabulary: Vocabulary, model: Model) -> list[np.ndarray]:
     for data, offsets in texts:
         stream = Stream(data, offsets, vocabulary, len(model.tables[0]))
         for i in range(0, len(stream.code), STEP_TOKENS):
-            for (tokens, features, where, own), table, bias, many in zip(stream.levels, model.tables, model.bias, seen, strict=True):
+            for (tokens, features, where, own), table, past, bias, many in zip(stream.levels, model.tables, model.past, model.bias, seen, strict=True):
                 a, b = np.searchsorted(tokens, (i, i + STEP_TOKENS))
                 if a < b:
                     p = _softmax(_energy(table, bias, features[:, a:b], where[a:b]))
                     p[np.arange(b - a), own[a:b]] -= 1
-                    _update(table, many, features[:, a:b], p)
+                    _update(table, past, many, features[:, a:b], p)
     return seen
 
 
@@ -303,11 +306,11 @@ def _trainer(shared):
         vocabulary, model = shared.value
         for shard, texts in itertools.groupby(_by_shard(batches), key=lambda x: x[0]):
             own = Model.__new__(Model)
-            own.bias, own.tables = model.bias, [t.copy() for t in model.tables]
+            own.bias, own.tables, own.past = model.bias, [t.copy() for t in model.tables], [t.copy() for t in model.past]
             seen = train((x for _, x in texts), vocabulary, own)
             rows = []
-            for which, (table, n) in enumerate(zip(own.tables, seen, strict=True)):
-                weighted = (table * n[:, None]).astype(np.float64)
+            for which, (table, past, n) in enumerate(zip(own.tables, own.past, seen, strict=True)):
+                weighted = np.concatenate([table, past[:, None]], axis=1) * n[:, None]
                 rows += [(which, k, w.astype(np.float32).tobytes(), m.tobytes()) for k, (w, m) in enumerate(zip(np.split(weighted, PARTS), np.split(n, PARTS), strict=True)) if m.any()]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([shard] * len(rows), pa.int32()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())], ["which", "part", "shard", "weighted", "seen"])
 
@@ -340,11 +343,13 @@ def fit(texts: DataFrame, tail_tokens: np.ndarray, vocabulary: Vocabulary) -> Mo
         # in two levels: a task sums about as many shards as there are folds
         parts = parts.groupBy("which", "part", (F.col("shard") % folds).alias("fold")).applyInArrow(_summed(np.float32), _PARTS_SCHEMA)
         for row in parts.groupBy("which", "part").applyInArrow(_summed(np.float64), _PARTS_SCHEMA).toLocalIterator():
-            table = model.tables[row["which"]]
+            table, past = model.tables[row["which"]], model.past[row["which"]]
             size = len(table) // PARTS
             seen = np.frombuffer(row["seen"])[:, None]
             rows = slice(row["part"] * size, (row["part"] + 1) * size)
-            table[rows] = np.where(seen > 0, np.frombuffer(row["weighted"]).reshape(size, -1) / np.maximum(seen, 1), table[rows])
+            mean = np.frombuffer(row["weighted"]).reshape(size, -1) / np.maximum(seen, 1)
+            table[rows] = np.where(seen > 0, mean[:, :WIDE], table[rows])
+            past[rows] = np.where(seen[:, 0] > 0, mean[:, WIDE], past[rows])
         shared.unpersist()
     return model
 
