@@ -150,3 +150,45 @@ def test_interpolation_by_row_and_by_time(spark):
 def test_replicate_error_of_one_value_is_zero(spark):
     df = spark.createDataFrame([("a", 1, 2.0), ("b", 1, 1.0), ("b", 2, 3.0), ("c", 1, None)], "m string, seed int, x double")
     assert rows(aggregates.replicate_summary(df, ["m"], "seed", ["x"]), "m") == [("a", 1, 2.0, 0.0), ("b", 2, 2.0, 1.0), ("c", 1, None, 0.0)]
+
+
+def test_trait_steps_row_by_row(spark):
+    spec = [(1.0 + 0.1 * k, [-1.0 + 0.1 * k, 0.0, 1.0 - 0.1 * k]) for k in range(9)]
+    rows = [[1, 2, 0, 3, 1, 2, 0, 1, 3], [0, None, 1, 1, None, 3, 2, 1, 0], [3] * 9, [None] * 9]
+    out = irt.trait_estimates(spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "n int, i array<int>"), "i", spec, location=5.0, scale=2.0).orderBy("n").collect()
+    for items, got in zip(rows, out, strict=True):
+        z = 0.0
+        for step in range(7):
+            score = information = 0.0
+            for x, (a, b) in zip(items, spec, strict=True):
+                if x is not None:
+                    c = [1.0, *(1 / (1 + math.exp(-a * (z - t))) for t in b), 0.0]
+                    p = [max(u - v, 1e-12) for u, v in zip(c[:-1], c[1:])]
+                    d = [a * u * (1 - u) - a * v * (1 - v) for u, v in zip(c[:-1], c[1:])]
+                    score += d[x] / p[x]
+                    information += sum(u * u / v for u, v in zip(d, p))
+            if step < 6:
+                z = min(max(z + score / (information + 1), -4.0), 4.0)
+        assert np.allclose([got.trait, got.information, got.target, got.target_sd], [z, information, 2 * z + 5, 2 / math.sqrt(information + 1)])
+
+
+def test_gram_puts_the_mean_for_a_null_predictor(spark):
+    rows = [(1, 1.0, 2.0, 3.0), (1, None, 4.0, 1.0), (1, 5.0, None, 2.0), (1, None, None, 7.0), (1, 9.0, 9.0, None), (2, None, 1.0, 1.0)]
+    got = {(q.g, q.a, q.b): q.value for q in models.gram(spark.createDataFrame(rows, "g int, a double, b double, y double"), ["g"], ["a", "b"], "y").collect()}
+    x = np.array([[1, 1, 2, 3], [1, 3, 4, 1], [1, 5, 3, 2], [1, 3, 3, 7]])
+    names = ["one", "a", "b", "y"]
+    assert all(abs(got[1, names[i], names[j]] - x[:, i] @ x[:, j]) < 1e-9 for i in range(4) for j in range(i, 4))
+    assert got[2, "one", "a"] == 0 and got[2, "one", "b"] == 1
+
+
+def test_notes_of_one_day_count_as_their_mean(spark):
+    notes = spark.createDataFrame([(1, 1, 2.0), (1, 1, 4.0), (1, 3, 9.0)], "id int, day int, value double")
+    out = joins.asof_strict_prior(spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "id int, day int"), notes, "id", "day", ["value"]).orderBy("day").collect()
+    assert [(r.note_time, r.value, r.observed) for r in out] == [(None, 0.0, False), (1, 3.0, True), (1, 3.0, True)]
+
+
+def test_only_the_validation_split_has_targets(spark):
+    rows = [(1, "a", 0, 6, True), (1, "a", 5, 9, True), (2, "a", 5, 9, True)]
+    df = spark.createDataFrame(rows, "id int, i string, window_start int, window_end int, observed boolean")
+    out = cohort.evaluation_mask(df, "id", "i", F.desc("window_end"), among=F.col("id") == 1).orderBy("id", "window_end").collect()
+    assert [(r.evaluation, r.embargo, r.observed_after) for r in out] == [(False, True, False), (True, True, False), (False, False, True)]

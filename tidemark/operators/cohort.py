@@ -29,14 +29,14 @@ def forward_time(sessions: DataFrame, subject: str, date: str, cutoff: str) -> D
     return g.select(subject, F.when(F.col("_b") < cut, "train").when(F.col("_a") >= cut, "test").otherwise("excluded").alias("partition"))
 
 
-def evaluation_mask(anchors: DataFrame, by: str, instrument: str, *order: Column, observed: str = "observed") -> DataFrame:
+def evaluation_mask(anchors: DataFrame, by: str, instrument: str, *order: Column, observed: str = "observed", among: Column | None = None) -> DataFrame:
     """anchors with evaluation (the last observed one of each subject and instrument), embargo and observed_after.
 
-    Every observed anchor whose window meets a target's of the same subject, targets included, is under embargo and no
+    Only rows for which among holds can be targets: those of the subjects that are held for validation. Every observed anchor whose window meets a target's of the same subject, targets included, is under embargo and no
     longer counts as observed; unobserved ones are never flagged.
     """
     w = Window.partitionBy(by, instrument).orderBy(F.desc(observed), *order)
-    rows = anchors.withColumn("evaluation", F.coalesce(F.col(observed), F.lit(False)) & (F.row_number().over(w) == 1))
+    rows = anchors.withColumn("evaluation", F.coalesce(F.col(observed) & (F.lit(True) if among is None else among), F.lit(False)) & (F.row_number().over(w) == 1))
     # windows of targets are few per subject: each row is held against them in one array
     targets = F.collect_list(F.when(F.col("evaluation"), F.struct(F.col("window_start").alias("s"), F.col("window_end").alias("e")))).over(Window.partitionBy(by))
     met = F.exists("_targets", lambda t: (F.col("window_start") <= t["e"]) & (F.col("window_end") >= t["s"]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,19 +47,19 @@ def score_and_information(z: np.ndarray, items: np.ndarray, spec: list[tuple[flo
 
 
 def trait_estimates(df: DataFrame, items: str, spec: list[tuple[float, list[float]]], steps: int = 6, location: float = 0.0, scale: float = 1.0) -> DataFrame:
-    """df with trait, information, target and target_sd: Fisher scoring with a unit-information prior, clipped to +-4.
+    """df with trait, information, target and target_sd: Fisher scoring whose steps divide by one more than the information, clipped to +-4.
 
-    target and target_sd are the pseudo-observation on the raw scale. Batches are worked on as whole arrays.
+    items holds one number for each item of spec, null where it was not given, and is itself not null. target and target_sd are the pseudo-observation on the raw scale. Batches are worked on as whole arrays.
     """
     schema = ", ".join(f"`{c}` {k}" for c, k in df.dtypes) + ", trait double, information double, target double, target_sd double"
 
     def run(batches):
         for batch in batches:
-            rows = np.array([[-1 if v is None else v for v in x] for x in batch.column(items).to_pylist()], np.int64).reshape(batch.num_rows, len(spec))
+            rows = np.array(pc.fill_null(batch.column(items).flatten(), -1), np.int64).reshape(batch.num_rows, len(spec))
             z = np.zeros(batch.num_rows)
             for _ in range(steps):
                 score, information = score_and_information(z, rows, spec)
-                z = np.clip(z + (score - z) / (information + 1), -4, 4)
+                z = np.clip(z + score / (information + 1), -4, 4)
             information = score_and_information(z, rows, spec)[1]
             out = [pa.array(x) for x in (z, information, z * scale + location, scale / np.sqrt(information + 1))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *out], [*batch.schema.names, "trait", "information", "target", "target_sd"])

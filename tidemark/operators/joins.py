@@ -41,11 +41,11 @@ def asof_strict_prior(sessions: DataFrame, notes: DataFrame, by: str, time: str,
 
     Adds note_time, staleness, observed, and the payload, filled where there is no earlier note. Sessions and notes go
     through one shuffle together: the note is the last one in a range frame that ends one time unit before the
-    session, so no pair is ever made. Times are whole numbers; of notes of one time the largest payload counts.
+    session, so no pair is ever made. Times are whole numbers; notes of one time count as their mean.
     """
     kept = [c for c in sessions.columns]
-    note = notes.groupBy(by, time).agg(F.max(F.struct(*payload)).alias("_note"))
-    note = note.select(F.col(by), F.col(time), F.struct(F.col(time).alias("note_time"), *(F.col(f"_note.{c}").alias(c) for c in payload)).alias("_note"))
+    note = notes.groupBy(by, time).agg(*(F.avg(c).alias(c) for c in payload))
+    note = note.select(F.col(by), F.col(time), F.struct(F.col(time).alias("note_time"), *(F.col(c) for c in payload)).alias("_note"))
     both = sessions.withColumn("_session", F.lit(True)).unionByName(note, allowMissingColumns=True)
     frame = Window.partitionBy(by).orderBy(time).rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("_last", F.last("_note", ignorenulls=True).over(frame)).where("_session")

@@ -9,12 +9,23 @@ from pyspark.sql import functions as F
 
 
 def gram(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
-    """Per group the sums of products of (1, x..., y), one row per pair of columns: one aggregate, combined before its shuffle."""
+    """Per group the sums of products of (1, x..., y), one row per pair of columns: one aggregate, combined before its shuffle.
+
+    Rows with a null y are left out; a null x stands for the group's mean of that column (0 without any). The mean is
+    not known while rows are summed, so what it is to be multiplied with is summed beside the products.
+    """
     names = ["one", *x, y]
-    col = lambda c: F.lit(1.0) if c == "one" else F.col(c)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    whole = df.dropna(subset=[*x, y]).groupBy(*by).agg(*(F.sum(col(a) * col(b)).alias(f"_{i}") for i, (a, b) in enumerate(pairs)))
-    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"_{i}").alias("value")) for i, (a, b) in enumerate(pairs))))
+    col = {c: F.lit(1.0) if c == "one" else F.col(c).cast("double") for c in names}
+    kept = {c: F.coalesce(v, F.lit(0.0)) for c, v in col.items()}
+    gap = {c: v.isNull().cast("double") for c, v in col.items()}
+    sums = [F.avg(col[c]).alias(f"_m_{c}") for c in x]
+    for i, (a, b) in enumerate(pairs):
+        sums += [F.sum(one * other).alias(f"_{i}{k}") for k, (one, other) in enumerate(((kept[a], kept[b]), (gap[a], kept[b]), (kept[a], gap[b]), (gap[a], gap[b])))]
+    whole = df.where(F.col(y).isNotNull()).groupBy(*by).agg(*sums)
+    mean = {c: F.coalesce(F.col(f"_m_{c}"), F.lit(0.0)) if c in x else F.lit(0.0) for c in names}
+    value = [F.col(f"_{i}0") + mean[a] * F.col(f"_{i}1") + mean[b] * F.col(f"_{i}2") + mean[a] * mean[b] * F.col(f"_{i}3") for i, (a, b) in enumerate(pairs)]
+    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("value")) for (a, b), v in zip(pairs, value, strict=True))))
     return whole.select(*by, rows.alias("_gram")).select(*by, "_gram.a", "_gram.b", "_gram.value")
 
 

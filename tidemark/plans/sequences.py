@@ -28,13 +28,13 @@ def r9(c):
 
 
 @query(f"""with {EVENTS}, s as (select distinct user_id, day from ev where event_type <> 'error'),
-n as (select user_id, day, max(value) as value from ev where event_type = 'error' group by all)
-select s.user_id, s.day, n.day as note_time, s.day - n.day as staleness, n.day is not null as observed, coalesce(n.value, 0) as value
+n as (select user_id, day, avg(value) as value from ev where event_type = 'error' group by all)
+select s.user_id, s.day, n.day as note_time, s.day - n.day as staleness, n.day is not null as observed, round(coalesce(n.value, 0), 6) as value
 from s asof left join n on s.user_id = n.user_id and s.day > n.day""")
 def asof_strict_prior(spark, d):
     ev = events(spark, d)
     sessions = ev.where("event_type <> 'error'").select("user_id", "day").distinct()
-    return joins.asof_strict_prior(sessions, ev.where("event_type = 'error'"), "user_id", "day", ["value"])
+    return joins.asof_strict_prior(sessions, ev.where("event_type = 'error'"), "user_id", "day", ["value"]).withColumn("value", F.round("value", 6))
 
 
 @query(f"""with {EVENTS}, s as (select distinct user_id, day from ev where event_type <> 'error'),
@@ -177,11 +177,11 @@ def cadence_sparsify(spark, d):
     return windows.thinned(daily(spark, d).select("user_id", "event_type", "day"), ["user_id", "event_type"], "day", 7)
 
 
-@query(f"""with {ANCHORS}, e as (select *, observed and row_number() over (partition by user_id, event_type order by observed desc, window_end desc, day desc) = 1 as evaluation from anchors),
+@query(f"""with {ANCHORS}, e as (select *, observed and user_id % 5 = 0 and row_number() over (partition by user_id, event_type order by observed desc, window_end desc, day desc) = 1 as evaluation from anchors),
 m as (select *, observed and exists (select 1 from e t where t.evaluation and t.user_id = e.user_id and e.window_start <= t.window_end and e.window_end >= t.window_start) as embargo from e)
 select user_id, event_type, day, observed, evaluation, embargo, observed and not embargo as observed_after from m""")
 def evaluation_mask(spark, d):
-    masked = cohort.evaluation_mask(anchors(spark, d), "user_id", "event_type", F.desc("window_end"), F.desc("day"))
+    masked = cohort.evaluation_mask(anchors(spark, d), "user_id", "event_type", F.desc("window_end"), F.desc("day"), among=F.col("user_id") % 5 == 0)
     return masked.select("user_id", "event_type", "day", "observed", "evaluation", "embargo", "observed_after")
 
 

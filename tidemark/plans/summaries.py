@@ -430,9 +430,24 @@ def irt_probs(spark, d):
     return _items(spark, d).select("vec_id", F.transform(irt.category_probabilities(z, *_SPEC[0]), lambda x: F.round(x, 9)).alias("probabilities"), r9(irt.log_likelihood(z, [F.element_at("items", k + 1) for k in range(9)], _SPEC)).alias("log_likelihood"), r9(irt.expected_total(z, _SPEC)).alias("expected_total"))
 
 
-@query()
+def _sql_trait(steps: int = 6) -> str:
+    """Each step explodes the items beside their parameters and sums them up again."""
+    curve = lambda j: f"1 / (1 + exp(-a * (z - b[{j}])))"
+    out = ["with " + _ITEMS, "spec as (select * from (values " + ", ".join(f"({k + 1}, {a!r}::double, {b!r}::double[])" for k, (a, b) in enumerate(_SPEC)) + ") t(k, a, b))", "z0 as (select vec_id, items, 0.0::double as z from it)"]
+    for s in range(steps + 1):
+        out += [
+            f"c{s} as (select vec_id, a, items[k] as x, [1.0, {curve(1)}, {curve(2)}, {curve(3)}, 0.0] as c from z{s}, spec)",
+            f"p{s} as (select vec_id, x, list_transform([1, 2, 3, 4], lambda j: greatest(c[j] - c[j + 1], 1e-12)) as p, list_transform([1, 2, 3, 4], lambda j: a * c[j] * (1 - c[j]) - a * c[j + 1] * (1 - c[j + 1])) as d from c{s})",
+            f"s{s} as (select vec_id, sum(d[x + 1] / p[x + 1]) as score, sum(list_sum(list_transform([1, 2, 3, 4], lambda j: d[j] * d[j] / p[j]))) as information from p{s} group by vec_id)",
+            f"z{s + 1} as (select vec_id, items, greatest(-4, least(4, z + score / (information + 1))) as z from z{s} join s{s} using (vec_id))",
+        ]
+    return ", ".join(out) + f" select vec_id, items, round(z, 6) as trait, round(information, 6) as information, round(z, 6) as target, round(1 / sqrt(information + 1), 6) as target_sd from z{steps} join s{steps} using (vec_id)"
+
+
+@query(_sql_trait())
 def irt_trait(spark, d):
-    return irt.trait_estimates(_items(spark, d).drop("z"), "items", _SPEC)
+    found = irt.trait_estimates(_items(spark, d).drop("z"), "items", _SPEC)
+    return found.withColumns({c: F.round(c, 6) for c in ("trait", "information", "target", "target_sd")})
 
 
 @query(f"""with {_ITEMS}, s as (select vec_id % 5 as fold, {_SQL_LL} as ll, {_SQL_TOTAL} as e, list_sum(items) as t from it)
