@@ -40,7 +40,7 @@ HOT, MANY, HOT_LOCAL = 4096, 1 << 22, (32, 1024)
 #: Repeats that a task holds before it deals them out.
 DEALT = 1 << 20
 #: Anchors that a task holds before it deals them out; bytes that it works on at once (under 2**22).
-CHUNK, PIECE = 1_000_000, 1 << 21
+CHUNK, PIECE = 700_000, 1 << 21
 _PLACE = np.uint64((1 << 22) - 1)
 _NO_ID = -(1 << 63)
 
