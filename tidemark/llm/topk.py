@@ -35,7 +35,7 @@ def quantized(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     scaled = np.floor(256 * values[usable[owner]])
     if np.abs(scaled).max(initial=0) >= 1 << 31:
         raise ValueError("a component of 2**23 or more")
-    return scaled.astype(np.int32).reshape(int(usable.sum()), -1), usable
+    return scaled.astype(np.int32).reshape(int(usable.sum()), int(lengths[0]) if len(lengths) else 0), usable
 
 
 def _tiles(size: int):
