@@ -192,3 +192,67 @@ def test_only_the_validation_split_has_targets(spark):
     df = spark.createDataFrame(rows, "id int, i string, window_start int, window_end int, observed boolean")
     out = cohort.evaluation_mask(df, "id", "i", F.desc("window_end"), among=F.col("id") == 1).orderBy("id", "window_end").collect()
     assert [(r.evaluation, r.embargo, r.observed_after) for r in out] == [(False, True, False), (True, True, False), (False, False, True)]
+
+
+def test_carried_categories_count_others_than_the_base(spark):
+    sessions = spark.createDataFrame([(101, 10), (101, 12), (101, 15), (202, 31)], "id int, day int")
+    events = spark.createDataFrame([(101, 9, ["depression"]), (101, 12, ["anxiety"]), (101, 13, None), (101, 16, ["ptsd"])], "id int, day int, categories array<string>")
+    out = joins.carried_categories(sessions, events, "id", "day", "categories", ["depression", "anxiety", "ptsd"], "depression")
+    assert [r[-1] for r in rows(out, "id", "day")] == [0, 0, 1, 0]
+    assert [r[-2] for r in rows(out, "id", "day")] == [1, 1, 1, 0]
+
+
+def test_roles_of_events_add_up(spark):
+    days = {"M1": [0, 19], "M2": [0, 5, 19, 30, 31]}
+    events = spark.createDataFrame([(1, k, d, d - 6, d) for k, v in days.items() for d in v], "id int, kind string, day int, window_start int, window_end int")
+    out = windows.evaluation_roles(events, ["id", "kind"], "day", 28)
+    late, near = "withheld_eligible", "withheld_ineligible_overlap"
+    assert [r[2:] for r in rows(out.select("id", "kind", "day", "evaluation_role"), "kind", "day")] == [(0, "retained"), (19, late), (0, "retained"), (5, near), (19, late), (30, "retained"), (31, near)]
+    counted = checks.event_accounting(out, ["kind"], ["id", "kind", "day"], "evaluation_role", ("retained", late, near))
+    assert rows(counted.select("kind", "events", "repeated", "adds_up"), "kind") == [("M1", 2, 0, True), ("M2", 5, 0, True)]
+    twice = checks.event_accounting(out.union(out).where("day = 0 or evaluation_role is null"), ["kind"], ["id", "kind", "day"], "evaluation_role", ("retained", late))
+    assert rows(twice.select("repeated", "adds_up")) == [(1, True), (1, True)]
+
+
+def test_clinic_exclusive_roles(spark):
+    splits = ["train"] * 10 + ["val"] * 3 + ["test"] * 6
+    sessions = [(1000 + 2 * c + k, part, f"C{c:02d}") for c, part in enumerate(splits) for k in (0, 1) for _ in (0, 1)] + [(1000, "test", "C18")]
+    df = spark.createDataFrame(sessions, "id int, split string, clinic string")
+    found = cohort.facility_exclusive(df, "id", "split")
+    assert rows(found.where("excluded").select("id")) == [(1000,)]
+    kept = found.where("not excluded")
+    assert {r["partition"]: r["count"] for r in kept.groupBy("partition").count().collect()} == {"train": 19, "val": 6, "test": 12}
+    roles = cohort.partition_roles(kept, "id", "partition")
+    assert {r["role"]: r["count"] for r in roles.groupBy("role").count().collect()} == {"fit": 19, "selection": 6, "development": 25}
+    held = kept.where("partition = 'test'").join(df.select("id", "clinic").distinct(), "id")
+    assert {r["role"]: r["count"] for r in cohort.held_out_halves(held, "clinic", "id").groupBy("role").count().collect()} == {"calibration": 6, "test": 6}
+
+
+def test_truncated_labels_reconcile(spark):
+    df = spark.createDataFrame([("DALLA",), ("DALLAS",), ("OTHER",), (None,)], "c string")
+    table = {"DALLA": "DALLAS_GRP", "DALLAS": "DALLAS_GRP"}
+    assert [r[0] for r in df.select(prep.canonical(F.col("c"), table)).collect()] == ["DALLAS_GRP", "DALLAS_GRP", "OTHER", None]
+
+
+def test_blocked_paths(spark):
+    cases = {"a/b.csv": "suffix", "B.XLSX": "suffix", "x.tar.gz": "suffix", "Raw/x.py": "folder", "raw.py": None, "x/.env": "name", "credentials_old": "name", "x/my_credentials": None, ".csv": None, "src/a.py": None}
+    df = spark.createDataFrame([(k,) for k in cases], "p string")
+    assert dict(rows(df.select("p", checks.blocked_path(F.col("p"))))) == cases
+
+
+def test_median_of_pairs_is_that_of_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    data = {1: rng.normal(size=41), 2: np.array([5.0, 5.0, 5.0, 7.0]), 3: np.array([1.0, 1e9]), 4: np.array([2.0]), 5: np.round(rng.normal(size=30), 1)}
+    df = spark.createDataFrame([(b, i, float(v)) for b, vs in data.items() for i, v in enumerate(vs)] + [(2, 99, None)], "b int, id int, v double")
+    got = {r["b"]: r["median_difference"] for r in joins.median_difference(df, ["b"], "id", "v").collect()}
+    want = {b: np.median([abs(x - y) for i, x in enumerate(v) for y in v[:i]]) for b, v in data.items() if len(v) > 1}
+    assert got.keys() == want.keys()
+    assert all(abs(got[b] - want[b]) <= 1e-12 * max(1.0, want[b]) for b in want)
+
+
+def test_expected_values_and_treatment_window(spark):
+    have = spark.createDataFrame([("a", 1), (None, 2)], "k string, n int")
+    want = spark.createDataFrame([("a", 1), (None, 3), ("c", 4)], "k string, n int")
+    assert {r[0]: r[1] for r in checks.expected_values(have, want, ["k"], "n").select("k", "ok").collect()} == {"a": True, None: False, "c": False}
+    pairs = spark.createDataFrame([(0, 1), (83, 84), (83, 85), (84, 84), (-1, 3), (5, None)], "d int, n int")
+    assert rows(prep.in_treatment_window(pairs, "d", "n"), "d") == [(0, 1), (83, 84)]

@@ -60,7 +60,31 @@ SECRETS = (
     ("access key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("social security number", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
 )
-BLOCKED = (("suffix", r"(?i)\.(?:sas7bdat|xlsx?|parquet|pkl|npz|pt)$"), ("folder", r"(?:^|/)(?:data|raw|private|checkpoints)/"), ("name", r"(?:^|/)(?:\.env|id_rsa|credentials\.json)$"))
+#: Endings, folders and names of files that must not be published.
+BLOCKED_SUFFIXES = (
+    ".csv", ".tsv", ".xlsx", ".xls", ".parquet", ".sas7bdat", ".dta", ".sav", ".feather", ".xpt", ".db", ".sqlite", ".sqlite3", ".pkl", ".pickle", ".pt", ".ckpt", ".npy", ".npz",
+    ".docx", ".pptx", ".pdf", ".log", ".jsonl", ".ndjson", ".zip", ".7z", ".tar", ".tgz", ".pem", ".pfx", ".p12", ".tar.gz", ".csv.gz",
+)
+BLOCKED_FOLDERS = ("empirical", "raw", "data", "derived", "derived_phi", "outputs", "runs")
+BLOCKED_NAMES = (".env", ".openai_key")
+_either = lambda names: "|".join(n.replace(".", "[.]") for n in names)
+BLOCKED = (
+    ("suffix", rf"(?i)[^/](?:{_either(BLOCKED_SUFFIXES)})$"),
+    ("folder", rf"(?i)(?:^|/)(?:{_either(BLOCKED_FOLDERS)})/"),
+    ("name", rf"(?i)(?:^|/)(?:(?:{_either(BLOCKED_NAMES)})$|credentials[^/]*$)"),
+)
+
+
+def blocked_path(path: Column) -> Column:
+    """The first rule (suffix, folder, name) by which a path is blocked; null if none."""
+    return F.coalesce(*(F.when(path.rlike(pattern), F.lit(name)) for name, pattern in BLOCKED))
+
+
+def event_accounting(df: DataFrame, by: list[str], key: list[str], role: str, roles: tuple[str, ...]) -> DataFrame:
+    """Per group the rows, those of each role, whether the roles add up to all, and how many keys stand more than once."""
+    per = df.groupBy(*dict.fromkeys([*by, *key])).agg(F.count("*").alias("_n"), *(F.count_if(F.col(role) == r).alias(f"_{r}") for r in roles))
+    g = per.groupBy(*by).agg(F.sum("_n").alias("events"), *(F.sum(f"_{r}").alias(r) for r in roles), F.count_if(F.col("_n") > 1).alias("repeated"))
+    return g.withColumn("adds_up", reduce(lambda a, b: a + b, (F.col(r) for r in roles)) == F.col("events"))
 
 
 def scan(df: DataFrame, columns: list[str], rules=SECRETS) -> DataFrame:

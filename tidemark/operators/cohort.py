@@ -22,6 +22,12 @@ def held_out_halves(subjects: DataFrame, facility: str, subject: str) -> DataFra
     return subjects.withColumn("role", F.when(F.row_number().over(w) % 2 == 1, "calibration").otherwise("test"))
 
 
+def partition_roles(subjects: DataFrame, subject: str, partition: str) -> DataFrame:
+    """One row per subject and role: train fits, val selects, both are for development; subjects of other partitions have none."""
+    roles = F.when(F.col(partition) == "train", F.array(F.lit("fit"), F.lit("development"))).when(F.col(partition) == "val", F.array(F.lit("selection"), F.lit("development")))
+    return subjects.select(subject, F.explode(roles).alias("role"))
+
+
 def forward_time(sessions: DataFrame, subject: str, date: str, cutoff: str) -> DataFrame:
     """One row per subject: train if its last session is before the cut-off, test if its first isn't, else excluded."""
     g = sessions.groupBy(subject).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
@@ -44,4 +50,4 @@ def evaluation_mask(anchors: DataFrame, by: str, instrument: str, *order: Column
     return rows.withColumn("observed_after", F.col(observed) & ~F.col("embargo"))
 
 
-__all__ = ["evaluation_mask", "facility_exclusive", "forward_time", "held_out_halves", "overlapping"]
+__all__ = ["evaluation_mask", "facility_exclusive", "forward_time", "held_out_halves", "overlapping", "partition_roles"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import diagnosis_categories, latent_from_link
-from tidemark.operators import cohort, joins, prep, windows
+from tidemark.operators import checks, cohort, joins, prep, windows
 from tidemark.operators import aggregates as agg
 from tidemark.plans.views import ANCHORS, DAILY, DAYS, EVENTS, anchors, daily, days, events, table
 
@@ -177,6 +177,44 @@ def cadence_sparsify(spark, d):
     return windows.thinned(daily(spark, d).select("user_id", "event_type", "day"), ["user_id", "event_type"], "day", 7)
 
 
+_ROLES = ANCHORS + """, k as (select user_id, event_type, min(day) as day from anchors where observed group by all
+union all select k.user_id, k.event_type, n.day from k, lateral (select min(d.day) as day from anchors d where d.observed and d.user_id = k.user_id and d.event_type = k.event_type and d.day >= k.day + 14) n where n.day is not null),
+o as (select a.*, k.day is not null as kept from anchors a left join k using (user_id, event_type, day) where a.observed),
+roles as (select user_id, event_type, day, case when kept then 'retained' when exists (select 1 from o r where r.kept and r.user_id = o.user_id and r.event_type = o.event_type and r.window_start <= o.window_end and r.window_end >= o.window_start) then 'withheld_ineligible_overlap' else 'withheld_eligible' end as evaluation_role from o)"""
+
+
+@query(f"with recursive {_ROLES} select * from roles")
+def evaluation_roles(spark, d):
+    seen = anchors(spark, d).where("observed")
+    return windows.evaluation_roles(seen, ["user_id", "event_type"], "day", 14).select("user_id", "event_type", "day", "evaluation_role")
+
+
+@query(f"""with recursive {_ROLES} select event_type, count(*) as events, count(*) filter (evaluation_role = 'retained') as retained, count(*) filter (evaluation_role = 'withheld_eligible') as withheld_eligible, count(*) filter (evaluation_role = 'withheld_ineligible_overlap') as withheld_ineligible_overlap,
+count(*) - count(distinct (user_id, day)) as repeated, true as adds_up from roles group by event_type""")
+def event_accounting(spark, d):
+    return checks.event_accounting(evaluation_roles(spark, d), ["event_type"], ["user_id", "event_type", "day"], "evaluation_role", ("retained", "withheld_eligible", "withheld_ineligible_overlap"))
+
+
+@query(f"""with {EVENTS}, s as (select distinct user_id, day from ev where event_type = 'view'),
+p as (select s.user_id, s.day, e.event_type, e.day as seen from s left join ev e on e.user_id = s.user_id and e.day < s.day),
+c as (select user_id, day, max((event_type = 'purchase' or event_type = 'signup')::int) as depression, max((event_type = 'view' or event_type = 'signup')::int) as anxiety, max((event_type = 'click')::int) as ptsd, max((event_type = 'error')::int) as substance, count(seen) as n from p group by all)
+select user_id, day, coalesce(depression, 0) as depression, coalesce(anxiety, 0) as anxiety, coalesce(ptsd, 0) as ptsd, coalesce(substance, 0) as substance, (n > 0)::int as history, coalesce(anxiety + ptsd + substance, 0) as others from c""")
+def prior_categories(spark, d):
+    ev = events(spark, d)
+    text = F.when(F.col("event_type") == "purchase", "F33.2").when(F.col("event_type") == "view", "F41.1").when(F.col("event_type") == "click", "F43.12").when(F.col("event_type") == "error", "alcohol use").otherwise("depression; anxiety")
+    noted = ev.select("user_id", "day", diagnosis_categories(text).alias("categories"))
+    return joins.carried_categories(ev.where("event_type = 'view'").select("user_id", "day").distinct(), noted, "user_id", "day", "categories", ["depression", "anxiety", "ptsd", "substance"], "depression")
+
+
+@query("""with o as (select o_custkey, o_orderkey, cast(o_orderdate as date) as d from orders), a as (select *, date_diff('day', min(d) over (partition by o_custkey), d)::int as day from o),
+b as (select o_custkey, o_orderkey, day, lead(day) over (partition by o_custkey order by d, o_orderkey) as next_day from a) select * from b where day between 0 and 83 and next_day between 1 and 84""")
+def treatment_window(spark, d):
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    axis = windows.session_axis(o, "o_custkey", "d", "o_orderkey")
+    paired = axis.withColumn("next_day", F.lead("day").over(windows.ordered(["o_custkey"], "d", "o_orderkey")))
+    return prep.in_treatment_window(paired, "day", "next_day").select("o_custkey", "o_orderkey", F.col("day").cast("int").alias("day"), F.col("next_day").cast("int").alias("next_day"))
+
+
 @query(f"""with {ANCHORS}, e as (select *, observed and user_id % 5 = 0 and row_number() over (partition by user_id, event_type order by observed desc, window_end desc, day desc) = 1 as evaluation from anchors),
 m as (select *, observed and exists (select 1 from e t where t.evaluation and t.user_id = e.user_id and e.window_start <= t.window_end and e.window_end >= t.window_start) as embargo from e)
 select user_id, event_type, day, observed, evaluation, embargo, observed and not embargo as observed_after from m""")

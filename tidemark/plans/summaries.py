@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tidemark.functions import scalar
 from tidemark.operators import aggregates as agg
@@ -171,25 +172,38 @@ def coverage_by_stratum(spark, d):
     return rounded(inference.coverage_width(x, ["event_type", "week"], "value", "low", "high", 0, 200))
 
 
-@query(f"""with {_INTERVALS}, t as (select unnest([0.5, 0.6, 0.7, 0.75, 0.8])::double as threshold)
-select threshold, round(avg(((least(high, 200) - greatest(low, 0)) / 200 > threshold)::int), 9) as needs_measurement, round(sqrt(avg((value - m) * (value - m)) filter ((least(high, 200) - greatest(low, 0)) / 200 <= threshold)), 9) as rmse, round(avg((value between low and high)::int) filter ((least(high, 200) - greatest(low, 0)) / 200 <= threshold), 9) as coverage
-from (select *, (low + high) / 2 as m from k) cross join t group by threshold""")
+@query(f"""with {DAILY}, i as (select value, avg(value) over b as m, greatest(stddev_pop(value) over b, 1) as s from daily window b as (partition by event_type, user_id order by day rows between unbounded preceding and 1 preceding)),
+k as (select value, m, m - s as low, m + s as high from i where m is not null),
+a as (select 'raw' as arm, *, (high - low) / 200 as width from k union all select 'clipped', *, (least(high, 200) - greatest(low, 0)) / 200 from k)
+select arm, threshold, round(avg((width > threshold)::int), 9) as needs_measurement, round(sqrt(avg((value - m) * (value - m)) filter (width <= threshold)), 9) as rmse, round(avg((value between low and high)::int) filter (width <= threshold), 9) as coverage
+from a cross join (select unnest([0.1, 0.2, 0.3, 0.4, 0.5])::double as threshold) group by arm, threshold""")
 def uncertainty_policy(spark, d):
-    grid = spark.createDataFrame([(x,) for x in (0.5, 0.6, 0.7, 0.75, 0.8)], "threshold double")
-    x = joins.config_cross(_intervals(spark, d), grid)
-    kept = (F.least("high", F.lit(200.0)) - F.greatest("low", F.lit(0.0))) / 200 <= F.col("threshold")
-    return rounded(x.groupBy("threshold").agg(F.avg((~kept).cast("int")).alias("needs_measurement"), F.sqrt(F.avg(F.when(kept, F.pow(F.col("value") - F.col("m"), 2)))).alias("rmse"), F.avg(F.when(kept, F.col("value").between(F.col("low"), F.col("high")).cast("int"))).alias("coverage")))
+    before = windows.ordered(["event_type", "user_id"], "day").rowsBetween(Window.unboundedPreceding, -1)
+    x = daily(spark, d).withColumns({"m": F.avg("value").over(before), "s": F.greatest(F.stddev_pop("value").over(before), F.lit(1.0))}).where("m is not null")
+    x = x.select("value", "m", (F.col("m") - F.col("s")).alias("low"), (F.col("m") + F.col("s")).alias("high"))
+    widths = F.array(F.struct(F.lit("raw").alias("arm"), (F.col("high") - F.col("low")).alias("w")), F.struct(F.lit("clipped").alias("arm"), (F.least("high", F.lit(200.0)) - F.greatest("low", F.lit(0.0))).alias("w")))
+    x = x.withColumn("_a", F.explode(widths)).select("value", "m", "low", "high", "_a.arm", (F.col("_a.w") / 200).alias("width"))
+    grid = spark.createDataFrame([(t,) for t in (0.1, 0.2, 0.3, 0.4, 0.5)], "threshold double")
+    kept = F.col("width") <= F.col("threshold")
+    return rounded(joins.config_cross(x, grid).groupBy("arm", "threshold").agg(F.avg((~kept).cast("int")).alias("needs_measurement"), F.sqrt(F.avg(F.when(kept, F.pow(F.col("value") - F.col("m"), 2)))).alias("rmse"), F.avg(F.when(kept, F.col("value").between(F.col("low"), F.col("high")).cast("int"))).alias("coverage")), "threshold")
 
 
-@query(f"""with {DAILY}, r as (select *, avg(value) over (partition by event_type, user_id order by day rows between unbounded preceding and 1 preceding) as m from daily),
-g as (select event_type, day // 7 as week, user_id, avg((value - m) * (value - m)) as mse, count(*) as n from r where m is not null group by grouping sets ((user_id), (event_type, user_id), (day // 7, user_id)))
-select case when event_type is not null then 'event_type' when week is not null then 'week' else 'overall' end as stratum, coalesce(event_type, week::varchar, 'all') as level, round(sqrt(avg(mse)), 9) as rmse, sum(n)::bigint as n, count(*) as subjects from g group by event_type, week""")
+_STRATA = ("overall", "event_type", "week", "clinic", "prior_count", "cold_start", "severity")
+
+
+@query(f"""with {DAILY}, r as (select *, avg(value) over b as m, count(value) over b as c from daily window b as (partition by event_type, user_id order by day rows between unbounded preceding and 1 preceding)),
+q as (select user_id, (value - m) * (value - m) as e, unnest([('overall', 'all'), ('event_type', event_type), ('week', (day // 7)::varchar), ('clinic', (user_id % 5)::varchar), ('prior_count', least(c, 5)::varchar), ('cold_start', (c < 3)::varchar), ('severity', case when value < 50 then 'low' when value < 100 then 'middle' else 'high' end)]) as s from r where m is not null),
+g as (select s[1] as stratum, s[2] as level, user_id, avg(e) as mse, count(*) as n from q group by all)
+select stratum, level, round(sqrt(avg(mse)), 9) as rmse, sum(n)::bigint as n, count(*) as subjects from g group by stratum, level""")
 def strata_recovery(spark, d):
-    m = windows.prior_mean(["event_type", "user_id"], ["day"], "value")
-    x = daily(spark, d).withColumn("m", m).where("m is not null").select("user_id", "event_type", F.floor(F.col("day") / 7).cast("int").alias("week"), F.pow(F.col("value") - F.col("m"), 2).alias("e"))
-    per = agg.scope(x, {"overall": ["user_id"], "event_type": ["user_id", "event_type"], "week": ["user_id", "week"]}, ["user_id", "event_type", "week"], F.avg("e").alias("mse"), F.count("*").alias("n"))
-    out = per.groupBy("scope", "event_type", "week").agg(F.sqrt(F.avg("mse")).alias("rmse"), F.sum("n").alias("n"), F.count("*").alias("subjects"))
-    return rounded(out.select(F.col("scope").alias("stratum"), F.coalesce("event_type", F.col("week").cast("string"), F.lit("all")).alias("level"), "rmse", "n", "subjects"))
+    before = windows.ordered(["event_type", "user_id"], "day").rowsBetween(Window.unboundedPreceding, -1)
+    x = daily(spark, d).withColumns({"m": F.avg("value").over(before), "c": F.count("value").over(before)}).where("m is not null")
+    severity = F.when(F.col("value") < 50, "low").when(F.col("value") < 100, "middle").otherwise("high")
+    x = x.select("user_id", "event_type", F.floor(F.col("day") / 7).cast("string").alias("week"), (F.col("user_id") % 5).cast("string").alias("clinic"), F.least("c", F.lit(5)).cast("string").alias("prior_count"), (F.col("c") < 3).cast("string").alias("cold_start"), severity.alias("severity"), F.pow(F.col("value") - F.col("m"), 2).alias("e"))
+    own = [s for s in _STRATA if s != "overall"]
+    per = agg.scope(x, {"overall": ["user_id"]} | {s: ["user_id", s] for s in own}, ["user_id", *own], F.avg("e").alias("mse"), F.count("*").alias("n"))
+    level = F.coalesce(*own, F.lit("all"))
+    return rounded(per.groupBy(F.col("scope").alias("stratum"), level.alias("level")).agg(F.sqrt(F.avg("mse")).alias("rmse"), F.sum("n").alias("n"), F.count("*").alias("subjects")))
 
 
 @query(f"""with {DAILY}, s as (select event_type, user_id, abs(value - 100) / 50 as score, 1.0 / count(*) over (partition by event_type, user_id) as w from daily),
@@ -363,6 +377,35 @@ def identifier_scan(spark, d):
     return checks.scan(table(spark, d, "pages"), ["url", "html"], (*checks.IDENTIFIERS, *checks.BLOCKED))
 
 
+@query("""with o as (select o_orderstatus as status, count(*) as n from orders group by all), e as (select o_orderstatus as status, count(*) as n from orders semi join lineitem on l_orderkey = o_orderkey group by all)
+select e.status, coalesce(o.n = e.n, false) as ok, o.n as observed, e.n as expected from e left join o using (status)""")
+def expected_counts(spark, d):
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status"))
+    used = joins.semi_filter(o, table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])
+    count = lambda x: x.groupBy("status").agg(F.count("*").alias("n"))
+    return checks.expected_values(count(o), count(used), ["status"], "n")
+
+
+#: Paths as a repository would hold them, made from each page's address and number.
+_PATHS = ("data/{}.txt", "src/{}.PARQUET", "docs/{}.md", "notes/credentials_{}", "x/.env", "archive/{}.tar.gz", "src/raw_{}.py")
+
+
+@query("with p as (select page_id, case page_id % 7 " + " ".join(f"when {k} then replace('{v}', '{{}}', page_id::varchar)" for k, v in enumerate(_PATHS)) + """ end as path from pages)
+select page_id, path, case page_id % 7 when 0 then 'folder' when 1 then 'suffix' when 3 then 'name' when 4 then 'name' when 5 then 'suffix' end as blocked from p""")
+def path_scan(spark, d):
+    path = F.element_at(F.array(*(F.replace(F.lit(v), F.lit("{}"), F.col("page_id").cast("string")) for v in _PATHS)), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("blocked", checks.blocked_path(F.col("path")))
+
+
+_SEGMENTS = {"AUTOM": "AUTOMOBILE", "BUILD": "BUILDING", "FURNI": "FURNITURE", "HOUSE": "HOUSEHOLD", "MACHI": "MACHINERY"}
+
+
+@query("select c_custkey, c_mktsegment as segment from customer")
+def canonical_facility(spark, d):
+    cut = F.when(F.col("c_custkey") % 2 == 1, F.substring("c_mktsegment", 1, 5)).otherwise(F.col("c_mktsegment"))
+    return table(spark, d, "customer").select("c_custkey", prep.canonical(cut, _SEGMENTS).alias("segment"))
+
+
 _PARTS = "s as (select s_suppkey, case when n_regionkey <= 2 then 'train' when n_regionkey = 3 then 'val' else 'test' end as part, n_name from supplier join nation on n_nationkey = s_nationkey)"
 
 
@@ -379,6 +422,12 @@ def clinic_split(spark, d):
     return cohort.facility_exclusive(_facilities(spark, d), "l_orderkey", "part")
 
 
+@query(f"""with {_PARTS}, g as (select l_orderkey, min(part) as part from lineitem join s on s_suppkey = l_suppkey group by l_orderkey having count(distinct part) = 1)
+select l_orderkey, 'fit' as role from g where part = 'train' union all select l_orderkey, 'selection' from g where part = 'val' union all select l_orderkey, 'development' from g where part in ('train', 'val')""")
+def partition_roles(spark, d):
+    return cohort.partition_roles(clinic_split(spark, d), "l_orderkey", "partition")
+
+
 @query(f"""with {_PARTS}, g as (select l_orderkey, count(distinct part) as n, min(part) as part, min(n_name) as facility from lineitem join s on s_suppkey = l_suppkey group by l_orderkey)
 select l_orderkey, facility, case when row_number() over (partition by facility order by {_DRAW.format("l_orderkey || '|'")}, l_orderkey) % 2 = 1 then 'calibration' else 'test' end as role from g where n = 1 and part = 'test'""")
 def clinic_holdout(spark, d):
@@ -458,13 +507,27 @@ def irt_holdout(spark, d):
     return rounded(x.groupBy("fold").agg(F.avg(-F.col("ll") / 9).alias("item_nll"), F.sqrt(F.avg(F.pow(F.col("t") - F.col("e"), 2))).alias("total_rmse"), F.count("*").alias("n")))
 
 
-@query(f"with {_ITEMS}, p as (select {_sql_probabilities(*_SPEC[0])} as p0, {_sql_probabilities(*_SPEC[8])} as p8 from it), q as (select 0 as item, p0 as p from p union all select 8, p8 from p) select item, c::int as category, round(avg(p[c + 1]), 9) as expected from q, (select unnest(range(0, 4)) as c) group by all")
+_SQL_NINE = " union all ".join(f"select {k} as item, {_sql_probabilities(*_SPEC[k])} as p from it" for k in range(9))
+
+
+@query(f"with {_ITEMS}, q as ({_SQL_NINE}) select item, c::int as category, round(avg(p[c + 1]), 9) as expected from q, (select unnest(range(0, 4)) as c) group by all")
 def irt_expected(spark, d):
-    both = F.array(*(F.struct(F.lit(k).alias("item"), irt.category_probabilities(F.col("z"), *_SPEC[k]).alias("p")) for k in (0, 8)))
-    x = _items(spark, d).select(F.explode(both).alias("q")).select("q.item", F.posexplode("q.p").alias("category", "p"))
+    every = F.array(*(F.struct(F.lit(k).alias("item"), irt.category_probabilities(F.col("z"), *_SPEC[k]).alias("p")) for k in range(9)))
+    x = _items(spark, d).select(F.explode(every).alias("q")).select("q.item", F.posexplode("q.p").alias("category", "p"))
     return rounded(x.groupBy("item", "category").agg(F.avg("p").alias("expected")))
 
 
+def _sql_all(category: int) -> str:
+    return "avg(exp(" + " + ".join(f"ln(({_sql_probabilities(a, b)})[{category}])" for a, b in _SPEC) + "))"
+
+
+@query(f"with {_ITEMS} select vec_id % 5 as fold, round({_sql_all(1)}, 12) as floor_rate, round({_sql_all(4)}, 12) as ceiling_rate, count(*) as n from it group by fold")
+def irt_floor_ceiling(spark, d):
+    all_in = lambda c: F.exp(irt.log_likelihood(F.col("z"), [F.lit(c)] * 9, _SPEC))
+    x = _items(spark, d).select((F.col("vec_id") % 5).alias("fold"), all_in(0).alias("low"), all_in(3).alias("high"))
+    return x.groupBy("fold").agg(F.round(F.avg("low"), 12).alias("floor_rate"), F.round(F.avg("high"), 12).alias("ceiling_rate"), F.count("*").alias("n"))
+
+
 _X = "x as (select l_returnflag as cell, l_orderkey as subject, l_quantity as q, l_discount as dis, l_tax as tax, l_extendedprice / 1000 as y from lineitem)"
 
 
