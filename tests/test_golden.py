@@ -256,3 +256,18 @@ def test_expected_values_and_treatment_window(spark):
     assert {r[0]: r[1] for r in checks.expected_values(have, want, ["k"], "n").select("k", "ok").collect()} == {"a": True, None: False, "c": False}
     pairs = spark.createDataFrame([(0, 1), (83, 84), (83, 85), (84, 84), (-1, 3), (5, None)], "d int, n int")
     assert rows(prep.in_treatment_window(pairs, "d", "n"), "d") == [(0, 1), (83, 84)]
+
+
+def test_causal_filter_equals_a_solve_for_each_day(spark):
+    rng = np.random.default_rng(5)
+    data = [(1, int(t), float(x)) for t, x in zip([0, 1, 1, 4, 9, 9, 30], rng.normal(size=7))] + [(2, 3, 1.5)]
+    df = spark.createDataFrame(data + [(3, 1, None)], "id int, day int, v double")
+    got = rows(models.gp_filter(df, "id", "day", "v", slow=(14.0,), fast=(3.0,)), "id", "day", "predicted")
+    kernel = lambda gap: np.exp(-0.5 * (gap / 14.0) ** 2) + 0.5 * np.exp(-gap / 3.0)
+    want = []
+    for s, day, _ in data:
+        t, v = (np.array([r[k] for r in data if r[0] == s and r[1] < day], dtype=float) for k in (1, 2))
+        cov = kernel(np.abs(t[:, None] - t[None, :])) + 0.25 * np.eye(len(t))
+        want.append((s, day, v.mean() + kernel(np.abs(day - t)) @ np.linalg.solve(cov, v - v.mean()) if len(t) else 0.0))
+    assert len(got) == len(want)
+    assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, sorted(want), strict=True))
