@@ -300,9 +300,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     about = materialize(docs.mapInArrow(_describe, "doc_id long, n_shingles long, low long, high long"), "sets")
     known = about.where("n_shingles > 0 and doc_id is not null")
     shingles = known.agg(F.sum("n_shingles")).first()[0] or 0
-    classes = known.groupBy("n_shingles", "low", "high").agg(F.min("doc_id").alias("rep"))
+    # a class may hold a third of all rows: it is dealt into parts, and each part that has rows is told the class's representative
+    same = ["n_shingles", "low", "high"]
+    known = known.withColumn("dealt", F.pmod(F.xxhash64("doc_id"), F.lit(shuffle_partitions(spark))).cast("int"))
+    parts = known.groupBy(*same, "dealt").agg(F.min("doc_id").alias("rep"))
+    classes = parts.groupBy(*same).agg(F.min("rep").alias("rep"), F.collect_list("dealt").alias("parts"))
+    classes = classes.select(*same, "rep", F.explode("parts").alias("dealt"))
     # a doc_id with several texts belongs to several classes; it links their representatives
-    member = materialize(known.join(classes, ["n_shingles", "low", "high"]).groupBy("doc_id", "rep").agg(F.count("*").alias("rows")), "member")
+    member = materialize(known.join(classes, [*same, "dealt"]).groupBy("doc_id", "rep").agg(F.count("*").alias("rows")), "member")
     links = member.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
     if shingles:
         links = links.unionByName(_near(docs, member, shingles))
