@@ -271,3 +271,35 @@ def test_causal_filter_equals_a_solve_for_each_day(spark):
         want.append((s, day, v.mean() + kernel(np.abs(day - t)) @ np.linalg.solve(cov, v - v.mean()) if len(t) else 0.0))
     assert len(got) == len(want)
     assert all(g[:2] == w[:2] and abs(g[2] - w[2]) < 1e-9 for g, w in zip(got, sorted(want), strict=True))
+
+
+def test_daily_readout_equals_a_dense_fit(spark):
+    r = np.random.default_rng(7)
+    axis = [("a", u, t, None if (u + t) % 4 == 0 else float(r.normal()), float(r.normal())) for u in range(4) for t in range(6)]
+    points = [("a", u, t, float(r.normal())) for u in range(3) for t in (1, 4)] + [("a", 3, 2, 9.0), ("a", 0, 2, None)]
+    got = models.daily_readout(spark.createDataFrame(axis, "g string, u int, t int, x double, z double"), spark.createDataFrame(points, "g string, u int, t int, y double"), ["g"], "u", "t", ["x", "z"], "y").first()
+    own = {u: sorted((t, y) for _, v, t, y in points if v == u and y is not None) for u in range(3)}
+    rows = [q for q in axis if q[1] < 3]
+    y = np.array([np.interp(t, *zip(*own[u])) for _, u, t, *_ in rows])
+    x = np.array([[q[3] if q[3] is not None else np.nan, q[4]] for q in rows])
+    means = np.nanmean(x, axis=0)
+    design = np.column_stack([np.ones(len(x)), np.where(np.isnan(x), means, x)])
+    coef = np.linalg.solve(design.T @ design + np.diag([0, 1, 1]), design.T @ y)
+    assert np.allclose([got.intercept, *got.coefficients, *got.means, got.sd], [*coef, *means, max(np.std(y - design @ coef), 0.35)]) and got.n == 18
+
+
+def test_transition_association_finds_what_explains(spark):
+    r = np.random.default_rng(2)
+    data = []
+    for g in ("noise", "signal"):
+        for u in range(20):
+            for t in range(8):
+                a, b, s = r.normal(size=3)
+                data.append((g, u, t, float(s), float(a), float(b), float((2 * b if g == "signal" else 0) - s + 0.1 * r.normal())))
+    df = spark.createDataFrame(data, "g string, u int, t int, s double, a double, b double, y double")
+    out = {q.g: q for q in models.transition_association(df, ["g"], "u", "t", ["s"], ["a", "b"], "y", 39).collect()}
+    hit, miss = out["signal"], out["noise"]
+    assert hit.p == 1 / 40 and hit.adjusted == 2 / 40 and hit.top == "b" and hit.improvement > 1 and 0.7 < hit.added_r2 < 0.9 and abs(hit.norm - 2) < 0.5
+    assert miss.p > 0.05 and miss.adjusted == miss.p and abs(miss.improvement) < 0.05 and hit.n == miss.n == 160
+    direct = models.ridge_cv(df.where("g = 'signal'"), ["g"], "u", ["s", "a", "b"], "y").first()
+    assert abs(direct.rmse - hit.rmse) < 1e-9

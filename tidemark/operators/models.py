@@ -6,6 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from tidemark.functions.scalar import draw
+from tidemark.operators import windows
 
 
 def gram(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
@@ -80,6 +84,73 @@ def ridge_cv(df: DataFrame, by: list[str], subject: str, x: list[str], y: str, p
     return sums.groupBy(*by).applyInPandas(fit, schema)
 
 
+def daily_readout(axis: DataFrame, points: DataFrame, by: list[str], subject: str, day: str, x: list[str], target: str, penalty: float = 1.0, least_sd: float = 0.35) -> DataFrame:
+    """Per group a ridge fit of the target, interpolated between a subject's points, on its daily predictors: n, intercept, coefficients, means and sd.
+
+    The intercept is free of the penalty, predictors are on their own scale, a null one stands for its mean. Subjects of
+    fewer than two points take no part; a group without any other gives no row. sd is that of what is left, at least
+    least_sd. One shuffle interpolates, one aggregate sums the products; what reaches a task is a group's sums.
+    """
+    rows = windows.interpolated_time(axis.select(*by, subject, day, *x), points.select(*by, subject, day, target), [*by, subject], day, target, "_target")
+    names = ["one", *x]
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        sums = {(r.a, r.b): r.value for r in group.itertuples()}
+        get = lambda a, b: sums.get((a, b), sums.get((b, a)))
+        left = np.array([[get(a, b) for b in names] for a in names]) + penalty * np.diag([0.0] + [1.0] * len(x))
+        coef = np.linalg.lstsq(left, np.array([get(a, "_target") for a in names]), rcond=None)[0]
+        all_ = [*names, "_target"]
+        beta, n = np.append(coef, -1.0), get("one", "one")
+        sse = beta @ np.array([[get(a, b) for b in all_] for a in all_]) @ beta
+        found = {"n": int(n), "intercept": coef[0], "coefficients": coef[1:].tolist(), "means": [get("one", c) / n for c in x], "sd": max(float(np.sqrt(max(sse, 0) / n)), least_sd)}
+        return pd.DataFrame({c: [group[c].iloc[0]] for c in by} | {k: [v] for k, v in found.items()})
+
+    kinds = dict(axis.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n long, intercept double, coefficients array<double>, means array<double>, sd double"])
+    return gram(rows, by, x, "_target").groupBy(*by).applyInPandas(fit, schema)
+
+
+def transition_association(df: DataFrame, by: list[str], subject: str, order: str, nuisance: list[str], profile: list[str], y: str, replicates: int = 200, penalty: float = 1.0) -> DataFrame:
+    """Per group whether a profile explains y beyond nuisance: errors with and without it, and a permutation probability with Holm's adjustment over the groups.
+
+    bare and rmse are out-of-fold errors; added_r2 is what the profile adds to the out-of-fold share of y's variance. norm and top are
+    the length and the largest entry's name of the profile's standardized coefficients in a fit of all rows. A replicate
+    shifts each subject's profile in time, around its end, by a hash of the subject and the replicate; p is the share of replicates, the
+    observed order among them, whose error is as small. Days must be distinct within a subject, which bounds its rows by
+    the calendar; the replicates of a subject are unfolded where it lies and summed before anything is shuffled.
+    """
+    kinds = dict(df.dtypes)
+    rows = df.where(F.col(y).isNotNull()).select(*by, subject, order, *nuisance, *profile, y)
+    held = rows.groupBy(*by, subject).agg(F.array_sort(F.collect_list(F.struct(order, *nuisance, *profile, y))).alias("_s"))
+    size = F.size("_s")
+    shift = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.floor(draw(F.col(subject), F.col("replicate"), salt="shift") * size).cast("int"))
+    dealt = held.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_by", shift)
+    moved = F.transform("_s", lambda s, i: F.struct(*(s[c].alias(c) for c in (*nuisance, y)), *(F.get(F.col("_s"), (i + F.col("_by")) % size)[c].alias(c) for c in profile)))
+    each = dealt.select(*by, subject, "replicate", F.explode(moved).alias("_m")).select(*by, subject, "replicate", "_m.*")
+    keys = Window.partitionBy(*by)
+    cv = ridge_cv(each, [*by, "replicate"], subject, [*nuisance, *profile], y, penalty).withColumn("_own", F.min(F.when(F.col("replicate") == 0, F.col("sse"))).over(keys))
+    # errors of equal orders differ in the last digits only
+    as_small = F.count_if((F.col("replicate") > 0) & (F.col("sse") <= F.col("_own") * (1 + 1e-9)))
+    full = cv.groupBy(*by).agg(F.max(F.when(F.col("replicate") == 0, F.col("n"))).alias("n"), F.max("_own").alias("_full"), F.max(F.when(F.col("replicate") == 0, F.col("rmse"))).alias("rmse"), ((1 + as_small) / F.lit(1 + replicates)).alias("p"))
+    bare = ridge_cv(rows, by, subject, nuisance, y, penalty).select(*by, F.col("rmse").alias("bare"), F.col("sse").alias("_bare"))
+    spread = rows.groupBy(*by).agg((F.var_pop(y) * F.count(y)).alias("_all"))
+
+    def weigh(group: pd.DataFrame) -> pd.DataFrame:
+        sums = {(r.a, r.b): r.value for r in group.itertuples()}
+        n, x = sums["one", "one"], [*nuisance, *profile]
+        slope = solve_ridge(sums, x, y, penalty)[1 + len(nuisance) :]
+        weight = slope * np.sqrt([max(sums[c, c] / n - (sums["one", c] / n) ** 2, 0) for c in profile])
+        return pd.DataFrame({c: [group[c].iloc[0]] for c in by} | {"norm": [float(np.linalg.norm(weight))], "top": [profile[int(np.abs(weight).argmax())]]})
+
+    weights = gram(rows, by, [*nuisance, *profile], y).groupBy(*by).applyInPandas(weigh, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "norm double, top string"]))
+    out = full.join(bare, by).join(spread, by).join(weights, by)
+    out = out.select(*by, "n", "bare", "rmse", (F.col("bare") - F.col("rmse")).alias("improvement"), ((F.col("_bare") - F.col("_full")) / F.nullif("_all", F.lit(0.0))).alias("added_r2"), "norm", "top", "p")
+    ranked = out.withColumn("_key", F.struct(*by))
+    m, walk = F.count("*").over(Window.partitionBy()), Window.partitionBy().orderBy("p", "_key")
+    step = ranked.withColumn("_t", (m - F.row_number().over(walk) + 1) * F.col("p"))
+    return step.withColumn("adjusted", F.least(F.lit(1.0), F.max("_t").over(walk.rowsBetween(Window.unboundedPreceding, 0)))).drop("_t", "_key")
+
+
 def state_space(df: DataFrame, subject: str, day: str, value: str, rho: float = 0.9, innovation: float = 0.3, noise: float = 0.5) -> DataFrame:
     """subject, day and level: the least-squares path of an autoregressive level through a subject's values, aware of gaps.
 

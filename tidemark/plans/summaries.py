@@ -552,17 +552,36 @@ def masked_stats(spark, d):
 
 @query()
 def transition_association(spark, d):
-    """Whether a profile explains a state's change beyond the state and the gap: errors without it, with it, and with it shifted in time."""
-    w = windows.ordered(["user_id"], "day")
-    x = days(spark, d).select("user_id", "day", "value", F.col("n").cast("double").alias("profile")).withColumns({"y": F.lead("value").over(w) - F.col("value"), "gap": (F.lead("day").over(w) - F.col("day")).cast("double"), "prior": windows.prior_mean(["user_id"], ["day"], "profile")}).where("y is not null and prior is not null")
-    x = x.withColumn("deviation", F.col("profile") - F.col("prior"))
-    shifts = [windows.circular_shift(x, ["user_id"], ["day"], "deviation", F.floor(scalar.draw(F.col("user_id"), F.lit(k), salt="shift") * 1000).cast("int"), "shifted").select(F.lit(k).alias("replicate"), "user_id", "value", "gap", F.col("shifted").alias("deviation"), "y") for k in range(1, 21)]
-    rows = prep.union_all(x.select(F.lit(0).alias("replicate"), "user_id", "value", "gap", "deviation", "y"), *shifts)
-    full = models.ridge_cv(rows, ["replicate"], "user_id", ["value", "gap", "deviation"], "y")
-    bare = models.ridge_cv(rows.where("replicate = 0"), ["replicate"], "user_id", ["value", "gap"], "y").select(F.col("rmse").alias("bare"))
-    observed = full.where("replicate = 0").select(F.col("rmse").alias("rmse"), "n", F.col("sse").alias("observed"))
-    tail = full.where("replicate > 0").crossJoin(F.broadcast(observed.select("observed"))).agg(((1 + F.count_if(F.col("sse") <= F.col("observed"))) / (1 + F.count("*"))).alias("p"))
-    return observed.drop("observed").crossJoin(bare).crossJoin(tail).select("n", "bare", "rmse", (F.col("bare") - F.col("rmse")).alias("improvement"), "p")
+    """Whether a day's profile explains the next change of a measurement beyond its state and the gap, by cadence and instrument."""
+    profile = days(spark, d).select("user_id", "day", F.col("value").alias("level"), F.col("n").cast("double").alias("events"))
+    own = {c: F.col(c) - windows.prior_mean(["user_id"], ["day"], c) for c in ("level", "events")}
+    profile = profile.withColumns({f"{c}_deviation": v for c, v in own.items()}).select("user_id", "day", "level_deviation", "events_deviation")
+    key = ["user_id", "event_type"]
+    x = daily(spark, d).where("event_type in ('purchase', 'view', 'click')")
+    kept = prep.union_all(*(windows.thinned(x, key, "day", c).where("retained").select(F.lit(c).alias("cadence"), *key, "day", "value") for c in (2, 3, 5)))
+    w = windows.ordered(["cadence", *key], "day")
+    pairs = kept.withColumns({"y": F.lead("value").over(w) - F.col("value"), "gap": (F.lead("day").over(w) - F.col("day")).cast("double")}).where("y is not null")
+    pairs = pairs.join(profile, ["user_id", "day"]).where("level_deviation is not null")
+    return models.transition_association(pairs, ["cadence", "event_type"], "user_id", "day", ["value", "gap"], ["level_deviation", "events_deviation"], "y")
+
+
+@query(f"""with {DAILY}, days as (select user_id, day, case when day % 3 <> 0 then avg(value) end as level, count(*)::double as events from ev where user_id % 5 <> 0 group by user_id, day),
+axis as (select event_type, user_id, day, level, events from days, (select unnest(['click', 'purchase', 'view']) as event_type)),
+j as (select axis.*, daily.value from axis left join daily on daily.user_id = axis.user_id and daily.day = axis.day and daily.event_type = axis.event_type),
+p as (select event_type, user_id, day, level, events, count(value) over (partition by event_type, user_id) as points, last_value(case when value is not null then day end ignore nulls) over b as pi, last_value(value ignore nulls) over b as pv, first_value(case when value is not null then day end ignore nulls) over a as qi, first_value(value ignore nulls) over a as qv
+from j window b as (partition by event_type, user_id order by day rows unbounded preceding), a as (partition by event_type, user_id order by day rows between current row and unbounded following)),
+t as (select event_type, level, events, coalesce(pv + (qv - pv) * (day - pi) / nullif(qi - pi, 0), pv, qv) as y from p where points >= 2),
+i as (select event_type, y, events as b, coalesce(level, avg(level) over (partition by event_type)) as a from t),
+m as (select event_type, count(*) as n, avg(y) as my, avg(a) as ma, avg(b) as mb, var_pop(y) as vy, var_pop(a) as va, var_pop(b) as vb, covar_pop(a, b) as cab, covar_pop(a, y) as cay, covar_pop(b, y) as cby from i group by event_type),
+s as (select *, ((vb + 1 / n) * cay - cab * cby) / ((va + 1 / n) * (vb + 1 / n) - cab * cab) as ca, ((va + 1 / n) * cby - cab * cay) / ((va + 1 / n) * (vb + 1 / n) - cab * cab) as cb from m)
+select event_type, n, round(my - ca * ma - cb * mb, 6) as intercept, round(ca, 6) as level, round(cb, 6) as events, round(ma, 6) as mean_level, round(mb, 6) as mean_events, round(greatest(0.35, sqrt(vy + ca * ca * va + cb * cb * vb - 2 * ca * cay - 2 * cb * cby + 2 * ca * cb * cab)), 6) as sd from s""")
+def daily_readout(spark, d):
+    """A readout of each instrument from the day's events, fitted on four fifths of the users; the level is missing on every third day."""
+    x = events(spark, d).where("user_id % 5 <> 0").groupBy("user_id", "day").agg(F.when(F.col("day") % 3 != 0, F.avg("value")).alias("level"), F.count("*").cast("double").alias("events"))
+    axis = x.withColumn("event_type", F.explode(F.array(*(F.lit(k) for k in ("click", "purchase", "view")))))
+    points = daily(spark, d).where("event_type in ('click', 'purchase', 'view')")
+    out = models.daily_readout(axis, points, ["event_type"], "user_id", "day", ["level", "events"], "value")
+    return out.select("event_type", "n", *(F.round(c, 6).alias(name) for name, c in {"intercept": "intercept", "level": F.get("coefficients", F.lit(0)), "events": F.get("coefficients", F.lit(1)), "mean_level": F.get("means", F.lit(0)), "mean_events": F.get("means", F.lit(1)), "sd": "sd"}.items()))
 
 
 @query()
