@@ -73,10 +73,27 @@ def pieces(offsets: np.ndarray, most: int):
         at = to
 
 
+def long_cuts(data: np.ndarray, lo: int, hi: int, most: int, space: np.ndarray) -> list[int]:
+    """Where the text in data[lo:hi] is cut into parts of about most bytes: only at bytes of space, so that no word is cut."""
+    out = [lo]
+    while hi - out[-1] > 2 * most:
+        at = out[-1] + most
+        while at < hi and not space[data[at : min(at + most, hi)]].any():
+            at += most
+        if at >= hi:
+            break
+        out.append(at + int(np.argmax(space[data[at : min(at + most, hi)]])))
+    return [*out, hi]
+
+
 #: Bytes that separate words: space and 0x09 to 0x0D.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
+#: Bytes that separate runs of letters: ASCII but for letters.
+NO_LETTER = np.zeros(256, bool)
+NO_LETTER[[*range(0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+
 #: Lower-cases A to Z and leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -124,9 +141,9 @@ class Rolling:
         return mix((self.sums[end] - self.sums[start]) * self.back[start] + (end - start).astype(np.uint64) * _ODD)
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (a run of non-space bytes within one text), and the first word of each text with a total at the end."""
-    inside = ~SPACE[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of bytes other than space within one text), and the first word of each text with a total at the end."""
+    inside = ~space[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     cut = offsets[1:-1][(offsets[1:-1] < len(data))]

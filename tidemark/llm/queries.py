@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import chat, jaccard, licenses, maxent, mixing, packing, quality, sketch, suffix, topk
+from tidemark.llm import chat, divergence, folds, jaccard, licenses, maxent, mixing, packing, quality, sketch, suffix, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,8 +59,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_lm_score, op2_license_scan, op3_topk_search, op4_chat_repair, op5_quality, op6_mixing, op7_jaccard_join, op8_fingerprints, op9_suffix_dedup, op10_packing)
+    own = (op1_lm_score, op2_license_scan, op3_topk_search, op4_chat_repair, op5_quality, op6_mixing, op7_jaccard_join, op8_fingerprints, op9_suffix_dedup, op10_packing, op11_divergence, op12_filter_folds, op13_toxicity)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -118,5 +130,5 @@ from d left join k on k.doc_id = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op3_topk_search": TOP_K, "op6_mixing": MIXING, "op7_jaccard_join": JACCARD, "op8_fingerprints": sketch.sql(), "op9_suffix_dedup": SUFFIX}
+    out = {"op3_topk_search": TOP_K, "op6_mixing": MIXING, "op7_jaccard_join": JACCARD, "op8_fingerprints": sketch.sql(), "op9_suffix_dedup": SUFFIX, "op11_divergence": divergence.SQL, "op12_filter_folds": folds.SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
