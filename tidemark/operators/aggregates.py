@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ranges import joined, mean_ranks, median_distances
+from tidemark.sources.tables import written
+
 
 def mean_error(metric: str, single=0.0, none=0.0) -> list[Column]:
     """Mean and Monte-Carlo standard error (sample deviation over the root of n) of the values that are there."""
@@ -64,25 +67,30 @@ def anchor_rmse(df: DataFrame, by: list[str], value: str, predicted: str) -> Dat
     return df.groupBy(*by).agg(F.sqrt(F.avg(F.pow(F.col(value) - F.col(predicted), 2))).alias("rmse"), F.count("*").alias("anchors"))
 
 
-def average_rank(by: list[str], value: str) -> Column:
-    """Ranks from 1 in which ties share their mean."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
-
-
 def rater_agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Per group: n, Pearson's r with its Fisher interval, Spearman's rho, exact agreement, quadratic-weighted kappa, mean difference.
 
-    Kappa's categories are twice the score, rounded half to even.
+    Kappa's categories are twice the score, rounded half to even. Pairs of equal scores are counted first; ranks run
+    over ranges of the distinct scores, so no task sorts a group.
     """
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = both.withColumns({"_ra": average_rank(by, a), "_rb": average_rank(by, b), "_ca": F.bround(2 * F.col(a)), "_cb": F.bround(2 * F.col(b))})
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*by, F.col(a).cast("double").alias("_a"), F.col(b).cast("double").alias("_b")).groupBy(*by, "_a", "_b").agg(F.count("*").alias("_n"))
+    both = written(both, "scores")
+    for c in ("_a", "_b"):
+        both = joined(both, mean_ranks(both.groupBy(*by, c).agg(F.sum("_n").alias("_c")), by, c, "_c", f"_r{c}").drop("_c"), [*by, c])
+    n = F.sum("_n")
+    mean = lambda x: F.sum(F.col("_n") * x) / n
+    whole = both.groupBy(*by).agg(n.alias("_all"), mean(F.col("_a")).alias("_ma"), mean(F.col("_b")).alias("_mb"))
+    x, y = F.col("_a") - F.col("_ma"), F.col("_b") - F.col("_mb")
+    p, q = F.col("_r_a") - (F.col("_all") + 1) / 2, F.col("_r_b") - (F.col("_all") + 1) / 2
+    ca, cb = F.bround(2 * F.col("_a")), F.bround(2 * F.col("_b"))
+    corr = lambda u, v: F.sum(F.col("_n") * u * v) / F.nullif(F.sqrt(F.sum(F.col("_n") * u * u) * F.sum(F.col("_n") * v * v)), F.lit(0.0))
     # expected disagreement needs only the two raters' means and mean squares
-    observed, expected = F.avg(F.pow(F.col("_ca") - F.col("_cb"), 2)), F.avg(F.col("_ca") * F.col("_ca")) + F.avg(F.col("_cb") * F.col("_cb")) - 2 * F.avg("_ca") * F.avg("_cb")
-    r = F.corr(a, b)
-    z, se = F.atanh(F.greatest(F.least(r, F.lit(0.999999)), F.lit(-0.999999))), 1 / F.sqrt(F.greatest(F.count("*") - 3, F.lit(1)))
-    return ranked.groupBy(*by).agg(
-        F.count("*").alias("n"), r.alias("pearson"), F.tanh(z - 1.96 * se).alias("pearson_low"), F.tanh(z + 1.96 * se).alias("pearson_high"), F.corr("_ra", "_rb").alias("spearman"),
-        F.avg((F.col(a) == F.col(b)).cast("double")).alias("exact"), F.when(expected > 0, 1 - observed / expected).alias("kappa"), F.avg(F.abs(F.col(a) - F.col(b))).alias("mean_difference"),
+    observed, expected = mean(F.pow(ca - cb, 2)), mean(ca * ca) + mean(cb * cb) - 2 * mean(ca) * mean(cb)
+    r = corr(x, y)
+    z, se = F.atanh(F.greatest(F.least(r, F.lit(0.999999)), F.lit(-0.999999))), 1 / F.sqrt(F.greatest(n - 3, F.lit(1)))
+    return joined(both, whole, by).groupBy(*by).agg(
+        n.alias("n"), r.alias("pearson"), F.tanh(z - 1.96 * se).alias("pearson_low"), F.tanh(z + 1.96 * se).alias("pearson_high"), corr(p, q).alias("spearman"),
+        mean((F.col("_a") == F.col("_b")).cast("double")).alias("exact"), F.when(expected > 0, 1 - observed / expected).alias("kappa"), mean(F.abs(F.col("_a") - F.col("_b"))).alias("mean_difference"),
     )
 
 
@@ -130,3 +138,23 @@ def masked_stats(df: DataFrame, by: list[str], value: str, mask: Column) -> Data
     kept = F.when(mask, F.col(value))
     sd = F.coalesce(F.stddev_pop(kept), F.lit(0.0))
     return df.groupBy(*by).agg(F.coalesce(F.avg(kept), F.lit(0.0)).alias("mean"), F.when(sd <= 1e-8, 1.0).otherwise(sd).alias("sd"), F.count(kept).alias("n"), F.greatest(F.coalesce(F.var_pop(kept), F.lit(0.0)), F.lit(0.25)).alias("floored_variance"))
+
+
+def week_stability(df: DataFrame, by: list[str], subject: str, week: str, state: str, change: str, least: int = 10, least_changes: int = 2) -> DataFrame:
+    """Per group how much subjects change within themselves and differ from others of the same week.
+
+    A subject's week has its mean state and mean absolute change; weeks of fewer than least subjects go. The difference
+    is the median distance to the week's other subjects. Both are averaged over a subject's weeks; of subjects with
+    least_changes changes the medians, that of the paired difference, and the share in which the difference is larger.
+    """
+    weeks = df.where(F.col(state).isNotNull() & F.col(change).isNotNull()).groupBy(*by, week, subject).agg(F.avg(state).alias("_state"), F.avg(F.abs(change)).alias("_within"), F.count("*").alias("_n"))
+    weeks = written(weeks, "weeks")
+    big = weeks.groupBy(*by, week).agg(F.count("*").alias("_users")).where(F.col("_users") >= least).drop("_users")
+    kept = written(joined(weeks, big, [*by, week]), "weeks")
+    apart = joined(kept, median_distances(kept, [*by, week], subject, "_state"), [*by, week, subject], "left")
+    per = apart.groupBy(*by, subject).agg(F.avg("_within").alias("_within"), F.avg("median_distance").alias("_between"), F.sum("_n").alias("_n"), F.count("*").alias("_weeks"))
+    per = per.where((F.col("_n") >= least_changes) & F.col("_between").isNotNull()).withColumn("_paired", F.col("_between") - F.col("_within"))
+    return per.groupBy(*by).agg(
+        F.count("*").alias("subjects"), F.sum("_weeks").alias("subject_weeks"), F.median("_within").alias("median_within_change"), F.median("_between").alias("median_between_difference"),
+        F.median("_paired").alias("median_paired_difference"), F.avg((F.col("_paired") > 0).cast("double")).alias("share_between_larger"),
+    )

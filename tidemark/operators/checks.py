@@ -56,7 +56,7 @@ def no_future_leak(build, inputs: DataFrame, perturbed: DataFrame, before: Colum
 IDENTIFIERS = (("seven digits or more", r"^\s*[0-9]{7,}\s*$"), ("windows path", r"[A-Za-z]:\\(?:Users|Documents)"), ("home path", r"/(?:home|Users)/[A-Za-z]"))
 SECRETS = (
     ("private key", r"-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----"),
-    ("api key", r"\b(?:sk|pk)[-_][A-Za-z0-9_-]{20,}"),
+    ("api key", r"\bsk-[A-Za-z0-9_-]{20,}\b"),
     ("access key", r"\bAKIA[0-9A-Z]{16}\b"),
     ("social security number", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
 )

@@ -7,15 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import draw
-
-
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with i = 0, 1, ... by order. Ranges are counted first, so that no task sorts all rows."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_r", F.spark_partition_id())
-    inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_r").orderBy(*order)))
-    sizes = inside.groupBy("_r").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return inside.join(F.broadcast(sizes.select("_r", before.alias("_b"))), "_r").withColumn("i", F.col("_b") + F.col("_k") - 1).drop("_r", "_k", "_b")
+from tidemark.operators.ranges import joined, numbered, running
 
 
 def bootstrap_draws(spark, n: int, replicates: int, salt: str) -> DataFrame:
@@ -24,23 +16,36 @@ def bootstrap_draws(spark, n: int, replicates: int, salt: str) -> DataFrame:
     return draws.select("replicate", F.floor(draw(F.col("replicate"), F.col("d"), salt=salt) * n).alias("i")).groupBy("replicate", "i").agg(F.count("*").alias("times"))
 
 
-def bootstrap_interval(subjects: DataFrame, subject: str, statistic: Column, replicates: int, salt: str = "", alpha: float = 0.05) -> DataFrame:
-    """Percentile interval of a statistic over resampled subjects (one row each); statistic may use times, a subject's number of draws."""
+def bootstrap_intervals(subjects: DataFrame, subject: str, statistics: dict[str, Column], replicates: int, salt: str = "", alpha: float = 0.05) -> DataFrame:
+    """name, low, high and replicates: percentile intervals of several statistics over the same resampled subjects (one row each).
+
+    A statistic may use times, a subject's number of draws. All of them are columns of one grouped sum, so they share
+    their draws, which are hashes and made once; null values of a statistic count in none of its replicates.
+    """
     rows = numbered(subjects, [subject])
     n = rows.count()
-    per = bootstrap_draws(subjects.sparkSession, n, replicates, salt).join(rows, "i").groupBy("replicate").agg(statistic.alias("_s")).where("_s is not null")
-    return per.agg(F.percentile("_s", F.lit(alpha / 2)).alias("low"), F.percentile("_s", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("replicates"))
+    per = bootstrap_draws(subjects.sparkSession, n, replicates, salt).join(rows, "i").groupBy("replicate").agg(*(v.alias(f"_s{k}") for k, v in enumerate(statistics.values())))
+    each = per.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"_s{k}").cast("double").alias("_s")) for k, name in enumerate(statistics)))).alias("_e")).select("_e.*").where("_s is not null")
+    return each.groupBy("name").agg(F.percentile("_s", F.lit(alpha / 2)).alias("low"), F.percentile("_s", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("replicates"))
+
+
+def bootstrap_interval(subjects: DataFrame, subject: str, statistic: Column, replicates: int, salt: str = "", alpha: float = 0.05) -> DataFrame:
+    """Percentile interval of one statistic over resampled subjects; see bootstrap_intervals. No replicate with a value gives nulls."""
+    return bootstrap_intervals(subjects, subject, {"": statistic}, replicates, salt, alpha).agg(F.max("low").alias("low"), F.max("high").alias("high"), F.coalesce(F.max("replicates"), F.lit(0)).cast("long").alias("replicates"))
 
 
 def conformal_quantile(df: DataFrame, by: list[str], subject: str, score: str, alpha: float) -> DataFrame:
-    """Per group the quantile in which each subject has total weight 1; infinite where alpha asks for more than there is."""
-    weight = 1 / F.count("*").over(Window.partitionBy(*by, subject))
-    weighted = df.withColumn("_w", weight)
-    totals = weighted.groupBy(*by).agg(F.round(F.sum("_w")).alias("_n")).withColumn("_r", (F.col("_n") + 1) * (1 - alpha))
-    running = weighted.groupBy(*by, score).agg(F.sum("_w").alias("_w")).withColumn("_cum", F.sum("_w").over(Window.partitionBy(*by).orderBy(score)))
-    joined = running.join(totals, by) if by else running.crossJoin(F.broadcast(totals))
+    """Per group the quantile in which each subject has total weight 1; infinite where alpha asks for more than there is.
+
+    Equal scores of a subject are counted first, then equal scores of a group; what is left runs over ranges of scores.
+    """
+    counted = df.groupBy(*by, subject, score).agg(F.count("*").alias("_c"))
+    sizes = df.groupBy(*by, subject).agg(F.count("*").alias("_all"))
+    weights = joined(counted, sizes, [*by, subject]).groupBy(*by, score).agg(F.sum(F.col("_c") / F.col("_all")).alias("_w"))
+    totals = sizes.groupBy(*by).agg(F.count("*").cast("double").alias("_n")).withColumn("_r", (F.col("_n") + 1) * (1 - alpha))
+    walked = joined(running(weights, by, score, {"_cum": (F.sum, "_w")}), totals, by)
     reach = F.min(F.when(F.col("_cum") >= F.col("_r") - 1e-9, F.col(score)))
-    return joined.groupBy(*by).agg(F.when(F.max("_r") > F.max("_n"), F.lit(float("inf"))).otherwise(reach).alias("quantile"), F.max("_n").cast("long").alias("subjects"))
+    return walked.groupBy(*by).agg(F.when(F.max("_r") > F.max("_n"), F.lit(float("inf"))).otherwise(reach).alias("quantile"), F.max("_n").cast("long").alias("subjects"))
 
 
 def holm(df: DataFrame, by: list[str], p: str, order: str) -> DataFrame:

@@ -84,15 +84,16 @@ def carried_categories(sessions: DataFrame, events: DataFrame, by: str, time: st
 
 
 def window_means(targets: DataFrame, series: DataFrame, by: str, time: str, value: str, start: str = "window_start", end: str = "window_end") -> DataFrame:
-    """targets with the mean of series over each one's closed window, its number of values; targets without any go.
+    """targets with the mean of series over each one's closed window, its number of values; targets without any go, repeated ones come as often as they stand.
 
     Each window is spread over its days, which bounds the join by the windows' lengths and keeps it an equi-join.
     """
-    keyed = targets.withColumn("_target", F.struct(*targets.columns))
+    keyed = targets.groupBy(*targets.columns).agg(F.count("*").alias("_times")).withColumn("_target", F.struct(*targets.columns, "_times"))
     days = keyed.select(by, "_target", F.explode(F.sequence(start, end)).alias(time))
     daily = series.groupBy(by, time).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
     found = days.join(daily, [by, time]).groupBy("_target").agg((F.sum("_s") / F.sum("_n")).alias("window_mean"), F.sum("_n").alias("window_n"))
-    return found.where("window_n > 0").select("_target.*", "window_mean", "window_n")
+    each = found.where("window_n > 0").withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_target._times"))))
+    return each.select(*(F.col(f"_target.{c}") for c in targets.columns), "window_mean", "window_n")
 
 
 def overlapping(rows: DataFrame, targets: DataFrame, by: str, start: str = "window_start", end: str = "window_end") -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,25 +12,66 @@ from tidemark.functions.scalar import draw
 from tidemark.operators import windows
 
 
-def gram(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
-    """Per group the sums of products of (1, x..., y), one row per pair of columns: one aggregate, combined before its shuffle.
+def _pairs(x: list[str], y: str) -> list[tuple[str, str]]:
+    names = ["one", *x, y]
+    return [(a, b) for i, a in enumerate(names) for b in names[i:]]
+
 
-    Rows with a null y are left out; a null x stands for the group's mean of that column (0 without any). The mean is
-    not known while rows are summed, so what it is to be multiplied with is summed beside the products.
+def gram_parts(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
+    """Per group and pair (a, b) of the columns (1, x..., y) four sums over rows whose y isn't null: products of values (null ones as 0), of a's gaps with b, of a with b's gaps, and of gaps.
+
+    A gap is 1 where a value is null. With them a mean can be put for null values after rows are summed, and it may
+    come from other rows: the sums of groups add up. One aggregate, combined before its shuffle.
     """
     names = ["one", *x, y]
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     col = {c: F.lit(1.0) if c == "one" else F.col(c).cast("double") for c in names}
     kept = {c: F.coalesce(v, F.lit(0.0)) for c, v in col.items()}
     gap = {c: v.isNull().cast("double") for c, v in col.items()}
-    sums = [F.avg(col[c]).alias(f"_m_{c}") for c in x]
-    for i, (a, b) in enumerate(pairs):
+    sums = []
+    for i, (a, b) in enumerate(_pairs(x, y)):
         sums += [F.sum(one * other).alias(f"_{i}{k}") for k, (one, other) in enumerate(((kept[a], kept[b]), (gap[a], kept[b]), (kept[a], gap[b]), (gap[a], gap[b])))]
     whole = df.where(F.col(y).isNotNull()).groupBy(*by).agg(*sums)
-    mean = {c: F.coalesce(F.col(f"_m_{c}"), F.lit(0.0)) if c in x else F.lit(0.0) for c in names}
-    value = [F.col(f"_{i}0") + mean[a] * F.col(f"_{i}1") + mean[b] * F.col(f"_{i}2") + mean[a] * mean[b] * F.col(f"_{i}3") for i, (a, b) in enumerate(pairs)]
-    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("value")) for (a, b), v in zip(pairs, value, strict=True))))
-    return whole.select(*by, rows.alias("_gram")).select(*by, "_gram.a", "_gram.b", "_gram.value")
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *(F.col(f"_{i}{k}").alias(f"v{k}") for k in range(4))) for i, (a, b) in enumerate(_pairs(x, y))))
+    return whole.select(*by, rows.alias("_gram"))
+
+
+def gram(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
+    """Per group the sums of products of (1, x..., y), one row per pair of columns; a null x stands for the group's mean of that column (0 without any)."""
+    parts = gram_parts(df, by, x, y)
+    place = {p: i for i, p in enumerate(_pairs(x, y))}
+    at = lambda i, k: F.col("_gram")[i][f"v{k}"]
+    mean = {c: F.coalesce(at(place["one", c], 0) / F.nullif(at(0, 0) - at(place["one", c], 2), F.lit(0.0)), F.lit(0.0)) if c in x else F.lit(0.0) for c in ("one", *x, y)}
+    value = [at(i, 0) + mean[a] * at(i, 1) + mean[b] * at(i, 2) + mean[a] * mean[b] * at(i, 3) for (a, b), i in place.items()]
+    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), v.alias("value")) for (a, b), v in zip(place, value, strict=True))))
+    return parts.select(*by, rows.alias("_gram")).select(*by, "_gram.a", "_gram.b", "_gram.value")
+
+
+class Sums:
+    """The four sums of gram_parts as matrices over (1, x..., y); they add up and subtract."""
+
+    def __init__(self, parts: list, names: list[str]):
+        at = {c: i for i, c in enumerate(names)}
+        self.names, self.all = names, np.zeros((3, len(names), len(names)))
+        for p in parts:
+            i, j = at[p["a"]], at[p["b"]]
+            self.all[0, i, j] = self.all[0, j, i] = p["v0"]
+            self.all[1, i, j], self.all[1, j, i] = p["v1"], p["v2"]
+            self.all[2, i, j] = self.all[2, j, i] = p["v3"]
+
+    def less(self, other: Sums) -> Sums:
+        out = Sums([], self.names)
+        out.all = self.all - other.all
+        return out
+
+    def means(self) -> np.ndarray:
+        n = self.all[0, 0, 0] - self.all[1, :, 0]
+        out = np.where(n > 0.5, self.all[0, 0] / np.maximum(n, 1), 0.0)
+        out[[0, -1]] = 0.0
+        return out
+
+    def filled(self, means: np.ndarray) -> np.ndarray:
+        kept, mixed, gaps = self.all
+        return kept + means[:, None] * mixed + (means[:, None] * mixed).T + np.outer(means, means) * gaps
 
 
 def solve_ridge(sums: dict[tuple[str, str], float], x: list[str], y: str, penalty: float) -> np.ndarray:
@@ -51,37 +92,43 @@ def solve_ridge(sums: dict[tuple[str, str], float], x: list[str], y: str, penalt
     return np.concatenate([[get("one", y) / n - mean @ slopes], slopes])
 
 
-def ridge_cv(df: DataFrame, by: list[str], subject: str, x: list[str], y: str, penalty: float = 1.0, folds: int = 5) -> DataFrame:
+def fold_of(subject: str, folds: int) -> Column:
+    """A subject's fold, by a hash of its key."""
+    return F.floor(draw(F.col(subject), salt="fold") * folds).cast("int")
+
+
+def ridge_cv(df: DataFrame, by: list[str], subject: str, x: list[str], y: str, penalty: float = 1.0, folds: int = 5, fold: str | None = None) -> DataFrame:
     """Per group the out-of-fold squared error and RMSE of a ridge fit, whole subjects held out.
 
-    One pass gives each fold's Gram sums; a fold's training sums are the total less its own, and so is its error: no
-    row is read twice. What reaches a task is a group's sums, (p + 2) squared times folds numbers.
+    One pass gives each fold's sums; a fold's training sums are the total less its own, and so is its error: no row is
+    read twice. Means for null predictors, and the standardization, come from the training folds and serve the test
+    fold as well. What reaches a task is a group's sums, four times (p + 2) squared for each fold. Rows with a null y
+    are left out, a fold with nothing to learn from is not scored. fold names a column that says the fold.
     """
-    keyed = df.withColumn("fold", F.pmod(F.xxhash64(subject), F.lit(folds)).cast("int"))
-    sums = gram(keyed, [*by, "fold"], x, y)
+    keyed = df.withColumn("_fold", F.col(fold) if fold else fold_of(subject, folds))
+    names = ["one", *x, y]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        own = {f: {(r.a, r.b): r.value for r in g.itertuples()} for f, g in group.groupby("fold")}
-        total: dict = {}
-        for s in own.values():
-            for k, v in s.items():
-                total[k] = total.get(k, 0.0) + v
+        parts = [Sums(g, names) for g in group["_gram"]]
+        total = Sums([], names)
+        total.all = sum(p.all for p in parts)
         sse = n = 0.0
-        for s in own.values():
-            rest = {k: total[k] - s[k] for k in total}
-            if rest[("one", "one")] <= 0:
+        for own in parts:
+            rest = total.less(own)
+            if rest.all[0, 0, 0] < 0.5:
                 continue
-            beta = np.concatenate([solve_ridge(rest, x, y, penalty), [-1.0]])
-            names = ["one", *x, y]
-            matrix = np.array([[s.get((a, b), s.get((b, a), 0.0)) for b in names] for a in names])
-            sse += float(beta @ matrix @ beta)
-            n += s[("one", "one")]
+            means = rest.means()
+            train, test = rest.filled(means), own.filled(means)
+            sums = {(a, b): train[i, j] for i, a in enumerate(names) for j, b in enumerate(names)}
+            beta = np.append(solve_ridge(sums, x, y, penalty), -1.0)
+            sse += float(beta @ test @ beta)
+            n += own.all[0, 0, 0]
         out = {c: [group[c].iloc[0]] for c in by}
-        return pd.DataFrame(out | {"n": [int(n)], "sse": [sse], "rmse": [float(np.sqrt(max(sse, 0) / n)) if n else None]})
+        return pd.DataFrame(out | {"n": [round(n)], "sse": [sse], "rmse": [float(np.sqrt(max(sse, 0) / n)) if n else None]})
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "n long, sse double, rmse double"])
-    return sums.groupBy(*by).applyInPandas(fit, schema)
+    return gram_parts(keyed, [*by, "_fold"], x, y).groupBy(*by).applyInPandas(fit, schema)
 
 
 def daily_readout(axis: DataFrame, points: DataFrame, by: list[str], subject: str, day: str, x: list[str], target: str, penalty: float = 1.0, least_sd: float = 0.35) -> DataFrame:
@@ -120,19 +167,19 @@ def transition_association(df: DataFrame, by: list[str], subject: str, order: st
     the calendar; the replicates of a subject are unfolded where it lies and summed before anything is shuffled.
     """
     kinds = dict(df.dtypes)
-    rows = df.where(F.col(y).isNotNull()).select(*by, subject, order, *nuisance, *profile, y)
-    held = rows.groupBy(*by, subject).agg(F.array_sort(F.collect_list(F.struct(order, *nuisance, *profile, y))).alias("_s"))
+    rows = df.where(F.col(y).isNotNull()).select(*by, subject, order, *nuisance, *profile, y).withColumn("_f", fold_of(subject, 5))
+    held = rows.groupBy(*by, subject).agg(F.first("_f").alias("_f"), F.array_sort(F.collect_list(F.struct(order, *nuisance, *profile, y))).alias("_s"))
     size = F.size("_s")
     shift = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.floor(draw(F.col(subject), F.col("replicate"), salt="shift") * size).cast("int"))
     dealt = held.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_by", shift)
     moved = F.transform("_s", lambda s, i: F.struct(*(s[c].alias(c) for c in (*nuisance, y)), *(F.get(F.col("_s"), (i + F.col("_by")) % size)[c].alias(c) for c in profile)))
-    each = dealt.select(*by, subject, "replicate", F.explode(moved).alias("_m")).select(*by, subject, "replicate", "_m.*")
+    each = dealt.select(*by, subject, "_f", "replicate", F.explode(moved).alias("_m")).select(*by, subject, "_f", "replicate", "_m.*")
     keys = Window.partitionBy(*by)
-    cv = ridge_cv(each, [*by, "replicate"], subject, [*nuisance, *profile], y, penalty).withColumn("_own", F.min(F.when(F.col("replicate") == 0, F.col("sse"))).over(keys))
+    cv = ridge_cv(each, [*by, "replicate"], subject, [*nuisance, *profile], y, penalty, fold="_f").withColumn("_own", F.min(F.when(F.col("replicate") == 0, F.col("sse"))).over(keys))
     # errors of equal orders differ in the last digits only
     as_small = F.count_if((F.col("replicate") > 0) & (F.col("sse") <= F.col("_own") * (1 + 1e-9)))
     full = cv.groupBy(*by).agg(F.max(F.when(F.col("replicate") == 0, F.col("n"))).alias("n"), F.max("_own").alias("_full"), F.max(F.when(F.col("replicate") == 0, F.col("rmse"))).alias("rmse"), ((1 + as_small) / F.lit(1 + replicates)).alias("p"))
-    bare = ridge_cv(rows, by, subject, nuisance, y, penalty).select(*by, F.col("rmse").alias("bare"), F.col("sse").alias("_bare"))
+    bare = ridge_cv(rows, by, subject, nuisance, y, penalty, fold="_f").select(*by, F.col("rmse").alias("bare"), F.col("sse").alias("_bare"))
     spread = rows.groupBy(*by).agg((F.var_pop(y) * F.count(y)).alias("_all"))
 
     def weigh(group: pd.DataFrame) -> pd.DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 from pyspark.sql.window import Window, WindowSpec
 
 
@@ -105,15 +108,28 @@ def next_session_available(df: DataFrame, by: list[str], order: list[str], value
     return df.withColumns({"available": F.lag(value).over(w), "available_flag": F.coalesce(F.lag(F.col(value).isNotNull().cast("int")).over(w), F.lit(0))})
 
 
+@F.pandas_udf(ArrayType(LongType()))
+def _walked(days: pd.Series, cadence: pd.Series) -> pd.Series:
+    """The days kept of each sorted array: a walk that looks up the next one, its state being where it stands."""
+
+    def one(d: np.ndarray, least: int) -> list[int]:
+        out, at = [], 0
+        while at < len(d):
+            out.append(int(d[at]))
+            at = int(np.searchsorted(d, d[at] + least))
+        return out
+
+    return pd.Series([one(np.asarray(d, np.int64), int(c)) for d, c in zip(days, cadence, strict=True)])
+
+
 def thinned(df: DataFrame, by: list[str], day: str, cadence: int) -> DataFrame:
     """Adds retained: whether the row's day is kept when days are walked in order and each must lie cadence days after the last kept.
 
-    The walk is one fold over a subject's sorted distinct days.
+    A subject's distinct days, which the calendar bounds, are one sorted array; a walk takes a step for each kept day.
     """
-    days = df.groupBy(*by).agg(F.array_sort(F.collect_set(day)).alias("_days"))
-    empty = F.array().cast("array<int>")
-    keep = F.aggregate(F.col("_days").cast("array<int>"), empty, lambda kept, d: F.when((F.size(kept) == 0) | (d - F.element_at(kept, -1) >= cadence), F.concat(kept, F.array(d))).otherwise(kept))
-    kept = days.select(*by, F.explode(keep).alias(day)).withColumn("retained", F.lit(True))
+    days = df.where(F.col(day).isNotNull()).groupBy(*by).agg(F.array_sort(F.collect_set(F.col(day).cast("long"))).alias("_days"))
+    walk = _walked("_days", F.lit(max(1, cadence))).cast(f"array<{dict(df.dtypes)[day]}>")
+    kept = days.select(*by, F.explode(walk).alias(day)).withColumn("retained", F.lit(True))
     return df.join(kept, [*by, day], "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
 
 

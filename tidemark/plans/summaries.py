@@ -9,6 +9,7 @@ from tidemark.functions import scalar
 from tidemark.operators import aggregates as agg
 from tidemark.operators import checks, cohort, inference, irt, joins, models, prep, windows
 from tidemark.plans.views import ANCHORS, DAILY, DAYS, EVENTS, daily, days, events, table
+from tidemark.sources.tables import file_inventory as inventory
 
 QUERIES, SQL = {}, {}
 
@@ -188,18 +189,18 @@ def uncertainty_policy(spark, d):
     return rounded(joins.config_cross(x, grid).groupBy("arm", "threshold").agg(F.avg((~kept).cast("int")).alias("needs_measurement"), F.sqrt(F.avg(F.when(kept, F.pow(F.col("value") - F.col("m"), 2)))).alias("rmse"), F.avg(F.when(kept, F.col("value").between(F.col("low"), F.col("high")).cast("int"))).alias("coverage")), "threshold")
 
 
-_STRATA = ("overall", "event_type", "week", "clinic", "prior_count", "cold_start", "severity")
+_STRATA = ("overall", "event_type", "week", "clinic", "subgroup", "prior_count", "cold_start", "severity")
 
 
 @query(f"""with {DAILY}, r as (select *, avg(value) over b as m, count(value) over b as c from daily window b as (partition by event_type, user_id order by day rows between unbounded preceding and 1 preceding)),
-q as (select user_id, (value - m) * (value - m) as e, unnest([('overall', 'all'), ('event_type', event_type), ('week', (day // 7)::varchar), ('clinic', (user_id % 5)::varchar), ('prior_count', least(c, 5)::varchar), ('cold_start', (c < 3)::varchar), ('severity', case when value < 50 then 'low' when value < 100 then 'middle' else 'high' end)]) as s from r where m is not null),
+q as (select user_id, (value - m) * (value - m) as e, unnest([('overall', 'all'), ('event_type', event_type), ('week', (day // 7)::varchar), ('clinic', (user_id % 5)::varchar), ('subgroup', (user_id % 3)::varchar), ('prior_count', least(c, 5)::varchar), ('cold_start', (c < 3)::varchar), ('severity', case when value < 50 then 'low' when value < 100 then 'middle' else 'high' end)]) as s from r where m is not null),
 g as (select s[1] as stratum, s[2] as level, user_id, avg(e) as mse, count(*) as n from q group by all)
 select stratum, level, round(sqrt(avg(mse)), 9) as rmse, sum(n)::bigint as n, count(*) as subjects from g group by stratum, level""")
 def strata_recovery(spark, d):
     before = windows.ordered(["event_type", "user_id"], "day").rowsBetween(Window.unboundedPreceding, -1)
     x = daily(spark, d).withColumns({"m": F.avg("value").over(before), "c": F.count("value").over(before)}).where("m is not null")
     severity = F.when(F.col("value") < 50, "low").when(F.col("value") < 100, "middle").otherwise("high")
-    x = x.select("user_id", "event_type", F.floor(F.col("day") / 7).cast("string").alias("week"), (F.col("user_id") % 5).cast("string").alias("clinic"), F.least("c", F.lit(5)).cast("string").alias("prior_count"), (F.col("c") < 3).cast("string").alias("cold_start"), severity.alias("severity"), F.pow(F.col("value") - F.col("m"), 2).alias("e"))
+    x = x.select("user_id", "event_type", F.floor(F.col("day") / 7).cast("string").alias("week"), (F.col("user_id") % 5).cast("string").alias("clinic"), (F.col("user_id") % 3).cast("string").alias("subgroup"), F.least("c", F.lit(5)).cast("string").alias("prior_count"), (F.col("c") < 3).cast("string").alias("cold_start"), severity.alias("severity"), F.pow(F.col("value") - F.col("m"), 2).alias("e"))
     own = [s for s in _STRATA if s != "overall"]
     per = agg.scope(x, {"overall": ["user_id"]} | {s: ["user_id", s] for s in own}, ["user_id", *own], F.avg("e").alias("mse"), F.count("*").alias("n"))
     level = F.coalesce(*own, F.lit("all"))
@@ -349,12 +350,13 @@ def set_checks(spark, d):
 
 
 @query("""with k as (select l_orderkey, l_linenumber, count(*) as c from lineitem group by all), g as (select l_returnflag, l_linestatus, count(*) as c from lineitem group by all)
-select 'rows' as name, sum(c)::double = 60000 as ok, sum(c)::double as observed, 60000::double as expected from k union all select 'repeated keys', count(*) filter (c > 1) = 0, count(*) filter (c > 1), 0 from k
-union all select 'groups', count(*) = 6, count(*), 6 from g union all select 'groups of another size', count(*) filter (c <> 10000) = 0, count(*) filter (c <> 10000), 0 from g
+select 'rows' as name, sum(c)::double = (select 4 * count(*) from orders) as ok, sum(c)::double as observed, (select 4 * count(*) from orders)::double as expected from k union all select 'repeated keys', count(*) filter (c > 1) = 0, count(*) filter (c > 1), 0 from k
+union all select 'groups', count(*) = 6, count(*), 6 from g union all select 'groups of another size', count(*) filter (c <> (select 4 * count(*) // 6 from orders)) = 0, count(*) filter (c <> (select 4 * count(*) // 6 from orders)), 0 from g
 union all select 'l_tax finite', count(*) filter (l_tax is null) = 0, count(*) filter (l_tax is null), 0 from lineitem union all select 'l_discount in [0, 0.05]', count(*) filter (l_discount not between 0 and 0.05) = 0, count(*) filter (l_discount not between 0 and 0.05), 0 from lineitem""")
 def quality_checks(spark, d):
     x = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_tax", "l_discount")
-    return prep.union_all(checks.complete(x, ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus"], 60000, 10000, 6), checks.finite(x, ["l_tax"]), checks.in_range(x, {"l_discount": (0, 0.05)}))
+    rows = 4 * table(spark, d, "orders").count()  # four lines an order on average, in six groups
+    return prep.union_all(checks.complete(x, ["l_orderkey", "l_linenumber"], ["l_returnflag", "l_linestatus"], rows, rows // 6, 6), checks.finite(x, ["l_tax"]), checks.in_range(x, {"l_discount": (0, 0.05)}))
 
 
 @query(f"with {_RUNS} select cell, method, seed, true as quantity_ok, seed <> 3 as discount_ok from runs")
@@ -596,10 +598,8 @@ def gp_filter(spark, d):
     return models.gp_filter(x, "user_id", "day", "value")
 
 
-@query()
+@query("select parse_filename(filename) as name, size::bigint as bytes, sha256(content) as sha256 from read_blob('/root/testdata/sf0.01/*.parquet')")
 def file_inventory(spark, d):
-    from tidemark.sources.tables import file_inventory as inventory
-
     return inventory(spark, d, "*.parquet")
 
 

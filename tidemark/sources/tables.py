@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import tempfile
 import uuid
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import finite
@@ -38,10 +43,14 @@ def write_table(df: DataFrame, path: str, csv: bool = False) -> None:
         df.write.mode("overwrite").option("header", True).csv(f"{path}-csv")
 
 
-def manifest(spark: SparkSession, arguments: dict[str, str], counts: dict[str, int], rules: dict[str, str]) -> DataFrame:
-    """One row of JSON: arguments, row counts, rule texts and the Spark version."""
+def manifest(spark: SparkSession, arguments: dict[str, str], counts: dict[str, int], rules: dict[str, str], inputs: DataFrame | None = None) -> DataFrame:
+    """One row of JSON: arguments, row counts, rule texts, the Spark version, and the SHA-256 of each input file where an inventory of a run's few inputs is given."""
     as_map = lambda d: F.create_map(*(F.lit(x) for p in d.items() for x in p)) if d else F.create_map()
-    return spark.range(1).select(F.to_json(F.struct(as_map(arguments).alias("arguments"), as_map(counts).alias("rows"), as_map(rules).alias("rules"), F.lit(spark.version).alias("spark"))).alias("manifest"))
+    fields = [as_map(arguments).alias("arguments"), as_map(counts).alias("rows"), as_map(rules).alias("rules"), F.lit(spark.version).alias("spark")]
+    if inputs is None:
+        return spark.range(1).select(F.to_json(F.struct(*fields)).alias("manifest"))
+    hashes = inputs.agg(F.array_sort(F.collect_list(F.struct("name", "bytes", "sha256"))).alias("_inputs"))
+    return hashes.select(F.to_json(F.struct(*fields, F.col("_inputs").alias("inputs"))).alias("manifest"))
 
 
 def write_remaining(df: DataFrame, path: str, unit: list[str]) -> None:
@@ -49,10 +58,40 @@ def write_remaining(df: DataFrame, path: str, unit: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*unit).parquet(path)
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*", digest: Column | None = None) -> DataFrame:
-    """Name, bytes and SHA-256 of each file under a folder."""
+#: Stores that a task can open by itself and read as a stream; files of others come as whole rows.
+STREAMED = ("file", "hdfs", "s3", "s3a", "gs", "abfs")
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """name, bytes and sha256 of each file under a folder.
+
+    Files are listed without their content and hashed in the tasks, a piece at a time, so their size doesn't matter; in
+    a store that only Spark reads a file is one row and must fit into 2 GB.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    scheme = F.regexp_extract("path", "^([A-Za-z0-9]+):", 1)
+    streamed = scheme.isin("", *STREAMED)
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for uri in batch.column("path").to_pylist():
+                if uri.startswith(("file:", "/")):
+                    store, inner = pa.fs.LocalFileSystem(), re.sub("^file:/*", "/", uri)
+                else:
+                    store, inner = pa.fs.FileSystem.from_uri(quote(re.sub("^s3a:", "s3:", uri), safe=":/"))
+                total = hashlib.sha256()
+                with store.open_input_stream(inner) as stream:
+                    while piece := stream.read(1 << 22):
+                        total.update(piece)
+                found.append(total.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(found, pa.string())], ["path", "bytes", "sha256"])
+
+    # a file a row, dealt anew: listing splits them by their size
+    rows = files.where(streamed).select("path", F.col("length").alias("bytes")).repartition(F.col("path"))
+    own = rows.mapInArrow(run, "path string, bytes long, sha256 string")
+    rest = files.where(~streamed).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return own.unionByName(rest).select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
 
 
 def shared_folder(spark: SparkSession) -> str:
