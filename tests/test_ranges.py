@@ -150,8 +150,8 @@ def test_repeated_targets_stay(spark):
 
 def test_inventory_reads_streams_and_the_manifest_names_inputs(spark, tmp_path):
     (tmp_path / "large file.bin").write_bytes(b"0123456789abcdef" * (1 << 20))
-    (tmp_path / "empty.bin").write_bytes(b"")
+    (tmp_path / "a+b %20.bin").write_bytes(b"x")
     found = {r.name: (r.bytes, r.sha256) for r in tables.file_inventory(spark, str(tmp_path), "*.bin").collect()}
     assert found == {p.name: (p.stat().st_size, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.iterdir()}
     made = json.loads(tables.manifest(spark, {"a": "b"}, {"t": 3}, {"r": "s"}, tables.file_inventory(spark, str(tmp_path), "*.bin")).first()[0])
-    assert [x["name"] for x in made["inputs"]] == ["empty.bin", "large file.bin"] and made["inputs"][1]["sha256"] == found["large file.bin"][1] and made["rows"] == {"t": 3}
+    assert [x["name"] for x in made["inputs"]] == ["a+b %20.bin", "large file.bin"] and made["inputs"][1]["sha256"] == found["large file.bin"][1] and made["rows"] == {"t": 3}

@@ -66,7 +66,7 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
     """name, bytes and sha256 of each file under a folder.
 
     Files are listed without their content and hashed in the tasks, a piece at a time, so their size doesn't matter; in
-    a store that only Spark reads a file is one row and must fit into 2 GB.
+    a store that only Spark reads a file is one row and must fit into 2 GB. Spark's scan passes over empty files.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
     scheme = F.regexp_extract("path", "^([A-Za-z0-9]+):", 1)
