@@ -33,6 +33,35 @@ AXIS = "id int, day int, train boolean, b0 double, b1 double, action int, recent
 POINTS = "id int, channel string, window_start int, window_end int, available int, value double, loading double, sd double"
 
 
+#: Two items of three categories, and a raw scale.
+ITEMS = smoothers.Instrument(((1.2, (-0.5, 0.6)), (0.8, (-1.0, 0.2))), 0.1, 0.7)
+
+
+def curves(z, items):
+    """Score and information of answered items at z, item by item."""
+    score = information = 0.0
+    for x, (a, b) in zip(items, ITEMS.spec, strict=True):
+        if x is None:
+            continue
+        above = [1.0, *(1 / (1 + math.exp(-a * (z - t))) for t in b), 0.0]
+        slope = [0.0, *(a * q * (1 - q) for q in above[1:-1]), 0.0]
+        p, d = [above[k] - above[k + 1] for k in range(3)], [slope[k] - slope[k + 1] for k in range(3)]
+        score += d[x] / p[x]
+        information += sum(v * v / w for v, w in zip(d, p, strict=True))
+    return score, information
+
+
+def answered(points):
+    """The measurements as answers to the items; some without any."""
+    r = np.random.default_rng(9)
+    out = []
+    for p in points:
+        v = 0.0 if p[5] is None or not math.isfinite(p[5]) else p[5] / max(p[6], 0.5)
+        items = [int(np.clip(np.floor(v + 1.5 + k / 3), 0, 2)) for k in range(2)]
+        out.append((*p[:5], [None if r.random() < 0.15 else x for x in items]))
+    return [*out, (3, "d", 2, 9, 9, None), (3, "d", 2, 9, 9, [None, None]), (3, "d", 2, 9, 9, [1])]
+
+
 def packed(spark, axis, points, strata=0):
     return smoothers.panel(spark.createDataFrame(axis, AXIS), spark.createDataFrame(points, POINTS), "id", "day", ["d", "p"], ["b0", "b1"], "action", ACTIONS, "recent", "burden", ["x0", "x1"], strata=strata)
 
@@ -89,10 +118,19 @@ class Dense:
         coef, means, _ = self.read[c]
         return coef[0] + np.where(np.isnan(person["x"]), means, person["x"]) @ coef[1:]
 
-    def level(self, s, c, theta, rho, innovation):
+    def level(self, s, c, theta, rho, innovation, trait=None):
         p = self.people[s]
         t = len(p["days"])
         h, y, sd, _ = self.design(p, c)
+        all_h = h
+        if trait is not None:
+            some = []
+            for k, (z, items) in enumerate(zip(trait, self.items(p, c), strict=True)):
+                score, information = curves(z, items)
+                if information >= 1e-3:
+                    some.append(k)
+                    y[k], sd[k] = (z + score / information) * ITEMS.scale + ITEMS.location, ITEMS.scale / math.sqrt(information)
+            h, y, sd = h[some], y[some], sd[some]
         rows, targets = [np.eye(t)[:1], h / sd[:, None]], [np.zeros(1), y / sd]
         seen = ~np.isnan(p["x"]).all(axis=1)
         rows.append(np.eye(t)[seen] / self.read[c][2])
@@ -103,14 +141,22 @@ class Dense:
         step = np.eye(t)[1:] - np.eye(t)[:-1] * (rho**gap)[:, None]
         rows.append(step / spread[:, None])
         targets.append(mean * (1 - rho**gap) / (1 - rho) / spread)
-        return np.linalg.lstsq(np.vstack(rows), np.concatenate(targets), rcond=None)[0]
+        out = np.linalg.lstsq(np.vstack(rows), np.concatenate(targets), rcond=None)[0]
+        if trait is not None:
+            trait[:] = [(row @ out - ITEMS.location) / ITEMS.scale for row in all_h]
+        return out
+
+    def items(self, person, c):
+        return [p[8] for p in person["points"][c] if ((person["days"] >= p[2]) & (person["days"] <= p[3])).any()]
 
-    def fit(self, rounds):
+    def fit(self, rounds, answers=False):
         width = 7 + self.strata
         theta, rho, innovation = {c: np.zeros(width) for c in SD}, dict.fromkeys(SD, 0.6), dict.fromkeys(SD, 0.3)
         own = [0, *range(3, width)]
         for _ in range(rounds):
-            solved = {(s, c): self.level(s, c, theta[c], rho[c], innovation[c]) for s in self.people for c in SD}
+            if answers and not hasattr(self, "trait"):
+                self.trait = {(s, c): np.zeros(len(self.items(self.people[s], c))) for s in self.people for c in SD}
+            solved = {(s, c): self.level(s, c, theta[c], rho[c], innovation[c], self.trait[s, c] if answers else None) for s in self.people for c in SD}
             best = None
             for rd in GRID:
                 for rp in GRID:
@@ -158,6 +204,36 @@ def test_smoother_equals_dense_algebra_in_every_round(spark, strata):
             assert np.allclose([r.level_d, r.level_p, r.level], [want["d"][k], want["p"][k], (want["d"][k] + want["p"][k]) / 2])
 
 
+def test_items_are_linearized_anew_in_every_round(spark):
+    axis, points = made(11)
+    asked = [p for p in answered(points) if p[1] != "other"]
+    data = smoothers.panel(spark.createDataFrame(axis, AXIS), spark.createDataFrame(asked, "id int, channel string, window_start int, window_end int, available int, items array<int>"), "id", "day", ["d", "p"], ["b0", "b1"], "action", ACTIONS, "recent", "burden", ["x0", "x1"], instrument=ITEMS)
+    found = []
+    for p in asked:
+        if p[5] is None or len(p[5]) != 2 or p[5] == [None, None]:
+            continue
+        z = 0.0
+        for _ in range(6):
+            score, information = curves(z, p[5])
+            z = min(4.0, max(-4.0, z + score / (information + 1)))
+        found.append((*p[:5], z * ITEMS.scale + ITEMS.location, 1.0, ITEMS.scale / math.sqrt(curves(z, p[5])[1] + 1), p[5]))
+    dense = Dense(axis, found)
+    fit = smoothers.fit_smoother(data, 3)
+    theta, rho, innovation = dense.fit(3, answers=True)
+    assert fit.persistence == tuple(rho.values()) and np.allclose(fit.innovation, list(innovation.values())) and np.allclose(fit.theta, list(theta.values()))
+    out = {(r.id, int(r.day)): r for r in smoothers.smoothed(data, fit).collect()}
+    for s, p in dense.people.items():
+        want = {c: dense.level(s, c, theta[c], rho[c], innovation[c], dense.trait[s, c]) for c in SD}
+        assert np.allclose([[out[s, int(day)].level_d, out[s, int(day)].level_p] for day in p["days"]], np.column_stack([want["d"], want["p"]]))
+    # the filter takes the same answers as pseudo-observations
+    variance = {c: max(np.var([q[5] for p in dense.people.values() if p["train"] for q in p["points"][c]]), 0.25) for c in SD}
+    assert np.allclose(data.shape.spread, list(variance.values()))
+    got = {(r.id, int(r.day)): r for r in smoothers.filtered(data, ((28.0, 3.0),) * 2).collect()}
+    for s, p in dense.people.items():
+        want = dense_filter(dense, s, "d", (28.0, 3.0), np.array(data.shape.center), np.array(data.shape.scale), variance["d"])[0]
+        assert np.allclose([got[s, int(day)].level_d for day in p["days"]], want)
+
+
 def test_one_stratum_gives_the_levels_of_none(spark):
     axis, points = made(3)
     plain, one = packed(spark, axis, points), packed(spark, axis, points, 1)

@@ -18,10 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import aggregates, models, windows
+from tidemark.operators import aggregates, irt, models, windows
 from tidemark.sources.tables import written
 
 
+@dataclass(frozen=True)
+class Instrument:
+    """A calibrated graded-response instrument: each item's discrimination and thresholds, and the raw scale of its trait."""
+
+    spec: tuple[tuple[float, tuple[float, ...]], ...]
+    location: float = 0.0
+    scale: float = 1.0
+
+
 @dataclass(frozen=True)
 class Shape:
     """What a panel's arrays hold, and what its training rows say: location and scale of the auxiliary inputs, and each channel's readout deviation and variance."""
@@ -37,6 +46,7 @@ class Shape:
     scale: tuple[float, ...]
     noise: tuple[float, ...]
     spread: tuple[float, ...]
+    instrument: Instrument | None = None
 
 
 @dataclass(frozen=True)
@@ -47,7 +57,7 @@ class Panel:
 
 def panel(
     axis: DataFrame, points: DataFrame, subject: str, day: str, channels: list[str], profile: list[str], action: str, actions: list, recent: str, burden: str, signals: list[str],
-    basis: str = "linear", subtype: str | None = None, subtypes: int = 0, strata: int = 0, penalty: float = 1.0,
+    basis: str = "linear", subtype: str | None = None, subtypes: int = 0, strata: int = 0, penalty: float = 1.0, instrument: Instrument | None = None,
 ) -> Panel:
     """Packs a panel from sessions and measurements, and fits each channel's readout of the signals.
 
@@ -56,7 +66,15 @@ def panel(
     window_start, window_end, available, value, loading and sd; those that lack a number or whose loading is next to
     nothing are left out, as is one whose window holds no day of its subject. A channel without a readout has that of
     zeros. Strata are quantile strata of a subject's number of points.
+
+    With an instrument, points have items (an array of categories, null where not answered) instead of value, loading
+    and sd: the trait that explains them best, on the raw scale, stands for the value and its deviation for sd, and the
+    smoother goes back to the items themselves. Points without any answer, or with another number of items, are left out.
     """
+    if instrument:
+        some = points.where(F.coalesce(F.size("items") == len(instrument.spec), F.lit(False)) & F.exists("items", lambda x: x.isNotNull()))
+        points = irt.trait_estimates(some, "items", [(a, list(b)) for a, b in instrument.spec], location=instrument.location, scale=instrument.scale)
+        points = points.withColumns({"value": F.col("target"), "loading": F.lit(1.0), "sd": F.col("target_sd")}).drop("trait", "information", "target", "target_sd")
     ok = [scalar.finite(F.col(c)).isNotNull() for c in ("value", "loading", "sd")]
     points = points.where(ok[0] & ok[1] & ok[2] & (F.abs("loading") >= 1e-8) & F.col("channel").isin(channels))
     for c in profile:
@@ -86,10 +104,11 @@ def panel(
     packed = packed.select(subject, "train", take("_d").alias("days"), F.flatten(take("_f")).alias("features"), F.flatten(take("_x")).alias("auxiliary"), F.flatten(take("_r")).alias("readouts"), take("_o").alias("seen"))
     number = F.array_position(F.array(*(F.lit(c) for c in channels)), F.col("channel")) - 1
     fields = {"available": F.col("available"), "channel": number, "start": F.col("window_start"), "end": F.col("window_end"), "value": F.col("value"), "loading": F.col("loading"), "sd": F.col("sd")}
-    measured = points.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct(*(v.cast("double").alias(n) for n, v in fields.items())))).alias("_p"))
+    items = F.transform("items", lambda x: F.coalesce(x.cast("double"), F.lit(-1.0))) if instrument else F.array().cast("array<double>")
+    measured = points.groupBy(subject).agg(F.array_sort(F.collect_list(F.struct(*(v.cast("double").alias(n) for n, v in fields.items()), items.alias("items")))).alias("_p"))
     none = F.array().cast("array<double>")
     part = lambda n: F.coalesce(F.transform("_p", lambda p: p[n]), none).alias(f"p_{n}")
-    packed = packed.join(measured, subject, "left").select("*", *(part(n) for n in fields)).drop("_p")
+    packed = packed.join(measured, subject, "left").select("*", *(part(n) for n in fields), F.coalesce(F.flatten(F.transform("_p", lambda p: p["items"])), none).alias("p_items")).drop("_p")
     packed = aggregates.quantile_strata(packed.withColumn("_n", F.size("p_value")), "_n", strata).drop("_n") if strata else packed.withColumn("stratum", F.lit(0))
     packed = written(packed.withColumn("stratum", F.col("stratum").cast("int")), "panel")
     # location and scale of what the auxiliary kernel reads, and each channel's variance: from rows that may teach
@@ -99,7 +118,7 @@ def panel(
     scale = [stats[f"s{k}"] or 0.0 for k in range(len(place))]
     shape = Shape(
         subject, day, tuple(channels), len(profile), _width(len(profile), len(actions), basis, subtypes if subtype else 0), len(auxiliary), strata,
-        tuple(stats[f"m{k}"] or 0.0 for k in range(len(place))), tuple(x if x >= 1e-6 else 1.0 for x in scale), tuple(read[c]["sd"] if c in read else 1.0 for c in channels), tuple(max(spread.get(c) or 0.0, 0.25) for c in channels),
+        tuple(stats[f"m{k}"] or 0.0 for k in range(len(place))), tuple(x if x >= 1e-6 else 1.0 for x in scale), tuple(read[c]["sd"] if c in read else 1.0 for c in channels), tuple(max(spread.get(c) or 0.0, 0.25) for c in channels), instrument,
     )
     return Panel(packed, shape)
 
@@ -109,7 +128,7 @@ def _width(q: int, actions: int, basis: str, subtypes: int) -> int:
     return 1 + q + actions + 2 + q * more
 
 
-_LISTS = ("days", "features", "auxiliary", "readouts", "seen", "p_available", "p_channel", "p_start", "p_end", "p_value", "p_loading", "p_sd")
+_LISTS = ("days", "features", "auxiliary", "readouts", "seen", "p_available", "p_channel", "p_start", "p_end", "p_value", "p_loading", "p_sd", "p_items")
 
 
 def _people(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -128,7 +147,7 @@ def _windows(p: dict, channel: int) -> dict[str, np.ndarray]:
     own = np.flatnonzero(p["p_channel"] == channel)
     lo, hi = np.searchsorted(p["days"], p["p_start"][own], "left"), np.searchsorted(p["days"], p["p_end"][own], "right")
     some = hi > lo
-    return {"lo": lo[some], "hi": hi[some]} | {c: p[f"p_{c}"][own[some]] for c in ("available", "value", "loading", "sd")}
+    return {"lo": lo[some], "hi": hi[some], "at": own[some]} | {c: p[f"p_{c}"][own[some]] for c in ("available", "value", "loading", "sd")}
 
 
 def gap_factors(rho: float, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,14 +156,23 @@ def gap_factors(rho: float, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keep, (1 - keep) / (1 - rho), np.sqrt(np.maximum((1 - keep * keep) / max(1 - rho * rho, 1e-8), 0))
 
 
-def solve_person(p: dict, channel: int, theta: np.ndarray, rho: float, innovation: float, shape: Shape, prior: float) -> np.ndarray:
+def solve_person(p: dict, channel: int, theta: np.ndarray, rho: float, innovation: float, shape: Shape, prior: float, trait: np.ndarray | None = None) -> np.ndarray:
     """The level of one subject and channel at each of its days: weighted least squares over a prior for the first day, windowed measurements, the readout where signals were seen, and gap-aware transitions.
 
     A window ties no days further apart than its own length, so the normal equations are block tridiagonal with blocks
-    of the longest window: time grows with the days, not with their cube.
+    of the longest window: time grows with the days, not with their cube. With an instrument a measurement is one
+    Fisher-scoring step from trait, the point for each of the channel's measurements around which its items are
+    linearized, without any prior of its own; trait is moved to the solution's. Items that say next to nothing are left out.
     """
     t, noise = len(p["days"]), shape.noise[channel]
     w = _windows(p, channel)
+    every = w
+    if trait is not None:
+        own = shape.instrument
+        score, information = irt.score_and_information(trait, p["p_items"].reshape(-1, len(own.spec))[w["at"]].astype(np.int64), own.spec)
+        some = information >= 1e-3
+        each = {"value": (trait + score / np.where(some, information, 1)) * own.scale + own.location, "sd": own.scale / np.sqrt(np.where(some, information, 1)), "loading": np.ones(len(trait))}
+        w = {k: v[some] for k, v in (w | each).items()}
     m = int(max(2, (w["hi"] - w["lo"]).max(initial=1)))
     blocks = -(-t // m)
     main, side, right = np.zeros((blocks, m, m)), np.zeros((max(blocks - 1, 0), m, m)), np.zeros((blocks, m))
@@ -186,20 +214,53 @@ def solve_person(p: dict, channel: int, theta: np.ndarray, rho: float, innovatio
         right[i] -= side[i - 1].T @ step[:, m]
     for i in range(blocks - 1, -1, -1):
         right[i] = np.linalg.solve(main[i], right[i] - (side[i] @ right[i + 1] if i + 1 < blocks else 0.0))
+    if trait is not None:
+        sums = np.concatenate(([0.0], np.cumsum(flat[:t])))
+        trait[:] = ((sums[every["hi"]] - sums[every["lo"]]) / (every["hi"] - every["lo"]) - shape.instrument.location) / shape.instrument.scale
     return flat[:t].copy()
 
 
 @dataclass(frozen=True)
-class Smoother:
-    """What a fit found: per channel coefficients (features, then strata), persistence and innovation; and what it was told."""
+class Step:
+    """Per channel coefficients (features, then strata), persistence and innovation."""
 
     theta: tuple[tuple[float, ...], ...]
     persistence: tuple[float, ...]
     innovation: tuple[float, ...]
+
+
+@dataclass(frozen=True)
+class Smoother:
+    """The steps of a fit, of which the last is what it found, and the prior deviation of a first day."""
+
+    steps: tuple[Step, ...]
     prior: float
 
+    @property
+    def theta(self) -> tuple[tuple[float, ...], ...]:
+        return self.steps[-1].theta
+
+    @property
+    def persistence(self) -> tuple[float, ...]:
+        return self.steps[-1].persistence
+
+    @property
+    def innovation(self) -> tuple[float, ...]:
+        return self.steps[-1].innovation
+
     def levels(self, p: dict, shape: Shape) -> np.ndarray:
-        return np.stack([solve_person(p, c, np.array(self.theta[c]), self.persistence[c], self.innovation[c], shape, self.prior) for c in range(len(shape.channels))])
+        """Channels by days. With an instrument every step is walked again, because the points around which items are linearized move with each; they are never stored."""
+
+        def one(step: Step, c: int, trait: np.ndarray | None) -> np.ndarray:
+            return solve_person(p, c, np.array(step.theta[c]), step.persistence[c], step.innovation[c], shape, self.prior, trait)
+
+        out = []
+        for c in range(len(shape.channels)):
+            trait = np.zeros(len(_windows(p, c)["at"])) if shape.instrument else None
+            for step in self.steps if shape.instrument else self.steps[-1:]:
+                x = one(step, c, trait)
+            out.append(x)
+        return np.stack(out)
 
 
 def _pooled_sums(data: Panel, fit: Smoother, grid: tuple[float, ...]) -> np.ndarray:
@@ -272,14 +333,14 @@ def fit_smoother(data: Panel, rounds: int = 3, grid: tuple[float, ...] = (0.1, 0
         raise ValueError("persistence must lie between 0 and 1")
     shape = data.shape
     c, width = len(shape.channels), shape.features + shape.strata
-    fit = Smoother(((0.0,) * width,) * c, (start,) * c, (innovation,) * c, prior)
+    steps = [Step(((0.0,) * width,) * c, (start,) * c, (innovation,) * c)]
     for _ in range(max(1, rounds)):
-        sums = _pooled_sums(data, fit, grid)
+        sums = _pooled_sums(data, Smoother(tuple(steps), prior), grid)
         if sums[0, 0] < 1:
-            return fit
+            break
         theta, rho, spread = pooled_step(sums, c, shape.features, shape.strata, shape.profile, grid, penalty)
-        fit = Smoother(tuple(tuple(float(x) for x in t) for t in theta), tuple(rho), tuple(spread), prior)
-    return fit
+        steps.append(Step(tuple(tuple(float(x) for x in t) for t in theta), tuple(rho), tuple(spread)))
+    return Smoother(tuple(steps), prior)
 
 
 def _unpacked(data: Panel, levels) -> DataFrame:
