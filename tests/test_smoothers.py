@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import smoothers
+from tidemark.operators import factors, smoothers
 
 ACTIONS, SD, GRID = [0, 1], {"d": 0.4, "p": 0.6}, (0.1, 0.3, 0.6, 0.9)
 
@@ -279,8 +279,8 @@ def dense_filter(dense, s, c, lengths, center, scale, variance):
 
 @pytest.mark.parametrize(("block", "held"), [(512, 1 << 28), (3, 1 << 28), (4, 100)])
 def test_filter_equals_dense_algebra_whatever_the_blocks(spark, monkeypatch, block, held):
-    monkeypatch.setattr(smoothers, "BLOCK", block)
-    monkeypatch.setattr(smoothers, "HELD", held)
+    monkeypatch.setattr(factors, "BLOCK", block)
+    monkeypatch.setattr(factors, "HELD", held)
     axis, points = made(5)
     dense = Dense(axis, points)
     data = packed(spark, axis, points)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import draw
-from tidemark.operators import windows
+from tidemark.operators import factors, windows
+from tidemark.sources.tables import written_wide
 
 
 def _pairs(x: list[str], y: str) -> list[tuple[str, str]]:
@@ -17,21 +19,22 @@ def _pairs(x: list[str], y: str) -> list[tuple[str, str]]:
     return [(a, b) for i, a in enumerate(names) for b in names[i:]]
 
 
-def gram_parts(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
+def gram_parts(df: DataFrame, by: list[str], x: list[str], y: str, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """Per group and pair (a, b) of the columns (1, x..., y) four sums over rows whose y isn't null: products of values (null ones as 0), of a's gaps with b, of a with b's gaps, and of gaps.
 
     A gap is 1 where a value is null. With them a mean can be put for null values after rows are summed, and it may
-    come from other rows: the sums of groups add up. One aggregate, combined before its shuffle.
+    come from other rows: the sums of groups add up. One aggregate, combined before its shuffle. pairs are all, or those given.
     """
+    pairs = pairs or _pairs(x, y)
     names = ["one", *x, y]
     col = {c: F.lit(1.0) if c == "one" else F.col(c).cast("double") for c in names}
     kept = {c: F.coalesce(v, F.lit(0.0)) for c, v in col.items()}
     gap = {c: v.isNull().cast("double") for c, v in col.items()}
     sums = []
-    for i, (a, b) in enumerate(_pairs(x, y)):
+    for i, (a, b) in enumerate(pairs):
         sums += [F.sum(one * other).alias(f"_{i}{k}") for k, (one, other) in enumerate(((kept[a], kept[b]), (gap[a], kept[b]), (kept[a], gap[b]), (gap[a], gap[b])))]
     whole = df.where(F.col(y).isNotNull()).groupBy(*by).agg(*sums)
-    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *(F.col(f"_{i}{k}").alias(f"v{k}") for k in range(4))) for i, (a, b) in enumerate(_pairs(x, y))))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), *(F.col(f"_{i}{k}").alias(f"v{k}") for k in range(4))) for i, (a, b) in enumerate(pairs)))
     return whole.select(*by, rows.alias("_gram"))
 
 
@@ -49,9 +52,10 @@ def gram(df: DataFrame, by: list[str], x: list[str], y: str) -> DataFrame:
 class Sums:
     """The four sums of gram_parts as matrices over (1, x..., y); they add up and subtract."""
 
-    def __init__(self, parts: list, names: list[str]):
+    def __init__(self, parts: list, names: list[str], start: np.ndarray | None = None):
+        """From rows (a, b, v0 to v3); pairs without a row keep what they have in start, or 0."""
         at = {c: i for i, c in enumerate(names)}
-        self.names, self.all = names, np.zeros((3, len(names), len(names)))
+        self.names, self.all = names, np.zeros((3, len(names), len(names))) if start is None else start
         for p in parts:
             i, j = at[p["a"]], at[p["b"]]
             self.all[0, i, j] = self.all[0, j, i] = p["v0"]
@@ -92,6 +96,25 @@ def solve_ridge(sums: dict[tuple[str, str], float], x: list[str], y: str, penalt
     return np.concatenate([[get("one", y) / n - mean @ slopes], slopes])
 
 
+def _out_of_fold(parts: list[Sums], x: list[str], y: str, penalty: float) -> tuple[float, float]:
+    """Squared error and rows of a fit's test folds; means and deviations come from the training folds."""
+    names = parts[0].names
+    total = Sums([], names)
+    total.all = sum(p.all for p in parts)
+    sse = n = 0.0
+    for own in parts:
+        rest = total.less(own)
+        if rest.all[0, 0, 0] < 0.5:
+            continue
+        means = rest.means()
+        train, test = rest.filled(means), own.filled(means)
+        sums = {(a, b): train[i, j] for i, a in enumerate(names) for j, b in enumerate(names)}
+        beta = np.append(solve_ridge(sums, x, y, penalty), -1.0)
+        sse += float(beta @ test @ beta)
+        n += own.all[0, 0, 0]
+    return sse, n
+
+
 def fold_of(subject: str, folds: int) -> Column:
     """A subject's fold, by a hash of its key."""
     return F.floor(draw(F.col(subject), salt="fold") * folds).cast("int")
@@ -109,20 +132,7 @@ def ridge_cv(df: DataFrame, by: list[str], subject: str, x: list[str], y: str, p
     names = ["one", *x, y]
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [Sums(g, names) for g in group["_gram"]]
-        total = Sums([], names)
-        total.all = sum(p.all for p in parts)
-        sse = n = 0.0
-        for own in parts:
-            rest = total.less(own)
-            if rest.all[0, 0, 0] < 0.5:
-                continue
-            means = rest.means()
-            train, test = rest.filled(means), own.filled(means)
-            sums = {(a, b): train[i, j] for i, a in enumerate(names) for j, b in enumerate(names)}
-            beta = np.append(solve_ridge(sums, x, y, penalty), -1.0)
-            sse += float(beta @ test @ beta)
-            n += own.all[0, 0, 0]
+        sse, n = _out_of_fold([Sums(g, names) for g in group["_gram"]], x, y, penalty)
         out = {c: [group[c].iloc[0]] for c in by}
         return pd.DataFrame(out | {"n": [round(n)], "sse": [sse], "rmse": [float(np.sqrt(max(sse, 0) / n)) if n else None]})
 
@@ -169,13 +179,34 @@ def transition_association(df: DataFrame, by: list[str], subject: str, order: st
     kinds = dict(df.dtypes)
     rows = df.where(F.col(y).isNotNull()).select(*by, subject, order, *nuisance, *profile, y).withColumn("_f", fold_of(subject, 5))
     held = rows.groupBy(*by, subject).agg(F.first("_f").alias("_f"), F.array_sort(F.collect_list(F.struct(order, *nuisance, *profile, y))).alias("_s"))
+    held = written_wide(held, "subjects", subject)
     size = F.size("_s")
     shift = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.floor(draw(F.col(subject), F.col("replicate"), salt="shift") * size).cast("int"))
     dealt = held.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_by", shift)
     moved = F.transform("_s", lambda s, i: F.struct(*(s[c].alias(c) for c in (*nuisance, y)), *(F.get(F.col("_s"), (i + F.col("_by")) % size)[c].alias(c) for c in profile)))
     each = dealt.select(*by, subject, "_f", "replicate", F.explode(moved).alias("_m")).select(*by, subject, "_f", "replicate", "_m.*")
+    # a shift within a subject, whose rows share a fold, changes what the profile is multiplied with and nothing else
+    still = gram_parts(rows, [*by, "_f"], [*nuisance, *profile], y)
+    moving = gram_parts(each, [*by, "_f", "replicate"], [*nuisance, *profile], y, [(c, other) for c in profile for other in (*nuisance, y)])
+    moving = moving.select(*(F.col(c).alias(c) for c in moving.columns))  # columns of its own, or the two sides of the cogroup are ambiguous
+    names = ["one", *nuisance, *profile, y]
+
+    def fits(fixed: pd.DataFrame, moved: pd.DataFrame) -> pd.DataFrame:
+        base = {f: Sums(g, names) for f, g in zip(fixed["_f"], fixed["_gram"], strict=True)}
+        found = {c: [] for c in ("replicate", "n", "sse", "rmse")}
+        for replicate, group in moved.groupby("replicate"):
+            parts = []
+            for f, g in zip(group["_f"], group["_gram"], strict=True):
+                own = Sums(g, names, base[f].all.copy())
+                parts.append(own)
+            sse, n = _out_of_fold(parts, [*nuisance, *profile], y, penalty)
+            for c, v in zip(found, (replicate, round(n), sse, float(np.sqrt(max(sse, 0) / n)) if n else None), strict=True):
+                found[c].append(v)
+        return pd.DataFrame({c: [fixed[c].iloc[0]] * len(found["n"]) for c in by} | found)
+
     keys = Window.partitionBy(*by)
-    cv = ridge_cv(each, [*by, "replicate"], subject, [*nuisance, *profile], y, penalty, fold="_f").withColumn("_own", F.min(F.when(F.col("replicate") == 0, F.col("sse"))).over(keys))
+    cv = still.groupBy(*by).cogroup(moving.groupBy(*by)).applyInPandas(fits, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "replicate int, n long, sse double, rmse double"]))
+    cv = cv.withColumn("_own", F.min(F.when(F.col("replicate") == 0, F.col("sse"))).over(keys))
     # errors of equal orders differ in the last digits only
     as_small = F.count_if((F.col("replicate") > 0) & (F.col("sse") <= F.col("_own") * (1 + 1e-9)))
     full = cv.groupBy(*by).agg(F.max(F.when(F.col("replicate") == 0, F.col("n"))).alias("n"), F.max("_own").alias("_full"), F.max(F.when(F.col("replicate") == 0, F.col("rmse"))).alias("rmse"), ((1 + as_small) / F.lit(1 + replicates)).alias("p"))
@@ -234,52 +265,72 @@ def state_space(df: DataFrame, subject: str, day: str, value: str, rho: float =
     return df.select(subject, day, value).groupBy(subject).applyInPandas(solve, f"`{subject}` {kinds[subject]}, `{day}` {kinds[day]}, level double")
 
 
+def _kernel(t: np.ndarray, at: slice, slow: float, fast: float, noise: float) -> np.ndarray:
+    """Covariances of the values in at with all values; a value's own has the noise."""
+    gap = np.abs(t[at, None] - t[None, :])
+    out = np.exp(-0.5 * (gap / slow) ** 2) + 0.5 * np.exp(-gap / fast)
+    out[np.arange(len(out)), np.arange(len(t))[at]] += noise**2
+    return out
+
+
+def _gp_factor(t: np.ndarray, slow: float, fast: float, noise: float) -> factors.Factor:
+    f = factors.Factor(len(t))
+    for a in range(0, len(t), factors.BLOCK):
+        at = slice(a, min(a + factors.BLOCK, len(t)))
+        f.low[at] = _kernel(t, at, slow, fast, noise)
+    f.factor()
+    return f
+
+
 def gp_log_likelihood(t: np.ndarray, v: np.ndarray, slow: float, fast: float, noise: float = 0.5) -> float:
-    gap = np.abs(t[:, None] - t[None, :])
-    k = np.exp(-0.5 * (gap / slow) ** 2) + 0.5 * np.exp(-gap / fast) + noise**2 * np.eye(len(t))
-    low = np.linalg.cholesky(k)
-    a = np.linalg.solve(low, v)
-    return float(-0.5 * a @ a - np.log(np.diag(low)).sum() - 0.5 * len(t) * np.log(2 * np.pi))
+    f = _gp_factor(t, slow, fast, noise)
+    a = f.forward(v[:, None], len(t))[:, 0]
+    return -0.5 * (float(a @ a) + f.log_determinant() + len(t) * float(np.log(2 * np.pi)))
 
 
-def gp_filter(df: DataFrame, subject: str, day: str, value: str, slow: tuple = (14.0, 28.0, 56.0), fast: tuple = (1.0, 3.0, 7.0), noise: float = 0.5, most: int = 4000) -> DataFrame:
-    """subject, day and predicted: a Gaussian process's mean at each day given strictly earlier values only.
+def gp_filter(df: DataFrame, subject: str, day: str, value: str, slow: tuple = (14.0, 28.0, 56.0), fast: tuple = (1.0, 3.0, 7.0), noise: float = 0.5) -> DataFrame:
+    """subject, day and predicted: a Gaussian process's mean at each day given strictly earlier values only; rows with a null value go.
 
     Time scales are those of the greatest summed likelihood over all subjects; ties go to the first of the grid. The
-    grid runs inside each subject's task, so data are read once for it. One factor serves all of a subject's days: time
-    grows with the cube of its values, memory with their square; over most of them the query fails.
+    grid runs where a subject's packed values lie, so data are read once for it. One factor serves all of a subject's
+    days: time grows with the cube of its values; beyond a bound the factor lies in a file of the task.
     """
     grid = [(a, b) for a in slow for b in fast]
     kinds = dict(df.dtypes)
+    held = df.where(F.col(value).isNotNull()).groupBy(subject).agg(F.array_sort(F.collect_list(F.struct(F.col(day).cast("double").alias("t"), F.col(value).cast("double").alias("v")))).alias("_s"))
+    held = written_wide(held.select(subject, F.transform("_s", lambda s: s["t"]).alias("_t"), F.transform("_s", lambda s: s["v"]).alias("_v")), "values", subject)
 
-    def arrays(group: pd.DataFrame):
-        g = group.dropna(subset=[value]).sort_values(day)
-        if len(g) > most:
-            raise ValueError(f"a subject has {len(g)} values; at most {most}")
-        return g, g[day].to_numpy(float), g[value].to_numpy(float)
+    def people(batch):
+        offsets, t, v = batch.column("_t").offsets.to_numpy(), batch.column("_t").values.to_numpy(), batch.column("_v").values.to_numpy()
+        return [(t[a:b], v[a:b]) for a, b in zip(offsets, offsets[1:], strict=False)]
 
-    def likelihood(group: pd.DataFrame) -> pd.DataFrame:
-        _, t, v = arrays(group)
-        v = v - v.mean() if len(v) else v
-        return pd.DataFrame({"setting": range(len(grid)), "value": [gp_log_likelihood(t, v, a, b, noise) if len(t) else 0.0 for a, b in grid]})
+    def likelihood(batches):
+        total = np.zeros(len(grid))
+        for batch in batches:
+            for t, v in people(batch):
+                total += [gp_log_likelihood(t, v - v.mean(), a, b, noise) for a, b in grid]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(grid)), pa.int32()), pa.array(total)], ["setting", "value"])
 
-    rows = df.select(subject, day, value)
-    best = rows.groupBy(subject).applyInPandas(likelihood, "setting int, value double").groupBy("setting").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "setting").first()
+    best = held.mapInArrow(likelihood, "setting int, value double").groupBy("setting").agg(F.sum("value").alias("total")).orderBy(F.desc("total"), "setting").first()
     a, b = grid[best["setting"]] if best else grid[0]
 
-    def predict(group: pd.DataFrame) -> pd.DataFrame:
-        g, t, v = arrays(group)
-        if not len(t):
-            return pd.DataFrame({subject: g[subject], day: g[day], "predicted": v})
-        gap = np.abs(t[:, None] - t[None, :])
-        low = np.linalg.cholesky(np.exp(-0.5 * (gap / a) ** 2) + 0.5 * np.exp(-gap / b) + noise**2 * np.eye(len(t)))
-        # a leading part of the factor is that of the earlier days alone, and a row's start solves its own weights
-        solved, ones = np.linalg.solve(low, np.column_stack([v, np.ones(len(t))])).T
-        out = np.zeros(len(t))
-        for i, before in enumerate(np.searchsorted(t, t, side="left")):
-            if before:
-                mean = v[:before].mean()
-                out[i] = mean + low[i, :before] @ (solved[:before] - mean * ones[:before])
-        return pd.DataFrame({subject: g[subject], day: g[day], "predicted": out})
-
-    return rows.groupBy(subject).applyInPandas(predict, f"`{subject}` {kinds[subject]}, `{day}` {kinds[day]}, predicted double")
+    def predict(batches):
+        for batch in batches:
+            out, days = [], []
+            for t, v in people(batch):
+                f = _gp_factor(t, a, b, noise)
+                # a leading part of the factor is that of the earlier days alone, and a row's start solves its own weights
+                solved, ones = f.forward(np.column_stack([v, np.ones(len(t))]), len(t)).T
+                sums, found = np.cumsum(v), np.zeros(len(t))
+                for i, before in enumerate(np.searchsorted(t, t, side="left")):
+                    if before:
+                        mean = sums[before - 1] / before
+                        found[i] = mean + f.low[i, :before] @ (solved[:before] - mean * ones[:before])
+                out.append(found)
+                days.append(t)
+            if out:
+                whose = batch.column(subject).take(pa.array(np.repeat(np.arange(len(out)), [len(x) for x in out])))
+                yield pa.RecordBatch.from_arrays([whose, pa.array(np.concatenate(days)), pa.array(np.concatenate(out))], [subject, day, "predicted"])
+
+    made = held.mapInArrow(predict, f"`{subject}` {kinds[subject]}, `{day}` double, predicted double")
+    return made.withColumn(day, F.col(day).cast(kinds[day]))

@@ -7,7 +7,6 @@ subject's days are distinct, so the calendar bounds its arrays. Linear algebra r
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -18,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalar
-from tidemark.operators import aggregates, irt, models, windows
-from tidemark.sources.tables import written
+from tidemark.operators import aggregates, factors, irt, models, windows
+from tidemark.sources.tables import written, written_wide
 
 
 @dataclass(frozen=True)
@@ -79,6 +78,7 @@ def panel(
     points = points.where(ok[0] & ok[1] & ok[2] & (F.abs("loading") >= 1e-8) & F.col("channel").isin(channels))
     for c in profile:
         axis = windows.interpolated_rows(axis, [subject], [day], c, f"_b_{c}")
+    axis, points = written(axis, "axis"), written(points, "points")
     b = [F.col(f"_b_{c}") for c in profile]
     teach = axis.where("train").select(subject).distinct()
     targets = points.select(F.col("channel"), subject, F.col("window_end").cast("double").alias("_at"), (F.col("value") / F.col("loading")).alias("_y")).join(teach, subject, "left_semi")
@@ -110,7 +110,7 @@ def panel(
     part = lambda n: F.coalesce(F.transform("_p", lambda p: p[n]), none).alias(f"p_{n}")
     packed = packed.join(measured, subject, "left").select("*", *(part(n) for n in fields), F.coalesce(F.flatten(F.transform("_p", lambda p: p["items"])), none).alias("p_items")).drop("_p")
     packed = aggregates.quantile_strata(packed.withColumn("_n", F.size("p_value")), "_n", strata).drop("_n") if strata else packed.withColumn("stratum", F.lit(0))
-    packed = written(packed.withColumn("stratum", F.col("stratum").cast("int")), "panel")
+    packed = written_wide(packed.withColumn("stratum", F.col("stratum").cast("int")), "panel", subject)
     # location and scale of what the auxiliary kernel reads, and each channel's variance: from rows that may teach
     place = [F.get("_x", F.lit(k)) for k in range(len(auxiliary))]
     stats = rows.where("train").agg(*(F.avg(x).alias(f"m{k}") for k, x in enumerate(place)), *(F.stddev_pop(x).alias(f"s{k}") for k, x in enumerate(place))).first()
@@ -372,8 +372,6 @@ def smoothed(data: Panel, fit: Smoother) -> DataFrame:
 
 # --- causal filter -------------------------------------------------------------------------------------------------
 
-#: Rows and columns of a block of a factor, and the bytes from which a factor lies in a temporary file of its task.
-BLOCK, HELD = 512, 1 << 28
 #: Shares of a channel's variance: the slow and the fast kernel of time, and the kernel of profile and treatment.
 SLOW, FAST, AUXILIARY = 0.85 * 0.70, 0.85 * 0.30, 0.15
 
@@ -392,8 +390,7 @@ class Conditioned:
     """Measurements of one subject and channel in the order in which they become available, and the factor of their covariance.
 
     A leading part of the factor is that of the measurements available first, so one factor serves every day. Kernels
-    are made a block of days at a time and measured by running sums; the factor is made and used in blocks, in memory
-    or, beyond HELD bytes, in a file of the task.
+    are made a block of days at a time and measured by running sums; the factor is made and used in blocks.
     """
 
     def __init__(self, p: dict, channel: int, channels: int, auxiliary: np.ndarray, variance: float, slow: float, fast: float):
@@ -425,44 +422,24 @@ class Conditioned:
                     raise
 
     def _factor(self, extra: float) -> None:
-        n, size = self.n, self.n * self.n * 8
-        self.file = tempfile.TemporaryFile() if size > HELD else None
-        self.low = np.memmap(self.file, np.float64, "w+", shape=(n, n)) if self.file else np.zeros((n, n))
-        for a in range(0, len(self.t), BLOCK):
-            b = min(a + BLOCK, len(self.t))
+        n, block = self.n, factors.BLOCK
+        self.low = factors.Factor(n)
+        for a in range(0, len(self.t), block):
+            b = min(a + block, len(self.t))
             own = np.flatnonzero((self.lo < b) & (self.hi > a))
             if not len(own):
                 continue
             rows = np.cumsum(self.measured(slice(a, b)), axis=0)
             rows = np.concatenate([np.zeros((1, n)), rows])
-            self.low[own] += (rows[np.minimum(self.hi[own], b) - a] - rows[np.maximum(self.lo[own], a) - a]) * self.weight[own, None]
-        self.low[np.arange(n), np.arange(n)] += self.noise + extra
-        self.back = []  # inverses of the blocks on the diagonal
-        for j in range(0, n, BLOCK):
-            e = min(j + BLOCK, n)
-            done = np.array(self.low[j:e, :j])
-            top = np.linalg.cholesky(self.low[j:e, j:e] - done @ done.T)
-            self.back.append(np.linalg.solve(top, np.eye(e - j)))
-            self.low[j:e, j:e] = top
-            for i in range(e, n, BLOCK):
-                f = min(i + BLOCK, n)
-                self.low[i:f, j:e] = (self.low[i:f, j:e] - self.low[i:f, :j] @ done.T) @ self.back[-1].T
-        self.solved = self.forward(self.residual[:, None], n)[:, 0]
-
-    def forward(self, right: np.ndarray, n: int) -> np.ndarray:
-        """The leading n rows of the factor's inverse times right."""
-        out = np.zeros((n, right.shape[1]))
-        for k, j in enumerate(range(0, n, BLOCK)):
-            e, whole = min(j + BLOCK, n), min(j + BLOCK, self.n)
-            part = np.zeros((whole - j, right.shape[1]))
-            part[: e - j] = right[j:e] - self.low[j:e, :j] @ out[:j]
-            out[j:e] = (self.back[k] @ part)[: e - j]
-        return out
+            self.low.low[own] += (rows[np.minimum(self.hi[own], b) - a] - rows[np.maximum(self.lo[own], a) - a]) * self.weight[own, None]
+        self.low.low[np.arange(n), np.arange(n)] += self.noise + extra
+        self.low.factor()
+        self.solved = self.low.forward(self.residual[:, None], n)[:, 0]
 
     def cost(self) -> float:
         """Half of the quadratic form, the logarithm of the determinant and n log 2 pi."""
         self.factor()
-        return float(0.5 * (self.solved @ self.solved + 2 * np.log(np.diagonal(self.low)).sum() + self.n * np.log(2 * np.pi)))
+        return 0.5 * (float(self.solved @ self.solved) + self.low.log_determinant() + self.n * float(np.log(2 * np.pi)))
 
     def means(self) -> np.ndarray:
         """Each day's mean given the measurements that were available before it."""
@@ -471,11 +448,11 @@ class Conditioned:
             return out
         self.factor()
         known = np.searchsorted(self.available, self.days, "left")
-        for a in range(0, len(out), BLOCK):
-            b = min(a + BLOCK, len(out))
+        for a in range(0, len(out), factors.BLOCK):
+            b = min(a + factors.BLOCK, len(out))
             most = int(known[a:b].max())
             if most:
-                weight = np.cumsum(self.forward(self.measured(slice(a, b)).T[:most], most) * self.solved[:most, None], axis=0)
+                weight = np.cumsum(self.low.forward(self.measured(slice(a, b)).T[:most], most) * self.solved[:most, None], axis=0)
                 some = np.flatnonzero(known[a:b] > 0)
                 out[a + some] += weight[known[a + some] - 1, some]
         return out

@@ -110,3 +110,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def written_wide(df: DataFrame, name: str, key: str) -> DataFrame:
+    """written, dealt by a key into as many files as a shuffle has partitions: for few bytes that take long to work on, which adaptive execution would put into one task."""
+    # by a hash of the key: a repartition by a key that rows are dealt by already is left out of the plan
+    return written(df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key)), name)
