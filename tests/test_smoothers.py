@@ -289,12 +289,12 @@ def test_filter_equals_dense_algebra_whatever_the_blocks(spark, monkeypatch, blo
     assert np.allclose(data.shape.center, center) and np.allclose(data.shape.scale, np.where(scale < 1e-6, 1, scale))
     variance = {c: max(np.var([q[5] / q[6] for p in train for q in p["points"][c]]), 0.25) for c in SD}
     assert np.allclose(data.shape.spread, list(variance.values()))
-    people = [p for batch in data.rows.toArrow().to_batches() for p in smoothers._people(batch)]
-    ids = [r.id for r in data.rows.select("id").collect()]
-    for p in people:
+    people = [(p, batch.column("id")[p["i"]].as_py()) for batch in data.rows.toArrow().to_batches() for p in smoothers._people(batch)]
+    assert len(people) == len(dense.people)
+    for p, who in people:
         for k, c in enumerate(SD):
             own = smoothers.Conditioned(p, k, 2, smoothers._scaled(data.shape, p), data.shape.spread[k], 28.0, 3.0)
-            want, cost, n = dense_filter(dense, ids[p["i"]], c, (28.0, 3.0), np.array(data.shape.center), np.array(data.shape.scale), variance[c])
+            want, cost, n = dense_filter(dense, who, c, (28.0, 3.0), np.array(data.shape.center), np.array(data.shape.scale), variance[c])
             assert own.n == n and np.allclose(own.means(), want) and (not n or np.isclose(own.cost(), cost))
 
 
