@@ -191,7 +191,7 @@ def formatted(turns: DataFrame) -> DataFrame:
     turns needs conv_id, turn (integers), role and text; other columns are ignored. A conversation's formatted text is
     its rows' rendered pieces in the order of turn. action is keep or merge, with +relabel where the role changes;
     inserted names the empty messages before the turn and, as end:role, after the last one. A null conv_id is one
-    conversation of its own; null turns come first; turns of one number are ordered by role and text, and repeated
+    conversation of its own; null turns come first; turns of one number are ordered by role, then by a hash of the text, and repeated
     rows stand one after the other. A null text is empty; null and unknown roles take whatever is cheapest. An empty
     table gives no rows.
     """
