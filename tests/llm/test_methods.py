@@ -1,5 +1,8 @@
 """Operators held against brute force: packing, the quality network, mixing positions, sketches, and top-k plans."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -197,7 +200,56 @@ def test_top_k_against_brute_force_and_without_broadcast(spark, monkeypatch):
     want = [(i, k + 1, j, int(s)) for i in range(0, 150, 10) for k, (s, j) in enumerate(sorted(((q[i] @ q[j], j) for j in range(150) if j != i), key=lambda x: (-x[0], x[1]))[:5])]
     assert sorted(map(tuple, out.select("query_id", "rank", "vec_id", "score").collect())) == want
     assert topk.top_k(df, df.limit(0)).count() == 0 and topk.top_k(df.limit(0), df.where("vec_id = 10")).count() == 0
-    for bad in ([[1.0], [1.0, 2.0]], [[1e8], [1.0]]):
-        with pytest.raises(ValueError):
-            topk.quantized(pa.array(bad))
-    assert topk.quantized(pa.array([None, [1.0, None], [2.0, 3.0]]))[1].tolist() == [False, False, True]
+    found, usable = topk.quantized(pa.array([None, [1.0, None], [2.0, 3.0], [0.5], [-0.001, 4.0], []]))
+    assert usable.tolist() == [False, False, True, True, True, True]
+    assert [(at.tolist(), rows.tolist()) for at, rows in found] == [([3], [[]]), ([1], [[0.5]]), ([0, 2], [[2.0, 3.0], [-1 / 256, 4.0]])]
+
+
+def _whole(x: float) -> int:
+    return math.floor(256 * Fraction(x))
+
+
+def test_products_of_any_size():
+    r = np.random.default_rng(11)
+    for power in (3, 24, 27, 31, 60, 500, 1015):
+        a, b = (np.ldexp(r.uniform(-1, 1, (n, 5)), r.integers(-power, power + 1, (n, 5))) for n in (9, 12))
+        a[0], b[0] = 0.0, [1.7e308, -1.7e308, 5e-324, -5e-324, 1e8]
+        exact = lambda x: topk.quantized(pa.array(x.tolist()))[0][0][1]
+        found, sides = topk.products(exact(a), exact(b))
+        for i in range(9):
+            for j in range(12):
+                want = sum(_whole(x) * _whole(y) for x, y in zip(a[i].tolist(), b[j].tolist(), strict=True))
+                side = (want >= 1 << 63) - (want < -(1 << 63))
+                assert (sides[i, j], found[i, j]) == (side, min(max(want, -(1 << 63)), (1 << 63) - 1))
+    ends = np.array([[2.0**31]]), np.array([[-(2.0**16)], [2.0**16], [2.0**16 - 1]])
+    found, sides = topk.products(*ends)
+    assert found.tolist() == [[-(1 << 63), (1 << 63) - 1, (1 << 63) - (1 << 47)]] and sides.tolist() == [[0, 1, 0]]
+
+
+def test_top_k_large_components_and_lengths(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 7)
+    r = np.random.default_rng(4)
+    vectors = [np.ldexp(r.uniform(-1.3, 1.3, 2 + i % 2), 22 if i % 3 else 2).tolist() for i in range(60)] + [[]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(map(tuple, topk.top_k(df, df.where("vec_id % 10 < 2")).collect()))
+    want = []
+    for i in range(61):
+        if i % 10 < 2:
+            scores = sorted((-sum(_whole(x) * _whole(y) for x, y in zip(vectors[i], v, strict=True)), j) for j, v in enumerate(vectors) if j != i and len(v) == len(vectors[i]))
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(scores[:5])]
+    assert got == want
+    # scores below 64 bits that are not among the best are no fault, those among them are
+    rows = [(0, [2.0**40]), (1, [-(2.0**40)]), (2, [1.0]), (3, [-1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [tuple(x) for x in topk.top_k(df, df.where("vec_id = 0"), 2).orderBy("rank").collect()] == [(0, 1, 2, 1 << 56), (0, 2, 3, -(1 << 56))]
+    with pytest.raises(Exception, match="no 64-bit integer"):
+        topk.top_k(df, df.where("vec_id = 0"), 3).collect()
+
+
+def test_grid_copies_grow_with_the_root():
+    for blocks, tiles in ((1, 1), (3, 2000), (40, 2000), (400, 20000), (4000, 200000)):
+        rows, columns = topk.grid(blocks, tiles, 200)
+        assert rows <= blocks and columns <= tiles and blocks * tiles <= 2 * topk.CELL * rows * columns
+    # of 2,000,000 vectors and 40,000 queries each pair was two copies before: 160,000
+    rows, columns = topk.grid(40, 2000, 200)
+    assert rows * 2000 + columns * 40 < 24000
