@@ -142,6 +142,47 @@ def test_intervals_share_their_draws(spark):
     assert both["b"].low == both["b"].high == 2.0
 
 
+def test_medians_of_groups_spread_over_ranges(spark):
+    rows = [(*x[:3], None if x[1] % 7 == 0 else float("nan") if x[1] % 11 == 0 else x[3]) for x in tied()]
+    df = spark.createDataFrame(rows, "g string, id int, v double, w double")
+    got = {r.g: (r.a, r.b) for r in ranges.medians(df, ["g"], {"a": "v", "b": "w"}).collect()}
+    for g in (None, "big", "small"):
+        own = [x for x in rows if x[0] == g]
+        assert got[g] == (np.median([x[2] for x in own]), np.median([x[3] for x in own if x[3] is not None and x[3] == x[3]]))
+    assert ranges.medians(df.limit(0), ["g"], {"a": "v"}).count() == 0
+
+
+def test_bootstrapped_medians_equal_a_plain_version(spark):
+    r = np.random.default_rng(5)
+    values = [(i, float(r.integers(0, 9)), None if i % 4 == 0 else float(r.normal()), None) for i in range(83)]
+    df = spark.createDataFrame(values, "id int, a double, b double, c double").repartition(5)
+    got = {x.name: (x.low, x.high, x.replicates) for x in inference.bootstrap_medians(df, "id", ["a", "b", "c"], 60, "salt").collect()}
+    picks = [[int(int(hashlib.md5(f"{k}|{d}|salt".encode()).hexdigest()[:13], 16) / 2**52 * 83) for d in range(83)] for k in range(60)]
+    for name, at in (("a", 1), ("b", 2)):
+        each = [np.median([values[i][at] for i in p if values[i][at] is not None]) for p in picks]
+        assert got[name] == (pytest.approx(np.quantile(each, 0.025)), pytest.approx(np.quantile(each, 0.975)), 60)
+    # a column without values has no median; so has an empty table
+    assert set(got) == {"a", "b"} and inference.bootstrap_medians(df.limit(0), "id", ["a"], 5).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_roles_across_instruments_are_those_of_all_pairs(spark, seed):
+    r = np.random.default_rng(seed)
+    rows = sorted({(int(u), "ab"[k], int(d)) for u, k, d in zip(r.integers(0, 3, 60), r.integers(0, 2, 60), r.integers(0, 80, 60), strict=True)})
+    rows = [(u, k, d, d - (13 if k == "a" else 3), d) for u, k, d in rows]
+    df = spark.createDataFrame(rows, "u int, k string, day int, window_start int, window_end int")
+    kept, last = set(), {}
+    for x in sorted(rows, key=lambda x: x[2]):
+        if x[2] >= last.get(x[:2], -99) + 10:
+            last[x[:2]] = x[2]
+            kept.add(x)
+    for among in (["u"], ["u", "k"]):
+        got = {tuple(x)[:3]: x.evaluation_role for x in windows.evaluation_roles(df, ["u", "k"], "day", 10, among=among).collect()}
+        for x in rows:
+            met = any(y[: len(among)] == x[: len(among)] and y[3] <= x[4] and y[4] >= x[3] for y in kept)
+            assert got[x[:3]] == ("retained" if x in kept else "withheld_ineligible_overlap" if met else "withheld_eligible")
+
+
 def test_repeated_targets_stay(spark):
     targets = spark.createDataFrame([(1, 0, 2, "x"), (1, 0, 2, "x"), (1, 5, 6, "y")], "id int, window_start int, window_end int, k string")
     series = spark.createDataFrame([(1, 0, 1.0), (1, 1, 3.0), (1, 9, 7.0)], "id int, day int, v double")

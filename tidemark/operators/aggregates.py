@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.ranges import joined, mean_ranks, median_distances
+from tidemark.operators.ranges import joined, mean_ranks, median_distances, medians
 from tidemark.sources.tables import written
 
 
@@ -140,21 +140,25 @@ def masked_stats(df: DataFrame, by: list[str], value: str, mask: Column) -> Data
     return df.groupBy(*by).agg(F.coalesce(F.avg(kept), F.lit(0.0)).alias("mean"), F.when(sd <= 1e-8, 1.0).otherwise(sd).alias("sd"), F.count(kept).alias("n"), F.greatest(F.coalesce(F.var_pop(kept), F.lit(0.0)), F.lit(0.25)).alias("floored_variance"))
 
 
-def week_stability(df: DataFrame, by: list[str], subject: str, week: str, state: str, change: str, least: int = 10, least_changes: int = 2) -> DataFrame:
-    """Per group how much subjects change within themselves and differ from others of the same week.
+def subject_stability(df: DataFrame, by: list[str], subject: str, week: str, state: str, change: str, least: int = 10, least_changes: int = 2) -> DataFrame:
+    """Per group and subject: within, between, paired (between - within), n (changes) and weeks.
 
     A subject's week has its mean state and mean absolute change; weeks of fewer than least subjects go. The difference
-    is the median distance to the week's other subjects. Both are averaged over a subject's weeks; of subjects with
-    least_changes changes the medians, that of the paired difference, and the share in which the difference is larger.
+    is the median distance to the week's other subjects. Both are averaged over a subject's weeks; subjects with fewer
+    than least_changes changes go.
     """
     weeks = df.where(F.col(state).isNotNull() & F.col(change).isNotNull()).groupBy(*by, week, subject).agg(F.avg(state).alias("_state"), F.avg(F.abs(change)).alias("_within"), F.count("*").alias("_n"))
     weeks = written(weeks, "weeks")
     big = weeks.groupBy(*by, week).agg(F.count("*").alias("_users")).where(F.col("_users") >= least).drop("_users")
     kept = written(joined(weeks, big, [*by, week]), "weeks")
     apart = joined(kept, median_distances(kept, [*by, week], subject, "_state"), [*by, week, subject], "left")
-    per = apart.groupBy(*by, subject).agg(F.avg("_within").alias("_within"), F.avg("median_distance").alias("_between"), F.sum("_n").alias("_n"), F.count("*").alias("_weeks"))
-    per = per.where((F.col("_n") >= least_changes) & F.col("_between").isNotNull()).withColumn("_paired", F.col("_between") - F.col("_within"))
-    return per.groupBy(*by).agg(
-        F.count("*").alias("subjects"), F.sum("_weeks").alias("subject_weeks"), F.median("_within").alias("median_within_change"), F.median("_between").alias("median_between_difference"),
-        F.median("_paired").alias("median_paired_difference"), F.avg((F.col("_paired") > 0).cast("double")).alias("share_between_larger"),
-    )
+    per = apart.groupBy(*by, subject).agg(F.avg("_within").alias("within"), F.avg("median_distance").alias("between"), F.sum("_n").alias("n"), F.count("*").alias("weeks"))
+    return per.where((F.col("n") >= least_changes) & F.col("between").isNotNull()).withColumn("paired", F.col("between") - F.col("within"))
+
+
+def week_stability(df: DataFrame, by: list[str], subject: str, week: str, state: str, change: str, least: int = 10, least_changes: int = 2) -> DataFrame:
+    """Per group how much subjects change within themselves and differ from others of the same week: medians over the rows of subject_stability, and the share in which the difference is larger."""
+    per = written(subject_stability(df, by, subject, week, state, change, least, least_changes), "stability")
+    counts = per.groupBy(*by).agg(F.count("*").alias("subjects"), F.sum("weeks").alias("subject_weeks"), F.avg((F.col("paired") > 0).cast("double")).alias("share_between_larger"))
+    middle = medians(per, by, {"median_within_change": "within", "median_between_difference": "between", "median_paired_difference": "paired"})
+    return joined(counts, middle, by)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import draw
 from tidemark.operators.ranges import joined, numbered, running
+from tidemark.sources.tables import written
 
 
 def bootstrap_draws(spark, n: int, replicates: int, salt: str) -> DataFrame:
@@ -16,6 +19,11 @@ def bootstrap_draws(spark, n: int, replicates: int, salt: str) -> DataFrame:
     return draws.select("replicate", F.floor(draw(F.col("replicate"), F.col("d"), salt=salt) * n).alias("i")).groupBy("replicate", "i").agg(F.count("*").alias("times"))
 
 
+def _intervals(each: DataFrame, alpha: float) -> DataFrame:
+    """name, low, high and replicates of rows (name, _s), one for each replicate."""
+    return each.groupBy("name").agg(F.percentile("_s", F.lit(alpha / 2)).alias("low"), F.percentile("_s", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("replicates"))
+
+
 def bootstrap_intervals(subjects: DataFrame, subject: str, statistics: dict[str, Column], replicates: int, salt: str = "", alpha: float = 0.05) -> DataFrame:
     """name, low, high and replicates: percentile intervals of several statistics over the same resampled subjects (one row each).
 
@@ -26,7 +34,35 @@ def bootstrap_intervals(subjects: DataFrame, subject: str, statistics: dict[str,
     n = rows.count()
     per = bootstrap_draws(subjects.sparkSession, n, replicates, salt).join(rows, "i").groupBy("replicate").agg(*(v.alias(f"_s{k}") for k, v in enumerate(statistics.values())))
     each = per.select(F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.col(f"_s{k}").cast("double").alias("_s")) for k, name in enumerate(statistics)))).alias("_e")).select("_e.*").where("_s is not null")
-    return each.groupBy("name").agg(F.percentile("_s", F.lit(alpha / 2)).alias("low"), F.percentile("_s", F.lit(1 - alpha / 2)).alias("high"), F.count("*").alias("replicates"))
+    return _intervals(each, alpha)
+
+
+def bootstrap_medians(subjects: DataFrame, subject: str, columns: list[str], replicates: int, salt: str = "", alpha: float = 0.05) -> DataFrame:
+    """name, low, high and replicates: percentile intervals of each column's median over resampled subjects (one row each).
+
+    Draws are those of bootstrap_intervals with the same subjects and salt. A subject counts as often as it is drawn;
+    null values and NaN count in no median. All values of a column are put in order once and cut into blocks of about as
+    many as there are blocks. In each replicate draws are added up by block, the one or two blocks that hold the middle
+    are found from these sums, and only there are values walked, so no task holds a replicate's values. Two rows for
+    each replicate and column are broadcast at most.
+    """
+    rows = numbered(subjects.select(subject, *columns), [subject])
+    n = rows.count()
+    values = rows.select(F.col("i").alias("_d"), F.posexplode(F.array(*(F.col(c).cast("double") for c in columns))).alias("_c", "_v")).where("_v is not null and not isnan(_v)")
+    place = numbered(values, ["_c", "_v", "_d"]).withColumn("_b", F.floor(F.col("i") / max(1, math.isqrt(n)))).withColumnRenamed("i", "_at")
+    drawn = bootstrap_draws(subjects.sparkSession, n, replicates, salt).join(place, F.col("i") == F.col("_d")).drop("i", "_d")
+    sums = written(drawn.groupBy("_c", "replicate", "_b").agg(F.sum("times").alias("_s")), "blocks")
+    whole = Window.partitionBy("_c", "replicate")
+    over = whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_before": F.coalesce(F.sum("_s").over(over), F.lit(0)), "_n": F.sum("_s").over(whole)})
+    sums = sums.withColumns({"_lo": F.floor((F.col("_n") - 1) / 2), "_hi": F.floor(F.col("_n") / 2)})
+    holds = lambda c: (F.col(c) >= F.col("_before")) & (F.col(c) < F.col("_before") + F.col("_s"))
+    middle = sums.where(holds("_lo") | holds("_hi")).drop("_s", "_n")
+    near = drawn.join(F.broadcast(middle), ["_c", "replicate", "_b"])
+    upto = F.col("_before") + F.sum("times").over(Window.partitionBy("_c", "replicate", "_b").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    ends = near.withColumn("_upto", upto).groupBy("_c", "replicate").agg(*(F.min(F.when(F.col("_upto") > F.col(c), F.col("_v"))).alias(c) for c in ("_lo", "_hi")))
+    names = F.array(*(F.lit(c) for c in columns))
+    return _intervals(ends.select(F.get(names, F.col("_c")).alias("name"), ((F.col("_lo") + F.col("_hi")) / 2).alias("_s")), alpha)
 
 
 def bootstrap_interval(subjects: DataFrame, subject: str, statistic: Column, replicates: int, salt: str = "", alpha: float = 0.05) -> DataFrame:

@@ -88,6 +88,20 @@ def median_distances(df: DataFrame, by: list[str], subject: str, value: str) ->
     return joined(place.select(*by, subject, "_v"), found, [*by, "_v"]).drop("_v")
 
 
+def medians(df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """by and the median of each column under its new name, nulls and NaN left out; a group without any value has no row.
+
+    Values of all columns are numbered in one order and the middle ones looked up, so no task holds a group.
+    """
+    values = F.posexplode(F.array(*(F.col(c).cast("double") for c in columns.values()))).alias("_c", "_v")
+    place = numbered(df.select(*by, values).where("_v is not null and not isnan(_v)"), [*by, "_c", "_v"])
+    sizes = place.groupBy(*by, "_c").agg(F.count("*").alias("_n"), F.min("i").alias("_first"))
+    at = F.col("i") - F.col("_first")
+    middle = joined(place, sizes, [*by, "_c"]).where((at >= F.floor((F.col("_n") - 1) / 2)) & (at <= F.floor(F.col("_n") / 2)))
+    found = middle.groupBy(*by, "_c").agg(F.avg("_v").alias("_m"))
+    return found.groupBy(*by).agg(*(F.max(F.when(F.col("_c") == k, F.col("_m"))).alias(name) for k, name in enumerate(columns)))
+
+
 def permuted_vectors(df: DataFrame, key: list[str], columns: list[str], shuffled: Column) -> DataFrame:
     """key and columns, in which whole vectors of columns have changed places among all rows: the vector that is i-th by shuffled, then by key, stands at the row that is i-th by key. key must be unique."""
     place = numbered(df.select(*key), key)

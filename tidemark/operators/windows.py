@@ -133,16 +133,20 @@ def thinned(df: DataFrame, by: list[str], day: str, cadence: int) -> DataFrame:
     return df.join(kept, [*by, day], "left").withColumn("retained", F.coalesce("retained", F.lit(False)))
 
 
-def evaluation_roles(df: DataFrame, by: list[str], day: str, cadence: int, start: str = "window_start", end: str = "window_end") -> DataFrame:
+def evaluation_roles(df: DataFrame, by: list[str], day: str, cadence: int, start: str = "window_start", end: str = "window_end", among: list[str] | None = None) -> DataFrame:
     """Adds evaluation_role: retained at that cadence, else withheld_ineligible_overlap where the row's closed window meets
     the window of a retained row of the same group, else withheld_eligible.
 
-    Windows end in the order of days, so the latest end before and the earliest start after decide; no pairs are formed.
+    Rows are thinned by the columns in by; windows are held against those of retained rows that agree in among, which
+    are all of by unless it says less: then a measurement counts as known where another instrument recalls its days.
+    Windows end in the order of days, so the latest end up to the row and the earliest start from it on decide; no pairs
+    are formed.
     """
     rows = thinned(df, by, day, cadence)
-    w = Window.partitionBy(*by).orderBy(day)
-    before = F.max(F.when(F.col("retained"), F.col(end))).over(w.rangeBetween(Window.unboundedPreceding, -1))
-    after = F.min(F.when(F.col("retained"), F.col(start))).over(w.rangeBetween(1, Window.unboundedFollowing))
+    w = Window.partitionBy(*(by if among is None else among)).orderBy(day)
+    # rows of the same group and day are retained together, so a withheld row never meets itself
+    before = F.max(F.when(F.col("retained"), F.col(end))).over(w.rangeBetween(Window.unboundedPreceding, 0))
+    after = F.min(F.when(F.col("retained"), F.col(start))).over(w.rangeBetween(0, Window.unboundedFollowing))
     met = F.coalesce(before >= F.col(start), F.lit(False)) | F.coalesce(after <= F.col(end), F.lit(False))
     role = F.when(F.col("retained"), "retained").when(F.col("_met"), "withheld_ineligible_overlap").otherwise("withheld_eligible")
     return rows.withColumn("_met", met).withColumn("evaluation_role", role).drop("_met", "retained")

@@ -39,18 +39,24 @@ union all select w.cadence, w.user_id, w.event_type, n.day from w, lateral (sele
 kept as (select dc.* from dc semi join w using (cadence, user_id, event_type, day))"""
 
 
-@query(f"""with recursive {_KEPT}, t as (select cadence, event_type, user_id, day // 7 as week, value as state, abs(lead(value) over (partition by cadence, user_id, event_type order by day) - value) as change from kept),
+def _changes(spark, d):
+    change = F.lead("value").over(windows.ordered(["cadence", "user_id", "event_type"], "day")) - F.col("value")
+    return _kept(spark, d).withColumns({"change": change, "week": F.floor(F.col("day") / 7)})
+
+
+_STABLE = _KEPT + """, t as (select cadence, event_type, user_id, day // 7 as week, value as state, abs(lead(value) over (partition by cadence, user_id, event_type order by day) - value) as change from kept),
 p as (select cadence, event_type, week, user_id, avg(state) as state, avg(change) as within, count(*) as n from t where change is not null group by all),
 b as (select * from (select *, count(*) over (partition by cadence, event_type, week) as users from p) where users >= 10),
 o as (select a.cadence, a.event_type, a.week, a.user_id, median(abs(a.state - c.state)) as apart from b a join b c on a.cadence = c.cadence and a.event_type = c.event_type and a.week = c.week and a.user_id <> c.user_id group by all),
-s as (select cadence, event_type, user_id, avg(within) as within, avg(apart) as apart, sum(n) as n, count(*) as weeks from b left join o using (cadence, event_type, week, user_id) group by all)
+s as (select cadence, event_type, user_id, avg(within) as within, avg(apart) as apart, sum(n) as n, count(*) as weeks from b left join o using (cadence, event_type, week, user_id) group by all)"""
+
+
+@query(f"""with recursive {_STABLE}
 select cadence, event_type, count(*) as subjects, sum(weeks)::bigint as subject_weeks, round(median(within), 9) as median_within_change, round(median(apart), 9) as median_between_difference, round(median(apart - within), 9) as median_paired_difference, round(avg((apart > within)::int), 9) as share_between_larger
 from s where n >= 2 and apart is not null group by all""")
 def patient_week_stability(spark, d):
     """How much users change within themselves and differ from others of their week, by cadence and instrument."""
-    change = F.lead("value").over(windows.ordered(["cadence", "user_id", "event_type"], "day")) - F.col("value")
-    x = _kept(spark, d).withColumns({"change": change, "week": F.floor(F.col("day") / 7)})
-    return rounded(agg.week_stability(x, ["cadence", "event_type"], "user_id", "week", "value", "change"))
+    return rounded(agg.week_stability(_changes(spark, d), ["cadence", "event_type"], "user_id", "week", "value", "change"))
 
 
 @query(f"""with {EVENTS}, w as (select user_id, day // 7 as week, avg(value) as state from ev group by all)
@@ -60,6 +66,24 @@ def median_distances(spark, d):
     return rounded(ranges.median_distances(w, ["week"], "user_id", "state"))
 
 
+@query(f"""with recursive {_STABLE}, z as (select * from s where n >= 2 and apart is not null),
+u as (select user_id, row_number() over (order by user_id) - 1 as i, count(*) over () as total from (select distinct user_id from z)),
+k as (select r as replicate, floor({_DRAW.format("r || '|' || d || '|stability'")} * (select any_value(total) from u))::bigint as i from (select unnest(range(0, 2000)) as r), (select unnest(range(0, (select any_value(total) from u))) as d)),
+x as (select cadence, event_type, replicate, median(within) as w, median(apart) as a, median(apart - within) as p, avg((apart > within)::int) as l from z join u using (user_id) join k using (i) group by all)
+select cadence, event_type, m[1] as measure, round(quantile_cont(m[2], 0.025), 9) as low, round(quantile_cont(m[2], 0.975), 9) as high, count(*) as replicates from (select cadence, event_type, unnest([('within', w), ('between', a), ('paired', p), ('share', l)]) as m from x) group by all""")
+def stability_intervals(spark, d):
+    """Intervals of the stability table: of three medians and a share, by cadence and instrument, over the same 2000 resamples of users."""
+    per = agg.subject_stability(_changes(spark, d), ["cadence", "event_type"], "user_id", "week", "value", "change")
+    cells = [(c, k) for c in CADENCES for k in ("purchase", "view", "click")]
+    here = lambda c, k, m: F.max(F.when((F.col("cadence") == c) & (F.col("event_type") == k), F.col(m))).alias(f"{c}|{k}|{m}")
+    wide = written(per.groupBy("user_id").agg(*(here(c, k, m) for c, k in cells for m in ("within", "between", "paired"))), "stability")
+    middle = inference.bootstrap_medians(wide, "user_id", [x for x in wide.columns if x != "user_id"], 2000, "stability")
+    larger = {f"{c}|{k}|share": F.sum(F.when(F.col(f"`{c}|{k}|paired`") > 0, F.col("times")).when(F.col(f"`{c}|{k}|paired`").isNotNull(), 0)) / F.sum(F.when(F.col(f"`{c}|{k}|paired`").isNotNull(), F.col("times"))) for c, k in cells}
+    share = inference.bootstrap_intervals(wide, "user_id", larger, 2000, "stability")
+    part = F.split("name", r"\|")
+    return rounded(middle.unionByName(share).select(part[0].cast("int").alias("cadence"), part[1].alias("event_type"), part[2].alias("measure"), "low", "high", "replicates"))
+
+
 _METHODS = ("blend", "locf", "history", "center")
 _PREDICTED = _KEPT + """, pr as (select *, lag(value) over v as locf, avg(value) over (v rows between unbounded preceding and 1 preceding) as history, first_value(value) over v as base from kept window v as (partition by cadence, user_id, event_type order by day)),
 pm as (select * from pr where locf is not null)"""

@@ -189,6 +189,13 @@ def evaluation_roles(spark, d):
     return windows.evaluation_roles(seen, ["user_id", "event_type"], "day", 14).select("user_id", "event_type", "day", "evaluation_role")
 
 
+@query(f"""with recursive {_ROLES} select user_id, event_type, day, case when kept then 'retained' when exists (select 1 from o r where r.kept and r.user_id = o.user_id and r.window_start <= o.window_end and r.window_end >= o.window_start) then 'withheld_ineligible_overlap' else 'withheld_eligible' end as evaluation_role from o""")
+def evaluation_roles_across(spark, d):
+    """Roles where the recall of any retained instrument of a user makes a withheld measurement ineligible."""
+    seen = anchors(spark, d).where("observed")
+    return windows.evaluation_roles(seen, ["user_id", "event_type"], "day", 14, among=["user_id"]).select("user_id", "event_type", "day", "evaluation_role")
+
+
 @query(f"""with recursive {_ROLES} select event_type, count(*) as events, count(*) filter (evaluation_role = 'retained') as retained, count(*) filter (evaluation_role = 'withheld_eligible') as withheld_eligible, count(*) filter (evaluation_role = 'withheld_ineligible_overlap') as withheld_ineligible_overlap,
 count(*) - count(distinct (user_id, day)) as repeated, true as adds_up from roles group by event_type""")
 def event_accounting(spark, d):
