@@ -291,6 +291,15 @@ def test_chat_repair_is_cheapest():
             assert cost(read, np.concatenate(both)) == cost(read, states)
 
 
+def test_mixing_of_repeated_ids_does_not_follow_the_order_of_rows(spark):
+    rows = [(7, f"{chr(97 + i)} b c", "s") for i in range(20)] + [(i, "x y", "t") for i in range(40)]
+    seen = []
+    for parts in (1, 7):
+        df = spark.createDataFrame(rows[::-1] if parts == 7 else rows, "doc_id long, text string, source string").repartition(parts)
+        seen.append(sorted(map(tuple, mixing.mixed_documents(df).select("doc_id", "text", "source").collect()), key=str))
+    assert seen[0] == seen[1]
+
+
 def test_mixing_meets_targets(docs, spark):
     many = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(id % 40 as int))").alias("text"), F.expr("case when id % 3 = 0 then 'a' when id % 7 = 0 then null else concat('s', id % 5) end").alias("source"))
     for df in (many, docs):

@@ -87,7 +87,7 @@ def _placed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept columns, size, source_size, target, place and at for each row of docs: at is the number of its source's words before it."""
     # a null source is a key of its own, so that plain keys serve the window and the joins alike; a null id's place comes from its text
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")).cast("binary"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), words().alias("size"), digest.alias("digest"), *(F.col(c).alias(f"kept_{c}") for c in keep))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("key"), F.col("source").isNull().alias("none"), words().alias("size"), digest.alias("digest"), F.xxhash64("text").alias("tie"), *(F.col(c).alias(f"kept_{c}") for c in keep))
     rows = materialize(rows, "sizes") if not keep else rows
     n = rows.count() if not keep else docs.count()
     bits = max(4, math.ceil(math.log2(max(n, 1) / SLOT)))
@@ -105,7 +105,7 @@ def _placed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     lower = sums.withColumn("upper", F.shiftright("slot", high)).withColumn("below", F.coalesce(F.sum("n").over(over), F.lit(0)))
     starts = lower.join(upper, [*own, "upper"]).select(*own, "slot", (F.col("above") + F.col("below")).alias("start"))
     starts = materialize(starts.join(total.drop("source"), own).select(*own, "slot", "start", "source_size", "target", "place"), "starts")
-    over = Window.partitionBy(*own, "slot").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
+    over = Window.partitionBy(*own, "slot").orderBy("digest", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = slotted.withColumn("inside", F.coalesce(F.sum("size").over(over), F.lit(0))).join(starts, [*own, "slot"])
     return placed.select("doc_id", *(F.col(f"kept_{c}").alias(c) for c in keep), "size", "source_size", "target", "place", (F.col("start") + F.col("inside")).alias("at"))
 
@@ -130,7 +130,7 @@ def mixed(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     mix: once or twice its size, but for the one document of a source where the target ends, which is taken in part,
     from its start. positions has one entry for each time the document is read: a source that is read more than once
     runs through all of training, its second pass after its first. The order within a source is that of a digest of the
-    id, so reruns agree; null ids, which count as one id, are ordered by a digest of the text. A null source is one of
+    id, then of the size and a hash of the text, so reruns agree also where an id repeats; null ids are ordered by a digest of the text. A null source is one of
     its own; null and empty texts have size 0 and are never taken. Repeated rows are documents of their own, and equal
     ones are alike. An empty table gives no rows. Sums are computed while the plan is built.
     """
