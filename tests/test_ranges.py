@@ -165,6 +165,31 @@ def test_bootstrapped_medians_equal_a_plain_version(spark):
     assert set(got) == {"a", "b"} and inference.bootstrap_medians(df.limit(0), "id", ["a"], 5).count() == 0
 
 
+def test_draws_meet_subjects_in_blocks(spark):
+    packed = inference.packed_draws(spark, 700, 9, "s", 256).collect()
+    got = sorted((r.replicate, 256 * r.block + int(i)) for r in packed for i in np.frombuffer(r.picks, "<u2"))
+    assert got == sorted((r.replicate, r.i) for r in inference.bootstrap_draws(spark, 700, 9, "s").collect() for _ in range(r.times))
+    # a row for each block, not for each draw; a replicate that lies in two tasks has two
+    assert len(packed) <= 3 * (9 + 4)
+
+
+def test_resamples_by_blocks_equal_those_of_single_draws(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, float(r.normal()), None if i % 3 else float(r.integers(0, 4)), float("nan") if i % 5 else 1.0 + i) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, c double").repartition(5)
+    sums = {"a": F.col("a"), "b": F.col("b"), "n": F.when(F.col("b").isNotNull(), 1.0)}
+    made = [inference.resampled(df, "id", sums, ["a", "b", "c"], 40, "x", roots).toDF("replicate", "a", "b", "n", "ma", "mb", "mc") for roots in (3.0, 0.001)]
+    wide, narrow = (sorted(map(tuple, m.collect())) for m in made)
+    # bounds that miss nearly all medians are widened until they hold them
+    assert wide == narrow and len(wide) == 40
+    for k, a, b, n, *middle in wide:
+        own = [rows[int(draw(k, d, "x") * 600)] for d in range(600)]
+        assert math.isclose(a, sum(x[1] for x in own)) and b == sum(x[2] or 0 for x in own) and n == sum(x[2] is not None for x in own)
+        assert middle == [np.median([x[j] for x in own if x[j] is not None and x[j] == x[j]]) for j in (1, 2, 3)]
+    mean = F.sum(F.col("b") * F.col("times")) / F.sum(F.when(F.col("b").isNotNull(), F.col("times")))
+    assert inference.interval_of(made[0], inference.ratio("b", "n")).first() == inference.bootstrap_interval(df, "id", mean, 40, "x").first()
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_roles_across_instruments_are_those_of_all_pairs(spark, seed):
     r = np.random.default_rng(seed)

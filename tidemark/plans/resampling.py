@@ -77,11 +77,13 @@ def stability_intervals(spark, d):
     cells = [(c, k) for c in CADENCES for k in ("purchase", "view", "click")]
     here = lambda c, k, m: F.max(F.when((F.col("cadence") == c) & (F.col("event_type") == k), F.col(m))).alias(f"{c}|{k}|{m}")
     wide = written(per.groupBy("user_id").agg(*(here(c, k, m) for c, k in cells for m in ("within", "between", "paired"))), "stability")
-    middle = inference.bootstrap_medians(wide, "user_id", [x for x in wide.columns if x != "user_id"], 2000, "stability")
-    larger = {f"{c}|{k}|share": F.sum(F.when(F.col(f"`{c}|{k}|paired`") > 0, F.col("times")).when(F.col(f"`{c}|{k}|paired`").isNotNull(), 0)) / F.sum(F.when(F.col(f"`{c}|{k}|paired`").isNotNull(), F.col("times"))) for c, k in cells}
-    share = inference.bootstrap_intervals(wide, "user_id", larger, 2000, "stability")
+    medians = [x for x in wide.columns if x != "user_id"]
+    paired = {f"{c}|{k}": F.col(f"`{c}|{k}|paired`") for c, k in cells}
+    sums = {f"{x}|larger": F.when(v > 0, 1.0) for x, v in paired.items()} | {f"{x}|all": F.when(v.isNotNull(), 1.0) for x, v in paired.items()}
+    each = inference.resampled(wide, "user_id", sums, medians, 2000, "stability")
+    found = inference.intervals_of(each, {x: F.col(f"`{x}`") for x in medians} | {f"{x}|share": inference.ratio(f"{x}|larger", f"{x}|all") for x in paired})
     part = F.split("name", r"\|")
-    return rounded(middle.unionByName(share).select(part[0].cast("int").alias("cadence"), part[1].alias("event_type"), part[2].alias("measure"), "low", "high", "replicates"))
+    return rounded(found.select(part[0].cast("int").alias("cadence"), part[1].alias("event_type"), part[2].alias("measure"), "low", "high", "replicates"))
 
 
 _METHODS = ("blend", "locf", "history", "center")
