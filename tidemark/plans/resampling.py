@@ -113,11 +113,12 @@ def pairwise_bootstrap(spark, d):
     per = _predicted(spark, d).groupBy("user_id", "cadence").agg(F.count("*").cast("double").alias("n"), *(error(m) for m in _METHODS))
     wide = per.groupBy("user_id").agg(*(F.max(F.when(F.col("cadence") == c, F.col(m))).alias(f"{m}_{c}") for c in CADENCES for m in ("n", *_METHODS)))
     wide = written(wide, "errors")
-    root = lambda m, c, times: F.sqrt(F.sum(F.col(f"{m}_{c}") * times) / F.sum(F.col(f"n_{c}") * times))
-    made = lambda times: {f"{c}|{m}": root("blend", c, times) - root(m, c, times) for c in CADENCES for m in _METHODS[1:]}
-    seen = wide.agg(*(v.alias(k) for k, v in made(F.lit(1.0)).items()))
-    seen = seen.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), F.col(f"`{k}`").alias("difference")) for k in made(F.lit(1.0))))).alias("_o")).select("_o.*")
-    out = seen.join(inference.bootstrap_intervals(wide, "user_id", made(F.col("times")), 2000, "pairs"), "name")
+    root = lambda m, c: F.sqrt(inference.ratio(f"{m}_{c}", f"n_{c}"))
+    made = {f"{c}|{m}": root("blend", c) - root(m, c) for c in CADENCES for m in _METHODS[1:]}
+    sums = {c: F.col(c) for c in wide.columns if c != "user_id"}
+    seen = wide.agg(*(F.sum(v).alias(c) for c, v in sums.items()))
+    seen = seen.select(F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.alias("difference")) for k, v in made.items()))).alias("_o")).select("_o.*")
+    out = seen.join(inference.intervals_of(inference.resampled(wide, "user_id", sums, [], 2000, "pairs"), made), "name")
     part = F.split("name", r"\|")
     return rounded(out.select(part[0].cast("int").alias("cadence"), part[1].alias("comparator"), "difference", "low", "high", "replicates"))
 
@@ -142,8 +143,9 @@ def workload_classification(spark, d):
     hits = long.groupBy(*key, "user_id").agg(F.avg((F.col("a") == F.col("p")).cast("double")).alias("hit"))
     keys = [f"{c}|{k}|{m}|{o}" for c in CADENCES for k in ("purchase", "view", "click") for m in ("locf", "history") for o in below]
     wide = hits.withColumn("_key", F.concat_ws("|", *key)).groupBy("user_id").agg(*(F.max(F.when(F.col("_key") == k, F.col("hit"))).alias(f"h{i}") for i, k in enumerate(keys)))
-    share = {k: F.sum(F.col(f"h{i}") * F.col("times")) / F.sum(F.when(F.col(f"h{i}").isNotNull(), F.col("times"))) for i, k in enumerate(keys)}
-    between = inference.bootstrap_intervals(wide, "user_id", share, 2000, "workload").select("name", F.col("low").alias("accuracy_low"), F.col("high").alias("accuracy_high"), "replicates")
+    sums = {f"h{i}": F.col(f"h{i}") for i in range(len(keys))} | {f"n{i}": F.when(F.col(f"h{i}").isNotNull(), 1.0) for i in range(len(keys))}
+    each = inference.resampled(wide, "user_id", sums, [], 2000, "workload")
+    between = inference.intervals_of(each, {k: inference.ratio(f"h{i}", f"n{i}") for i, k in enumerate(keys)}).select("name", F.col("low").alias("accuracy_low"), F.col("high").alias("accuracy_high"), "replicates")
     out = inference.outcome_rates(long, key, "user_id", "a", "p").withColumn("name", F.concat_ws("|", *key)).join(between, "name").drop("name")
     return rounded(out)
 
