@@ -133,6 +133,29 @@ def test_association_equals_a_plain_version(spark):
     assert math.isclose(got.p, (1 + sum(e <= errors[0] * (1 + 1e-9) for e in errors[1:])) / 13) and math.isclose(got.added_r2, (bare - errors[0]) / np.sum((y - y.mean()) ** 2))
 
 
+def test_shifts_are_summed_where_subjects_lie(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    hole = lambda x: None if r.random() < 0.2 else float(x)
+    rows = [(g, None if u == 0 else u, u % 3, t, hole(r.normal()), hole(r.normal()), float(r.normal())) for g in "gh" for u in range(12) for t in range(int(r.integers(1, 9)))]
+    df = spark.createDataFrame(rows, "g string, u int, _f int, t int, s double, a double, y double")
+    held = df.groupBy("g", "u", "_f").agg(F.array_sort(F.collect_list(F.struct("t", "s", "a", "y"))).alias("_s"))
+    monkeypatch.setattr(models, "SUMS_HELD", 2)
+    parts = models._shifted_parts(held, ["g"], "u", ["s"], ["a"], "y", 5)
+    assert "Generate" not in parts._jdf.queryExecution().toString()
+    got = {(q.g, q["_f"], q.replicate): {(x.a, x.b): tuple(x)[2:] for x in q["_gram"]} for q in parts.collect()}
+    assert len(got) == 2 * 3 * 6
+    for (g, f, replicate), sums in got.items():
+        want = {other: np.zeros(4) for other in "sy"}
+        for u in {x[1] for x in rows if x[0] == g and x[2] == f}:
+            own = sorted((x for x in rows if x[0] == g and x[1] == u), key=lambda x: x[3])
+            by = int((draw(replicate, "shift") if u is None else draw(u, replicate, "shift")) * len(own)) if replicate else 0
+            for k, x in enumerate(own):
+                a = own[(k + by) % len(own)][5]
+                for other, v in (("s", x[4]), ("y", x[6])):
+                    want[other] += [(a or 0) * (v or 0), (a is None) * (v or 0), (a or 0) * (v is None), (a is None) * (v is None)]
+        assert all(np.allclose(sums["a", other], want[other]) for other in "sy")
+
+
 def test_intervals_share_their_draws(spark):
     df = spark.createDataFrame([(i, float(i % 7), None if i % 3 else 2.0) for i in range(40)], "id int, a double, b double")
     mean = lambda c: F.sum(F.col(c) * F.col("times")) / F.sum(F.when(F.col(c).isNotNull(), F.col("times")))

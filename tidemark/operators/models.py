@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.scalar import draw
 from tidemark.operators import factors, windows
-from tidemark.sources.tables import written_wide
+from tidemark.sources.tables import written, written_wide
 
 
 def _pairs(x: list[str], y: str) -> list[tuple[str, str]]:
@@ -167,6 +169,69 @@ def daily_readout(axis: DataFrame, points: DataFrame, by: list[str], subject: st
     return gram(rows, by, x, "_target").groupBy(*by).applyInPandas(fit, schema)
 
 
+#: Groups and folds whose sums a task holds at once.
+SUMS_HELD = 512
+
+
+def _shifted_parts(held: DataFrame, by: list[str], subject: str, nuisance: list[str], profile: list[str], y: str, replicates: int) -> DataFrame:
+    """gram_parts of the profile with nuisance and y, per group, fold and replicate, in which each subject's profile is shifted around its end; held has a subject's rows in order, as the array _s."""
+    others = [*nuisance, y]
+    kinds = dict(held.dtypes)
+    shape = (2 * len(profile), 2 * len(others))
+
+    def draws(name: str | None) -> np.ndarray:
+        """scalar.draw of a subject and each replicate."""
+        start = b"" if name is None else name.encode() + b"|"
+        digests = b"".join([hashlib.md5(start + b"%d|shift" % r).digest()[:8] for r in range(1, replicates + 1)])
+        return (np.frombuffer(digests, ">u8") >> 12) / 2.0**52
+
+    def run(batches):
+        sums, last, drawn = {}, (), None
+
+        def made():
+            keys = list(sums)
+            columns = [pa.array([k[j] for k in keys for _ in range(replicates + 1)], t.field(c).type) for j, c in enumerate((*by, "_f"))]
+            values = np.concatenate([sums[k].reshape(replicates + 1, -1) for k in keys]).ravel()
+            each = pa.FixedSizeListArray.from_arrays(pa.array(values), shape[0] * shape[1]).cast(pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.tile(np.arange(replicates + 1, dtype=np.int32), len(keys))), each], [*by, "_f", "replicate", "_v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = batch.schema
+            s = batch.column("_s")
+            offsets, flat = s.offsets.to_numpy(), s.values
+            raw = {c: np.asarray(flat.field(c).cast(pa.float64()).fill_null(0.0)) for c in (*profile, *others)}
+            gaps = {c: np.asarray(flat.field(c).is_null().cast(pa.float64())) for c in raw}
+            left, right = (np.column_stack([raw[c] for c in names] + [gaps[c] for c in names]) for names in (profile, others))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in (*by, "_f")), strict=True))
+            for key, name, a, b in zip(keys, batch.column("_name").to_pylist(), offsets, offsets[1:], strict=False):
+                if last != (name,):
+                    last, drawn = (name,), draws(name)
+                n = b - a
+                shift = np.concatenate([[0], np.floor(drawn * n).astype(np.int64)])
+                # the shifts that were drawn, each worked out once
+                asked, which = np.unique(shift, return_inverse=True)
+                p, o = left[a:b], right[a:b]
+                found = np.stack([np.roll(p, -k, axis=0).T @ o for k in asked]) if n > 256 else p[(np.arange(n) + asked[:, None]) % n].transpose(0, 2, 1) @ o
+                if key not in sums:
+                    if len(sums) >= SUMS_HELD:
+                        yield made()
+                        sums.clear()
+                    sums[key] = np.zeros((replicates + 1, *shape))
+                sums[key] += found[which]
+        if sums:
+            yield made()
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, "_f")), "replicate int, _v array<double>"])
+    named = held.select(*by, "_f", F.col(subject).cast("string").alias("_name"), "_s")
+    whole = named.mapInArrow(run, schema).groupBy(*by, "_f", "replicate").agg(*(F.sum(F.get("_v", F.lit(j))).alias(f"_{j}") for j in range(shape[0] * shape[1])))
+    at = lambda i, j: F.col(f"_{i * shape[1] + j}")
+    m, k = len(profile), len(others)
+    rows = [F.struct(F.lit(c).alias("a"), F.lit(x).alias("b"), at(i, j).alias("v0"), at(m + i, j).alias("v1"), at(i, k + j).alias("v2"), at(m + i, k + j).alias("v3")) for i, c in enumerate(profile) for j, x in enumerate(others)]
+    return whole.select(*by, "_f", "replicate", F.array(*rows).alias("_gram"))
+
+
 def transition_association(df: DataFrame, by: list[str], subject: str, order: str, nuisance: list[str], profile: list[str], y: str, replicates: int = 200, penalty: float = 1.0) -> DataFrame:
     """Per group whether a profile explains y beyond nuisance: errors with and without it, and a permutation probability with Holm's adjustment over the groups.
 
@@ -174,20 +239,17 @@ def transition_association(df: DataFrame, by: list[str], subject: str, order: st
     the length and the largest entry's name of the profile's standardized coefficients in a fit of all rows. A replicate
     shifts each subject's profile in time, around its end, by a hash of the subject and the replicate; p is the share of replicates, the
     observed order among them, whose error is as small. Days must be distinct within a subject, which bounds its rows by
-    the calendar; the replicates of a subject are unfolded where it lies and summed before anything is shuffled.
+    the calendar. They are put in order and written once. A task works out each shift of a subject once and adds it to
+    the replicates that drew it, so what is shuffled are the tasks' sums; a subject's draws serve all of its groups.
     """
     kinds = dict(df.dtypes)
     rows = df.where(F.col(y).isNotNull()).select(*by, subject, order, *nuisance, *profile, y).withColumn("_f", fold_of(subject, 5))
     held = rows.groupBy(*by, subject).agg(F.first("_f").alias("_f"), F.array_sort(F.collect_list(F.struct(order, *nuisance, *profile, y))).alias("_s"))
-    held = written_wide(held, "subjects", subject)
-    size = F.size("_s")
-    shift = F.when(F.col("replicate") == 0, F.lit(0)).otherwise(F.floor(draw(F.col(subject), F.col("replicate"), salt="shift") * size).cast("int"))
-    dealt = held.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_by", shift)
-    moved = F.transform("_s", lambda s, i: F.struct(*(s[c].alias(c) for c in (*nuisance, y)), *(F.get(F.col("_s"), (i + F.col("_by")) % size)[c].alias(c) for c in profile)))
-    each = dealt.select(*by, subject, "_f", "replicate", F.explode(moved).alias("_m")).select(*by, subject, "_f", "replicate", "_m.*")
+    held = written(held.repartition(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(subject)).sortWithinPartitions(subject), "subjects")
+    rows = held.select(*by, subject, "_f", F.inline("_s"))
     # a shift within a subject, whose rows share a fold, changes what the profile is multiplied with and nothing else
     still = gram_parts(rows, [*by, "_f"], [*nuisance, *profile], y)
-    moving = gram_parts(each, [*by, "_f", "replicate"], [*nuisance, *profile], y, [(c, other) for c in profile for other in (*nuisance, y)])
+    moving = _shifted_parts(held, by, subject, nuisance, profile, y, replicates)
     moving = moving.select(*(F.col(c).alias(c) for c in moving.columns))  # columns of its own, or the two sides of the cogroup are ambiguous
     names = ["one", *nuisance, *profile, y]
 
