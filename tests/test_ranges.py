@@ -133,6 +133,24 @@ def test_association_equals_a_plain_version(spark):
     assert math.isclose(got.p, (1 + sum(e <= errors[0] * (1 + 1e-9) for e in errors[1:])) / 13) and math.isclose(got.added_r2, (bare - errors[0]) / np.sum((y - y.mean()) ** 2))
 
 
+def test_a_grid_of_trends_sorts_rows_once(spark):
+    r = np.random.default_rng(10)
+    rows = [(u, int(d), None if r.random() < 0.15 else float(r.normal())) for u in range(30) for d in sorted(r.choice(25, int(r.integers(1, 12)), replace=False))]
+    df = spark.createDataFrame(rows, "u int, d int, v double")
+    trends = {str(w): windows.range_mean(df, ["u"], "d", "v", w) for w in (4, 8)}
+    made = aggregates.trend_grid(df, "u", "d", "v", trends)
+    got = {x.name: x for x in made.collect()}
+    for name, trend in trends.items():
+        t = df.withColumns({"t": trend, "g": F.lit(1)}).withColumn("f", F.col("v") - F.col("t"))
+        ar1 = lambda c, unit=False: aggregates.pooled_ar1(t, ["g"], "u", "d", c, unit).first()  # noqa: B023, E731
+        x, share = got[name], aggregates.within_share(t, ["g"], "u", "t", "v").first()
+        assert np.allclose([x.raw_ar1, x.fast_ar1, x.fast_ar1_unit, x.slow_share], [ar1("v").ar1, ar1("f").ar1, ar1("f", True).ar1, share.slow_share])
+        assert (x.pairs, x.subjects) == (ar1("v").pairs, share.subjects)
+    plan = made._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Sort [") == 1 and "Union" not in plan
+    assert aggregates.trend_grid(df.limit(0), "u", "d", "v", trends).count() == 0
+
+
 def test_shifts_are_summed_where_subjects_lie(spark, monkeypatch):
     r = np.random.default_rng(9)
     hole = lambda x: None if r.random() < 0.2 else float(x)
