@@ -5,13 +5,15 @@ import random
 import re
 from collections import Counter, defaultdict
 from itertools import permutations
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import divergence, folds, toxicity
-from tidemark.llm.common import LOWER
+from tidemark.llm.common import LOWER, shared_dir
 
 WORD = re.compile(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 CLASH = ["term", "n", "docs", "whole", "block", "k", "i", "j", "other", "part", "item", "value", "rank", "mask", "digest", "good", "toxic", "quality", "salt", "own", "first", "cells", "steps", "share", "score", "held_out"]
@@ -76,6 +78,38 @@ def test_divergences_of_nothing(spark):
     assert divergence.divergences(spark.createDataFrame([], "doc_id long, text string, lang string, source string")).count() == 0
 
 
+def test_counts_are_handed_on_by_their_bytes():
+    """Few but very long terms: a task hands their counts on long before the last of its texts."""
+    read = []
+
+    def batches():
+        for k in range(400):
+            read.append(k)
+            yield pa.RecordBatch.from_pydict({"lang": ["en"], "source": ["a"], "text": [f"{k:04d}".translate(str.maketrans("0123456789", "abcdefghij")) * 20_000]})
+
+    first = next(b for b in divergence._count(batches()) if b.column("term").null_count == 0)
+    assert len(read) * 80_000 < 2 * divergence.GATHERED and first.num_rows <= len(read)
+
+
+def test_divergences_write_few_parts(spark):
+    """Many shuffle partitions that nothing coalesces don't become as many files."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    known = set(Path(shared_dir(spark)).glob("tidemark/*"))
+    try:
+        for k, v in zip(before, ("96", "false"), strict=True):
+            spark.conf.set(k, v)
+        rows = some_documents()
+        found = divergence.divergences(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+        most = max(spark.sparkContext.defaultParallelism, 96 // divergence.JOINED)
+        assert found.rdd.getNumPartitions() <= most
+        assert {(r.lang, r.source, r.part, r.item, r.value, r["rank"]) for r in found.collect()} == plain_divergences(rows)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    written = set(Path(shared_dir(spark)).glob("tidemark/*")) - known
+    assert len(written) == 3 and all(len(list(d.glob("part-*"))) <= most for d in written)
+
+
 def test_scaled_is_exact_beyond_sixty_four_bits():
     whole = np.array([8_999_999_999_999_999, 7, 9_000_000_000_000_000])
     count = np.array([8_999_999_999_999_998, 7, 123_456_789_012_345])

@@ -17,14 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.common import NO_LETTER, long_cuts, materialize, pieces, small_batches, text_bytes
+from tidemark.llm.common import NO_LETTER, long_cuts, materialize, pieces, shuffle_partitions, small_batches, text_bytes
 
 #: Groups in a block of groups and terms in a block of terms, on average; they bound a cell's memory, not the result.
 GROUPS, TERMS = 8, 4096
 #: Documents of a language that must hold a term; what is added to each count; the scale of probabilities; terms listed per group.
 LEAST_DOCS, ADDED, SCALE, LISTED = 30, 5, 10**9, 50
-#: Bytes of text that are split at once; rows that a task gathers before it hands them on.
-PIECE, GATHERED = 1 << 22, 1 << 21
+#: Bytes of text that are split at once; bytes of counts that a task gathers before it hands them on.
+PIECE, GATHERED = 1 << 20, 1 << 23
+
+#: Shuffle partitions that make one written part: a local file system starts processes for each part, which costs more than a small part's rows.
+JOINED = 16
 
 SEPARATORS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -35,7 +38,7 @@ def _split(data: np.ndarray, offsets: np.ndarray, owner: np.ndarray) -> tuple[np
     parts = pc.split_pattern_regex(pc.ascii_lower(pa.LargeStringArray.from_buffers(len(owner), buffers[1], buffers[2])), SEPARATORS)
     terms, whose = parts.flatten(), owner[pc.list_parent_indices(parts).to_numpy()]
     some = pc.not_equal(terms, "")
-    coded = terms.filter(some).dictionary_encode()
+    coded = terms.filter(some).cast(pa.string()).dictionary_encode()
     n = max(len(coded.dictionary), 1)
     keys, counts = np.unique(whose[some.to_numpy(zero_copy_only=False)] * n + coded.indices.to_numpy(), return_counts=True)
     return keys // n, keys % n, counts, coded.dictionary
@@ -55,7 +58,7 @@ def _by_group(batch_groups: np.ndarray, column) -> list[pa.Table]:
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 _, code, n, terms = _split(data, np.array([lo, hi]), np.zeros(1, np.int64))
                 found.append(pa.table({"term": terms.take(pa.array(code)), "n": n}))
-            whole = pa.concat_tables(found).group_by("term").aggregate([("n", "sum")])
+            whole = pa.concat_tables(found).group_by("term", use_threads=False).aggregate([("n", "sum")])
             terms = whole["term"].combine_chunks()
             n, code = whole["n_sum"].to_numpy(), np.arange(len(terms))
             groups, docs = np.full(len(n), batch_groups[at]), np.ones(len(n), np.int64)
@@ -72,11 +75,11 @@ def _count(batches):
     held: list[pa.Table] = []
 
     def handed():
-        table = pa.concat_tables(held).group_by(["g", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
+        table = pa.concat_tables(held).group_by(["g", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
         names = list(number)
         at = table["g"].combine_chunks()
         pair = [pa.array([x[k] for x in names], pa.string()).take(at) for k in (0, 1)]
-        columns = [*pair, table["term"].cast(pa.string()).combine_chunks(), table["n_sum"].combine_chunks(), table["docs_sum"].combine_chunks()]
+        columns = [*pair, table["term"].combine_chunks(), table["n_sum"].combine_chunks(), table["docs_sum"].combine_chunks()]
         held.clear()
         return pa.table(columns, names=["lang", "source", "term", "n", "docs"]).to_batches(1 << 16)
 
@@ -85,7 +88,7 @@ def _count(batches):
         pairs = list(zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True))
         groups = np.array([number.setdefault(x, len(number)) for x in pairs], np.int64)
         held += _by_group(groups, batch.column("text"))
-        if sum(len(t) for t in held) > GATHERED:
+        if sum(t.nbytes for t in held) > GATHERED:
             yield from handed()
         if len(number) > seen:  # a group without any term has its row as well
             new = list(number)[seen:]
@@ -120,6 +123,12 @@ def scaled(count: np.ndarray, whole: np.ndarray) -> np.ndarray:
     return out + digits
 
 
+def _parts(df: DataFrame) -> DataFrame:
+    """df in fewer and larger parts: one for JOINED shuffle partitions, but one for each core at least. Nothing is shuffled for it, and a task takes its partitions one after the other."""
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // JOINED))
+
+
 CELL = "lang string, source string, part string, item string, value long, seen long, gap long, terms long"
 
 
@@ -181,10 +190,10 @@ def divergences(docs: DataFrame) -> DataFrame:
     UTF-8 bytes. Counts are written to the shared folder while the plan is built; two numbers reach the driver: the
     most groups and the most kept terms of a language, from which the numbers of blocks follow.
     """
-    counts = materialize(term_counts(docs), "terms")
+    counts = materialize(_parts(term_counts(docs)), "terms")
     known = counts.where("term is not null")
     common = known.groupBy("lang", "term").agg(F.sum("n").alias("whole"), F.sum("docs").alias("docs")).where(F.col("docs") >= LEAST_DOCS).drop("docs")
-    kept = materialize(known.join(common, ["lang", "term"]).select("lang", "source", "term", "n", "whole"), "kept")
+    kept = materialize(_parts(known.join(common, ["lang", "term"]).select("lang", "source", "term", "n", "whole")), "kept")
     langs = kept.groupBy("lang", "term").agg(F.max("whole").alias("whole")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("whole").alias("whole"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("n"))
     zero = F.lit(0).cast("long")
@@ -192,7 +201,7 @@ def divergences(docs: DataFrame) -> DataFrame:
         counts.where("term is null").select("lang", "source").join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
         .select("lang", "source", F.lit(None).cast("string").alias("term"), *(F.coalesce(c, zero).alias(c) for c in ("n", "whole", "terms")))
     )
-    groups = materialize(groups, "groups")
+    groups = materialize(_parts(groups), "groups")
     most = groups.groupBy("lang").agg(F.count("*").alias("groups"), F.max("terms").alias("terms")).agg(F.max("groups"), F.max("terms")).first()
     across, deep = max(1, ceil((most[0] or 0) / GROUPS)), max(1, ceil((most[1] or 0) / TERMS))
     block = F.pmod(F.xxhash64("source"), F.lit(across)).cast("int").alias("block")
@@ -207,7 +216,7 @@ def divergences(docs: DataFrame) -> DataFrame:
     both = F.when(F.col("part") == "pair", F.array(pair("source", "item"), pair("item", "source"))).otherwise(F.array(pair("source", "item")))
     rows = summed.select("lang", "part", "value", F.explode(both).alias("_p")).select("lang", "_p.source", "part", "_p.item", "value")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")))
-    return ranked.where((F.col("part") == "pair") | (F.col("rank") <= LISTED))
+    return _parts(ranked.where((F.col("part") == "pair") | (F.col("rank") <= LISTED)))
 
 
 SQL = r"""
