@@ -234,6 +234,31 @@ def test_items_are_linearized_anew_in_every_round(spark):
         assert np.allclose([got[s, int(day)].level_d for day in p["days"]], want)
 
 
+def test_subjects_are_solved_together_whatever_their_sizes(spark, monkeypatch):
+    """More subjects of the same kinds take no more calls of the solver, and each gets what it gets by itself."""
+    r = np.random.default_rng(4)
+    people = []
+    for days in (1, 2, 9, 10, 11, 13, 16, 17, 23):
+        lo = r.integers(0, days, 4)
+        end = np.minimum(lo + 2, days - 1)
+        items = r.integers(0, 3, (4, 2)).astype(float)
+        people.append({"days": np.arange(days, dtype=float), "train": True, "stratum": 0, "features": r.normal(size=days * 3), "readouts": r.normal(size=days * 2), "seen": r.integers(0, 2, days).astype(float),
+            "p_channel": np.array([0.0, 0, 1, 1]), "p_start": lo.astype(float), "p_end": end.astype(float), "p_available": end.astype(float), "p_value": r.normal(size=4), "p_loading": np.ones(4), "p_sd": np.full(4, 0.5), "p_items": items.ravel()})
+    shape = smoothers.Shape("id", "day", ("d", "p"), 1, 3, 0, 0, (), (), (0.5, 0.5), (1.0, 1.0), ITEMS)
+    steps = tuple(smoothers.Step(((0.0, 0.1, k / 9),) * 2, (0.6, 0.3), (0.3, 0.2)) for k in range(3))
+    fit, calls, solve = smoothers.Smoother(steps, 1.0), [], np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: calls.append(1) or solve(a, b))
+    alone = [fit.levels([p], shape)[0] for p in people]
+    calls.clear()
+    once = fit.levels(people, shape)
+    few = len(calls)
+    calls.clear()
+    many = fit.levels(people * 20, shape)
+    assert len(calls) == few
+    for k, x in enumerate(many):
+        assert x.shape == (2, len(people[k % len(people)]["days"])) and np.allclose(x, alone[k % len(people)]) and np.allclose(x, once[k % len(people)])
+
+
 def test_one_stratum_gives_the_levels_of_none(spark):
     axis, points = made(3)
     plain, one = packed(spark, axis, points), packed(spark, axis, points, 1)

@@ -2,7 +2,8 @@
 
 Both read a panel: one row for each subject, with its days, features and measurements as arrays. The panel is written
 once; every later step is a scan of it without a shuffle, whose sums are small and combined by one aggregate. A
-subject's days are distinct, so the calendar bounds its arrays. Linear algebra runs in the tasks, one subject at a time.
+subject's days are distinct, so the calendar bounds its arrays. Linear algebra runs in the tasks: subjects of
+alike sizes together for the smoother, one at a time for the filter.
 """
 
 from __future__ import annotations
@@ -156,68 +157,116 @@ def gap_factors(rho: float, gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return keep, (1 - keep) / (1 - rho), np.sqrt(np.maximum((1 - keep * keep) / max(1 - rho * rho, 1e-8), 0))
 
 
-def solve_person(p: dict, channel: int, theta: np.ndarray, rho: float, innovation: float, shape: Shape, prior: float, trait: np.ndarray | None = None) -> np.ndarray:
-    """The level of one subject and channel at each of its days: weighted least squares over a prior for the first day, windowed measurements, the readout where signals were seen, and gap-aware transitions.
+#: Bytes of the blocks of normal equations that are solved together; one subject may take more.
+STACKED = 1 << 23
 
-    A window ties no days further apart than its own length, so the normal equations are block tridiagonal with blocks
-    of the longest window: time grows with the days, not with their cube. With an instrument a measurement is one
-    Fisher-scoring step from trait, the point for each of the channel's measurements around which its items are
-    linearized, without any prior of its own; trait is moved to the solution's. Items that say next to nothing are left out.
+
+class Stacked:
+    """Subjects whose normal equations have blocks of one size, end to end, and one channel: their equations are made and solved together.
+
+    A window ties no days further apart than its own length, so a subject's equations are block tridiagonal with blocks
+    of its longest window: time grows with the days, not with their cube. Each subject has as many blocks as the one with
+    the most; places beyond its days have equations of their own, which nothing ties to it.
     """
-    t, noise = len(p["days"]), shape.noise[channel]
-    w = _windows(p, channel)
-    every = w
-    if trait is not None:
-        own = shape.instrument
-        score, information = irt.score_and_information(trait, p["p_items"].reshape(-1, len(own.spec))[w["at"]].astype(np.int64), own.spec)
-        some = information >= 1e-3
-        each = {"value": (trait + score / np.where(some, information, 1)) * own.scale + own.location, "sd": own.scale / np.sqrt(np.where(some, information, 1)), "loading": np.ones(len(trait))}
-        w = {k: v[some] for k, v in (w | each).items()}
-    m = int(max(2, (w["hi"] - w["lo"]).max(initial=1)))
-    blocks = -(-t // m)
-    main, side, right = np.zeros((blocks, m, m)), np.zeros((max(blocks - 1, 0), m, m)), np.zeros((blocks, m))
-    place = np.arange(t)
-    flat, diagonal = right.reshape(-1), np.zeros(blocks * m)
-    diagonal[t:] = 1.0
-    diagonal[0] += prior**-2
-    seen = p["seen"] > 0
-    diagonal[:t][seen] += noise**-2
-    flat[:t][seen] += p["readouts"].reshape(t, len(shape.channels))[seen, channel] * noise**-2
-    if t > 1:
-        keep, drift, spread = gap_factors(rho, np.diff(p["days"]))
-        mean = p["features"].reshape(t, shape.features)[:-1] @ theta[: shape.features] + (theta[shape.features + p["stratum"]] if shape.strata else 0.0)
+
+    def __init__(self, people: list[dict], found: list[dict[str, np.ndarray]], channel: int, m: int, shape: Shape):
+        days = np.array([len(p["days"]) for p in people])
+        self.channel, self.shape, self.m = channel, shape, m
+        self.blocks = int((-(-days // m)).max())
+        self.start = np.arange(len(people)) * self.blocks * m
+        self.place = np.repeat(self.start - (np.cumsum(days) - days), days) + np.arange(days.sum())
+        self.ends = np.cumsum(days)
+        every = lambda c: np.concatenate([p[c] for p in people])
+        self.days, self.seen = every("days"), every("seen") > 0
+        self.readouts = every("readouts").reshape(-1, len(shape.channels))[:, channel]
+        inner = np.ones(len(self.days), bool)
+        inner[self.ends - 1] = False
+        self.first = np.flatnonzero(inner)  # of each transition: its first day
+        self.gap = self.days[self.first + 1] - self.days[self.first]
+        self.features = every("features").reshape(-1, shape.features)[self.first]
+        self.stratum = np.repeat([p["stratum"] for p in people], days)[self.first]
+        self.points = {c: np.concatenate([w[c] for w in found]) for c in ("value", "loading", "sd")}
+        count = [len(w["lo"]) for w in found]
+        self.lo, self.length = np.repeat(self.start, count) + np.concatenate([w["lo"] for w in found]), np.concatenate([w["hi"] - w["lo"] for w in found])
+        if shape.instrument:
+            self.items = np.concatenate([p["p_items"].reshape(-1, len(shape.instrument.spec))[w["at"]] for p, w in zip(people, found, strict=True)]).astype(np.int64)
+
+    def _pairs(self, some: np.ndarray, apart: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the measurements in some, each with each place in its window that has another so far behind it there."""
+        some = some[self.length[some] > apart]
+        count = self.length[some] - apart
+        return np.repeat(some, count), np.repeat(self.lo[some] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+    def solve(self, theta: np.ndarray, rho: float, innovation: float, prior: float, trait: np.ndarray | None = None) -> np.ndarray:
+        """The level of each subject at each of its days: weighted least squares over a prior for the first day, windowed measurements, the readout where signals were seen, and gap-aware transitions.
+
+        With an instrument a measurement is one Fisher-scoring step from trait, the point for each of the channel's
+        measurements around which its items are linearized, without any prior of its own; trait is moved to the
+        solution's. Items that say next to nothing are left out.
+        """
+        shape, m, size, noise = self.shape, self.m, len(self.start) * self.blocks * self.m, self.shape.noise[self.channel]
+        value, loading, sd = (self.points[c] for c in ("value", "loading", "sd"))
+        used = np.arange(len(self.lo))
+        if trait is not None:
+            own = shape.instrument
+            score, information = irt.score_and_information(trait, self.items, own.spec)
+            some = information >= 1e-3
+            used = np.flatnonzero(some)
+            information = np.where(some, information, 1)
+            value, sd, loading = (trait + score / information) * own.scale + own.location, own.scale / np.sqrt(information), np.ones(len(trait))
+        bands, right = np.zeros((m, size)), np.zeros(size)
+        bands[0] = 1.0
+        bands[0, self.place] = 0.0
+        bands[0, self.start] += prior**-2
+        seen = self.place[self.seen]
+        bands[0, seen] += noise**-2
+        right[seen] += self.readouts[self.seen] * noise**-2
+        keep, drift, spread = gap_factors(rho, self.gap)
+        mean = self.features @ theta[: shape.features] + (theta[shape.features + self.stratum] if shape.strata else 0.0)
         weight = (np.maximum(innovation * spread, 1e-8)) ** -2.0
-        diagonal[1:t] += weight
-        diagonal[: t - 1] += keep * keep * weight
-        flat[1:t] += weight * mean * drift
-        flat[: t - 1] -= keep * weight * mean * drift
-        a, same = place[:-1], place[:-1] // m == place[1:] // m
-        k = a[same]
-        main[k // m, k % m, k % m + 1] -= (keep * weight)[same]
-        main[k // m, k % m + 1, k % m] -= (keep * weight)[same]
-        k = a[~same]
-        side[k // m, m - 1, 0] -= (keep * weight)[~same]
-    main[np.arange(blocks * m) // m, np.arange(blocks * m) % m, np.arange(blocks * m) % m] += diagonal
-    for lo, hi, value, loading, sd in zip(*(w[c] for c in ("lo", "hi", "value", "loading", "sd")), strict=True):
-        each, sd = loading / (hi - lo), max(sd, 1e-8)
-        flat[lo:hi] += each * value / sd**2
-        i, j = lo // m, (hi - 1) // m
-        x = (each / sd) ** 2
-        cut = hi if i == j else j * m
-        main[i, lo - i * m : cut - i * m, lo - i * m : cut - i * m] += x
-        if j > i:
-            main[j, : hi - cut, : hi - cut] += x
-            side[i, lo - i * m :, : hi - cut] += x
-    for i in range(1, blocks):
-        step = np.linalg.solve(main[i - 1], np.column_stack([side[i - 1], right[i - 1]]))
-        main[i] -= side[i - 1].T @ step[:, :m]
-        right[i] -= side[i - 1].T @ step[:, m]
-    for i in range(blocks - 1, -1, -1):
-        right[i] = np.linalg.solve(main[i], right[i] - (side[i] @ right[i + 1] if i + 1 < blocks else 0.0))
-    if trait is not None:
-        sums = np.concatenate(([0.0], np.cumsum(flat[:t])))
-        trait[:] = ((sums[every["hi"]] - sums[every["lo"]]) / (every["hi"] - every["lo"]) - shape.instrument.location) / shape.instrument.scale
-    return flat[:t].copy()
+        a = self.place[self.first]
+        bands[0, a + 1] += weight
+        bands[0, a] += keep * keep * weight
+        bands[1, a] -= keep * weight
+        right[a + 1] += weight * mean * drift
+        right[a] -= keep * weight * mean * drift
+        each, sd = loading / self.length, np.maximum(sd, 1e-8)
+        for apart in range(m):
+            whose, at = self._pairs(used, apart)
+            if apart == 0:
+                right += np.bincount(at, (each * value / sd**2)[whose], minlength=size)
+            bands[apart] += np.bincount(at, ((each / sd) ** 2)[whose], minlength=size)
+        main, side = np.zeros((2, size // m, m, m))
+        for apart in range(m):
+            band, low, high = bands[apart].reshape(-1, m), np.arange(m - apart), np.arange(apart, m)
+            main[:, low, high] = main[:, high, low] = band[:, : m - apart]
+            side[:, np.arange(m - apart, m), np.arange(apart)] = band[:, m - apart :]
+        main, side = (x.reshape(len(self.start), self.blocks, m, m) for x in (main, side))
+        right = right.reshape(len(self.start), self.blocks, m, 1)
+        for i in range(1, self.blocks):
+            back = side[:, i - 1].transpose(0, 2, 1) @ np.linalg.solve(main[:, i - 1], np.concatenate([side[:, i - 1], right[:, i - 1]], axis=2))
+            main[:, i] -= back[:, :, :m]
+            right[:, i] -= back[:, :, m:]
+        for i in range(self.blocks - 1, -1, -1):
+            right[:, i] = np.linalg.solve(main[:, i], right[:, i] - (side[:, i] @ right[:, i + 1] if i + 1 < self.blocks else 0.0))
+        flat = right.ravel()
+        if trait is not None:
+            whose, at = self._pairs(np.arange(len(self.lo)), 0)
+            trait[:] = (np.bincount(whose, flat[at], minlength=len(trait)) / self.length - shape.instrument.location) / shape.instrument.scale
+        return flat[self.place]
+
+
+def _alike(people: list[dict], found: list[list[dict[str, np.ndarray]]]) -> Iterator[tuple[int, list[int]]]:
+    """Size of blocks and places of subjects that are solved together: alike in their longest window and, within a factor of two, in their blocks."""
+    longest = [max([2, *(int((w["hi"] - w["lo"]).max(initial=1)) for w in own)]) for own in found]
+    groups: dict[tuple[int, int], list[int]] = {}
+    for k, (p, m) in enumerate(zip(people, longest, strict=True)):
+        groups.setdefault((m, (-(-len(p["days"]) // m) - 1).bit_length()), []).append(k)
+    for (m, _), own in groups.items():
+        most = max(-(-len(people[k]["days"]) // m) for k in own)
+        step = max(1, STACKED // (8 * most * m * max(m, 16)))
+        for at in range(0, len(own), step):
+            yield m, own[at : at + step]
 
 
 @dataclass(frozen=True)
@@ -248,19 +297,26 @@ class Smoother:
     def innovation(self) -> tuple[float, ...]:
         return self.steps[-1].innovation
 
-    def levels(self, p: dict, shape: Shape) -> np.ndarray:
-        """Channels by days. With an instrument every step is walked again, because the points around which items are linearized move with each; they are never stored."""
-
-        def one(step: Step, c: int, trait: np.ndarray | None) -> np.ndarray:
-            return solve_person(p, c, np.array(step.theta[c]), step.persistence[c], step.innovation[c], shape, self.prior, trait)
-
-        out = []
-        for c in range(len(shape.channels)):
-            trait = np.zeros(len(_windows(p, c)["at"])) if shape.instrument else None
-            for step in self.steps if shape.instrument else self.steps[-1:]:
-                x = one(step, c, trait)
-            out.append(x)
-        return np.stack(out)
+    def stacks(self, people: list[dict], shape: Shape) -> Iterator[tuple[list[int], Stacked, np.ndarray]]:
+        """Places of subjects that were solved together, their days and transitions, and their levels, channels by days. With an instrument every step is walked again, because the points around which items are linearized move with each; they are never stored."""
+        found = [[_windows(p, c) for c in range(len(shape.channels))] for p in people]
+        for m, own in _alike(people, found):
+            out = []
+            for c in range(len(shape.channels)):
+                stack = Stacked([people[k] for k in own], [found[k][c] for k in own], c, m, shape)
+                trait = np.zeros(len(stack.lo)) if shape.instrument else None
+                for step in self.steps if shape.instrument else self.steps[-1:]:
+                    x = stack.solve(np.array(step.theta[c]), step.persistence[c], step.innovation[c], self.prior, trait)
+                out.append(x)
+            yield own, stack, np.stack(out)
+
+    def levels(self, people: list[dict], shape: Shape) -> list[np.ndarray]:
+        """Channels by days of each subject."""
+        out: list[np.ndarray] = [np.zeros((len(shape.channels), 0))] * len(people)
+        for own, stack, x in self.stacks(people, shape):
+            for k, levels in zip(own, np.split(x, stack.ends[:-1], axis=1), strict=True):
+                out[k] = levels
+        return out
 
 
 def _pooled_sums(data: Panel, fit: Smoother, grid: tuple[float, ...]) -> np.ndarray:
@@ -271,17 +327,14 @@ def _pooled_sums(data: Panel, fit: Smoother, grid: tuple[float, ...]) -> np.ndar
     def run(batches):
         total = np.zeros((size, size))
         for batch in batches:
-            for p in _people(batch):
-                t = len(p["days"])
-                if not p["train"] or t < 2:
-                    continue
-                levels, gap = fit.levels(p, shape), np.diff(p["days"])
-                one = np.zeros((t - 1, shape.strata))
+            people = [p for p in _people(batch) if p["train"] and len(p["days"]) > 1]
+            for _, stack, levels in fit.stacks(people, shape):
+                one = np.zeros((len(stack.first), shape.strata))
                 if shape.strata:
-                    one[:, p["stratum"]] = 1.0
-                factors = [gap_factors(rho, gap) for rho in grid]
-                outcomes = [(x[1:] - keep * x[:-1]) / np.maximum(drift, 1e-8) for x in levels for keep, drift, _ in factors]
-                z = np.column_stack([p["features"].reshape(t, shape.features)[:-1], one, *outcomes])
+                    one[np.arange(len(one)), stack.stratum] = 1.0
+                factors = [gap_factors(rho, stack.gap) for rho in grid]
+                outcomes = [(x[stack.first + 1] - keep * x[stack.first]) / np.maximum(drift, 1e-8) for x in levels for keep, drift, _ in factors]
+                z = np.column_stack([stack.features, one, *outcomes])
                 total += z.T @ z
         at = np.indices(total.shape).reshape(2, -1)
         yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(total.ravel())], ["i", "j", "value"])
@@ -344,21 +397,18 @@ def fit_smoother(data: Panel, rounds: int = 3, grid: tuple[float, ...] = (0.1, 0
 
 
 def _unpacked(data: Panel, levels) -> DataFrame:
-    """One row for each subject and day with levels(person), an array of channels by days, and their mean."""
+    """One row for each subject and day with levels(people), an array of channels by days for each, and their mean."""
     kinds, subject, day = dict(data.rows.dtypes), data.shape.subject, data.shape.day
     names = [*(f"level_{c}" for c in data.shape.channels), "level"]
 
     def run(batches):
         for batch in batches:
-            sizes, found, days = np.zeros(len(batch), np.int64), [], []
-            for p in _people(batch):
-                sizes[p["i"]] = len(p["days"])
-                days.append(p["days"])
-                found.append(levels(p))
-            if not found:
+            people = list(_people(batch))
+            if not people:
                 continue
-            found = np.concatenate(found, axis=1)
-            whose = batch.column(subject).take(pa.array(np.repeat(np.arange(len(batch)), sizes)))
+            days = [p["days"] for p in people]
+            found = np.concatenate(levels(people), axis=1)
+            whose = batch.column(subject).take(pa.array(np.repeat(np.arange(len(batch)), [len(d) for d in days])))
             yield pa.RecordBatch.from_arrays([whose, pa.array(np.concatenate(days)), *(pa.array(x) for x in found), pa.array(found.mean(axis=0))], [subject, day, *names])
 
     return data.rows.mapInArrow(run, ", ".join([f"`{subject}` {kinds[subject]}, `{day}` double", *(f"`{n}` double" for n in names)]))
@@ -367,7 +417,7 @@ def _unpacked(data: Panel, levels) -> DataFrame:
 def smoothed(data: Panel, fit: Smoother) -> DataFrame:
     """subject, day, a level for each channel, and their mean."""
     shape = data.shape
-    return _unpacked(data, lambda p: fit.levels(p, shape))
+    return _unpacked(data, lambda people: fit.levels(people, shape))
 
 
 # --- causal filter -------------------------------------------------------------------------------------------------
@@ -501,4 +551,4 @@ def filtered(data: Panel, lengths: tuple[tuple[float, float], ...]) -> DataFrame
         x = _scaled(shape, p)
         return np.stack([Conditioned(p, c, channels, x, shape.spread[c], *lengths[c]).means() for c in range(channels)])
 
-    return _unpacked(data, levels)
+    return _unpacked(data, lambda people: [levels(p) for p in people])
