@@ -1,8 +1,12 @@
 """Round trips of files."""
 
+import hashlib
+
+import duckdb
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks
+from tidemark.plans import summaries
 from tidemark.sources import tables
 
 
@@ -27,6 +31,17 @@ def test_json_manifest_and_inventory(spark, tmp_path):
     assert tables.file_inventory(spark, str(tmp_path), "s.json").first().bytes == (tmp_path / "s.json").stat().st_size
 
 
+def test_inventory_lists_the_files_that_its_sql_lists(spark, tmp_path):
+    for name, content in {"a.parquet": b"abc", "empty.parquet": b"", "_b.parquet": b"b", ".c.parquet": b"c", "d e+%20[1].parquet": b"d", "f.PARQUET": b"f", "documents.parquet/part-0.parquet": b"g", "k=1/h.parquet": b"h"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+    sql = summaries.SQL["file_inventory"].replace("/root/testdata/sf0.01", str(tmp_path))
+    assert str(tmp_path) in sql
+    assert sorted(tuple(r) for r in summaries.file_inventory(spark, str(tmp_path)).collect()) == sorted(duckdb.sql(sql).fetchall())
+    everything = {(r.name, r.sha256) for r in tables.file_inventory(spark, str(tmp_path)).collect()}
+    assert everything == {(p.name, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*") if p.is_file()}
+
+
 def test_units_replace_themselves(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "u string, v int")
     tables.write_remaining(df, str(tmp_path / "w"), ["u"])

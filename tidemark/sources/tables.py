@@ -62,13 +62,26 @@ def write_remaining(df: DataFrame, path: str, unit: list[str]) -> None:
 STREAMED = ("file", "hdfs", "s3", "s3a", "gs", "abfs")
 
 
-def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """name, bytes and sha256 of each file under a folder.
+def listed(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> list[tuple[str, int]]:
+    """Path and bytes of each file in a folder, and below it if recursive, with empty files and names that begin with _ or ., over which Spark's scan passes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    folder, names = hadoop.Path(path), hadoop.GlobFilter(pattern)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(folder, recursive)
+    found = []
+    while files.hasNext():
+        file = files.next()
+        if names.accept(file.getPath()):
+            found.append((file.getPath().toString(), file.getLen()))
+    return found
+
+
+def file_inventory(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """name, bytes and sha256 of each file in a folder, and below it if recursive.
 
     Files are listed without their content and hashed in the tasks, a piece at a time, so their size doesn't matter; in
-    a store that only Spark reads a file is one row and must fit into 2 GB. Spark's scan passes over empty files.
+    a store that only Spark reads a file is one row and must fit into 2 GB, and one that Spark's scan passes over by its name is an error.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    files = spark.createDataFrame(listed(spark, path, pattern, recursive), "path string, bytes long")
     scheme = F.regexp_extract("path", "^([A-Za-z0-9]+):", 1)
     streamed = scheme.isin("", *STREAMED)
 
@@ -87,10 +100,11 @@ def file_inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFr
                 found.append(total.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("bytes"), pa.array(found, pa.string())], ["path", "bytes", "sha256"])
 
-    # a file a row, dealt anew: listing splits them by their size
-    rows = files.where(streamed).select("path", F.col("length").alias("bytes")).repartition(F.col("path"))
-    own = rows.mapInArrow(run, "path string, bytes long, sha256 string")
-    rest = files.where(~streamed).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    own = files.where(streamed).repartition(F.col("path")).mapInArrow(run, "path string, bytes long, sha256 string")
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    contents = whole.where(~streamed).select("path", F.sha2("content", 256).alias("sha256"))
+    unread = F.raise_error(F.concat(F.lit("no source of Spark reads "), "path"))
+    rest = files.where(~streamed).join(contents, "path", "left").withColumn("sha256", F.when(F.col("bytes") == 0, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("sha256", unread)))
     return own.unionByName(rest).select(F.element_at(F.split("path", "/"), -1).alias("name"), "bytes", "sha256")
 
 
