@@ -42,6 +42,27 @@ def test_inventory_lists_the_files_that_its_sql_lists(spark, tmp_path):
     assert everything == {(p.name, hashlib.sha256(p.read_bytes()).hexdigest()) for p in tmp_path.rglob("*") if p.is_file()}
 
 
+def test_inventory_reads_no_file_as_a_row_that_is_too_large_for_one(spark, tmp_path, monkeypatch):
+    mark, folder = b"\xef\xbb\xbf", tmp_path / "x y"
+    folder.mkdir()
+    large = [b"0123456789abcdef" * 2, b"\n" * 17, mark + b"a\n" * 9, mark + b"a\n" * 9 + b"b", mark * 7, b"\r\n\x00\xff" * 5, bytes(range(256)) * 9000]
+    files = {f"{i} [+]%20 é.parquet": content for i, content in enumerate(large)} | {"small.parquet": mark, "empty.parquet": b"", "_a.parquet": b"a" * 20, ".b.parquet": b"b", "c.parquet.gz": b"no gzip" * 3}
+    for name, content in files.items():
+        (folder / name).write_bytes(content)
+    want = {(name, len(content), hashlib.sha256(content).hexdigest()) for name, content in files.items()}
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.inventory.link./in", f"file://{tmp_path}")
+    monkeypatch.setattr(tables, "WHOLE", 16, raising=False)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.sources.binaryFile.maxLength", "spark.sql.files.maxPartitionBytes")}
+    try:
+        for k, v in zip(kept, ("16", "100000")):
+            spark.conf.set(k, v)
+        for path in (str(folder), "viewfs://inventory/in/x y"):
+            assert {tuple(r) for r in tables.file_inventory(spark, path).collect()} == want
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
 def test_units_replace_themselves(spark, tmp_path):
     df = spark.createDataFrame([("a", 1), ("b", 2)], "u string, v int")
     tables.write_remaining(df, str(tmp_path / "w"), ["u"])
